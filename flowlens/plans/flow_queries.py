@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions import columns as C
 from ..operators import flows as FL
 from ..operators import live as LV
+from ..workspace import staged
 from .views import CAP, IDLE_US, raw_packets, with_views
 
 KEYS = "protocol, a_ip, a_port, b_ip, b_port"
@@ -24,7 +25,8 @@ def segmented(spark: SparkSession, sf_dir: str, mode: str = "strict") -> DataFra
 
 
 def flows(spark: SparkSession, sf_dir: str, mode: str = "strict") -> DataFrame:
-    return FL.with_flow_id(FL.flow_table(packets(spark, sf_dir), IDLE_US, CAP, mode))
+    # numbering reads the flow table three times, so it is written once first
+    return FL.with_flow_id(staged(FL.flow_table(packets(spark, sf_dir), IDLE_US, CAP, mode), "flows"))
 
 
 # Deterministic two-class scores on flows, so that the register can be checked by SQL.
@@ -255,7 +257,7 @@ def _flat(reg: DataFrame) -> DataFrame:
 
 def flow_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: packets to flows to per-protocol totals."""
-    f = flows(spark, sf_dir)
+    f = FL.flow_table(packets(spark, sf_dir), IDLE_US, CAP)
     return f.groupBy("protocol").agg(
         F.count("*").alias("flows"),
         F.count_if(F.col("active")).alias("active_flows"),
