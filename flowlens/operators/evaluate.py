@@ -31,17 +31,23 @@ def accuracy(predictions: DataFrame) -> DataFrame:
 
 
 def confusion(predictions: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Count of every (true, predicted) class pair, zeros included."""
+    """Count of every (true, predicted) class pair, zeros included, from one pass."""
+    pair = F.struct("true_label", "predicted_label")
     seen = predictions.groupBy("model", "true_label", "predicted_label").agg(F.count("*").alias("n"))
-    names = F.array(*[F.lit(c) for c in classes])
-    grid = (
-        predictions.groupBy("model").agg(F.count("*").alias("_rows"))
-        .select("model", F.explode(names).alias("true_label"))
-        .select("model", "true_label", F.explode(names).alias("predicted_label"))
-    )
-    return grid.join(seen, ["model", "true_label", "predicted_label"], "left").withColumn(
-        "n", F.coalesce("n", F.lit(0))
-    )
+    # at most classes * classes entries per model
+    counts = seen.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(pair, "n"))).alias("counts"))
+    cells = [
+        F.struct(
+            F.lit(t).alias("true_label"),
+            F.lit(p).alias("predicted_label"),
+            F.coalesce(
+                F.try_element_at("counts", F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("predicted_label"))),
+                F.lit(0),
+            ).alias("n"),
+        )
+        for t in classes for p in classes
+    ]
+    return counts.select("model", F.inline(F.array(*cells)))
 
 
 def _f1(precision: Column, recall: Column) -> Column:
@@ -74,6 +80,7 @@ def averages(classes_table: DataFrame) -> DataFrame:
         value = F.when(seen, F.col(metric))
         out.append(F.avg(value).alias(f"macro_{metric}"))
         out.append((F.sum(value * F.col("support")) / F.sum("support")).alias(f"weighted_{metric}"))
+    out.append((F.sum("tp") / F.sum("support")).alias("accuracy"))
     return classes_table.groupBy("model").agg(*out, F.sum("support").alias("rows"))
 
 
@@ -155,16 +162,23 @@ def reliability_bins(predictions: DataFrame, bins: int = 10) -> DataFrame:
         F.avg("confidence").alias("mean_confidence"),
         F.avg(F.col("correct").cast("int")).alias("accuracy"),
     )
-    frame = predictions.groupBy("model").agg(F.count("*").alias("_rows")).select(
+    stats = F.struct("rows", "mean_confidence", "accuracy")
+    # at most one entry per bin
+    by_bin = filled.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("bin", stats))).alias("bins"))
+    frame = by_bin.select(
         "model",
         F.inline(F.array(*[
-            F.struct(F.lit(i).alias("bin"), F.lit(edges[i]).alias("lower"), F.lit(edges[i + 1]).alias("upper"))
+            F.struct(
+                F.lit(i).alias("bin"), F.lit(edges[i]).alias("lower"), F.lit(edges[i + 1]).alias("upper"),
+                F.try_element_at("bins", F.lit(i)).alias("found"),
+            )
             for i in range(bins)
         ])),
     )
-    return frame.join(filled, ["model", "bin"], "left").select(
-        "model", "bin", "lower", "upper", F.coalesce("rows", F.lit(0)).alias("rows"), "mean_confidence", "accuracy",
-        F.abs(F.col("mean_confidence") - F.col("accuracy")).alias("gap"),
+    return frame.select(
+        "model", "bin", "lower", "upper", F.coalesce("found.rows", F.lit(0)).alias("rows"),
+        "found.mean_confidence", "found.accuracy",
+        F.abs(F.col("found.mean_confidence") - F.col("found.accuracy")).alias("gap"),
     )
 
 
@@ -197,7 +211,7 @@ def confidence_accuracy(predictions: DataFrame) -> DataFrame:
 def comparison(predictions: DataFrame, classes: Sequence[str], label_column: str = "Label") -> DataFrame:
     """One row of metrics per model on the same split."""
     cells = confusion(predictions, classes)
-    table = accuracy(predictions).join(averages(per_class(cells)), "model")
+    table = averages(per_class(cells))
     if len(classes) == 2:
         positive = positive_class(classes, label_column)
         table = table.join(binary_counts(cells, positive), "model").join(

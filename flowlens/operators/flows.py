@@ -214,7 +214,7 @@ def accumulate(segmented: DataFrame, idle_us: int, cap: int, mode: str = "strict
     )
 
 
-def _oriented(flows: DataFrame) -> DataFrame:
+def oriented(flows: DataFrame) -> DataFrame:
     """Name endpoints and per-side sums from the opener's point of view."""
     opener = F.col("opener_a")
 
@@ -246,7 +246,7 @@ def flow_table(
     flush_open: bool = False,
 ) -> DataFrame:
     """All flows of a capture; ``active`` marks those that are still open at its last packet."""
-    flows = _oriented(accumulate(segment(packets, idle_us, cap, mode, slot_us), idle_us, cap, mode))
+    flows = oriented(accumulate(segment(packets, idle_us, cap, mode, slot_us), idle_us, cap, mode))
     horizon = packets.agg(F.max("ts_us")).scalar()
     closed = (F.col("packet_count") >= cap) | (horizon - F.col("last_seen_us") >= idle_us)
     return flows.withColumn("active", F.lit(False) if flush_open else ~closed)

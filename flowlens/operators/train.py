@@ -116,6 +116,10 @@ class FittedModel:
         }
 
 
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def _prepare_sql(medians: Mapping[str, float], scale: Mapping[str, tuple[float, float]] | None) -> str:
     cells = []
     for i, (name, median) in enumerate(medians.items()):
@@ -129,38 +133,51 @@ def _prepare_sql(medians: Mapping[str, float], scale: Mapping[str, tuple[float,
 
 
 def _classifier(name: str, n_classes: int, rows: int, trees: int, depth: int):
-    common = dict(featuresCol="_vector", labelCol="_index", weightCol="_weight",
-                  probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
+    common = dict(featuresCol="_vector", labelCol="_index", weightCol="_weight", predictionCol="_prediction")
     if name == "logistic_regression":
         # balanced weights add up to the row count, which makes 1/rows the usual unit penalty
         return LogisticRegression(maxIter=500, regParam=1.0 / rows, standardization=False, **common)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=S.SEED, featureSubsetStrategy="sqrt", **common)
+        return RandomForestClassifier(
+            numTrees=trees, maxDepth=depth, seed=S.SEED, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, **common
+        )
     if name == "primary":
         if n_classes == 2:
             return GBTClassifier(maxIter=20, maxDepth=5, seed=S.SEED, **common)
-        return RandomForestClassifier(numTrees=60, maxDepth=min(30, depth + 2), seed=S.SEED, **common)
+        # boosted trees are binary only in Spark ML; several classes take a deeper forest
+        return RandomForestClassifier(
+            numTrees=60, maxDepth=min(30, depth + 2), seed=S.SEED, maxMemoryInMB=1024, **common
+        )
     raise FlowLensError(f"model_name must be one of {', '.join(MODEL_NAMES)}.")
 
 
 def fit(
-    name: str, train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 10
+    name: str,
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    trees: int = 200,
+    depth: int = 10,
+    medians: Mapping[str, float | None] | None = None,
 ) -> FittedModel:
-    """Median imputation, scaling for the linear model, balanced weights, classifier."""
+    """Median imputation, scaling for the linear model, balanced weights, classifier.
+
+    ``medians`` of the training rows may be passed in when several models share them.
+    """
     if name not in MODEL_NAMES:
         raise FlowLensError(f"model_name must be one of {', '.join(MODEL_NAMES)}.")
     start = time.perf_counter()
     counts = class_counts(train, label)
     if len(counts) < 2:
         raise FlowLensError("The selected label has fewer than two classes.")
-    known = {f: m for f, m in exact_medians(train, features).items() if m is not None}
+    found = exact_medians(train, features) if medians is None else medians
+    known = {f: m for f, m in found.items() if m is not None}
     scale = None
     if name == "logistic_regression":
         # one row per feature
         scale = {r["feature"]: (r["mean"], r["std"]) for r in moments(train, list(known), known).collect()}
     weights = F.create_map(*[F.lit(x) for pair in class_weights(counts).items() for x in pair])
-    classes = sorted(counts)
-    indexer = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    indexer = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc", handleInvalid="error")
     rows = train.select(
         *[quoted(f) for f in features], quoted(label).cast("string").alias("_label")
     ).withColumn("_weight", weights[F.col("_label")])
@@ -168,12 +185,16 @@ def fit(
         SQLTransformer(statement=_prepare_sql(known, scale)),
         VectorAssembler(inputCols=[f"_x{i}" for i in range(len(known))], outputCol="_vector"),
     ]
-    labelled = indexer.setHandleInvalid("error").fit(rows)
+    labelled = indexer.fit(rows)
+    # the passes of the fit run over kept, evenly spread rows; a lost block is recomputed
+    spread = labelled.transform(rows).repartition(max(_cores(train), rows.rdd.getNumPartitions())).persist()
     pipeline = Pipeline(stages=[
         *prepare,
-        _classifier(name, len(classes), sum(counts.values()), trees, depth),
+        _classifier(name, len(counts), sum(counts.values()), trees, depth)
+        .setProbabilityCol("_probability").setRawPredictionCol("_raw"),
         IndexToString(inputCol="_prediction", outputCol="_predicted", labels=list(labelled.labels)),
-    ]).fit(labelled.transform(rows))
+    ]).fit(spread)
+    spread.unpersist()
     return FittedModel(
         name, pipeline, tuple(features), tuple(known), tuple(labelled.labels), label, time.perf_counter() - start
     )

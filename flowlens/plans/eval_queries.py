@@ -232,7 +232,7 @@ Q: dict[str, tuple] = {
     "e2_confusion_binary": (lambda s, d: confusion(s, d, True), _b(_confusion_sql("scored_binary"), "scored_binary", "classes")),
     "e3_per_class": (lambda s, d: EV.per_class(confusion(s, d)), _m("SELECT * FROM pc", "pc")),
     "e4_e5_averages": (
-        lambda s, d: _round(EV.averages(EV.per_class(confusion(s, d))), 9, "macro_precision", "macro_recall", "macro_f1",
+        lambda s, d: _round(EV.averages(EV.per_class(confusion(s, d))).drop("accuracy"), 9, "macro_precision", "macro_recall", "macro_f1",
                             "weighted_f1", "weighted_precision", "weighted_recall"),
         _m("SELECT model, rows, " + _r("macro_precision", "macro_recall", "macro_f1", "weighted_f1", "weighted_precision",
                                        "weighted_recall") + " FROM avgs", "avgs")),
