@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .. import schema as S
 from ..errors import FlowLensError
 from ..functions.columns import finite, quoted
 from ..functions.prefix import class_counts, ordered_prefix
+from ..workspace import staged
 
 MODEL_NAMES = ("primary", "random_forest", "logistic_regression")
 
@@ -54,7 +57,8 @@ def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | N
             F.when(F.col(f"c{i}").between(low[i], high[i]), F.struct(F.lit(i).alias("col"), F.col(f"c{i}").alias("value")))
             for i in todo
         ])).alias("cell")).filter("cell IS NOT NULL").groupBy("cell.col", "cell.value").agg(F.count("*").alias("n"))
-        ranked = ordered_prefix(inside, ["col"], "value", {"before": "n"})
+        # few rows by now, and ranking reads them three times
+        ranked = ordered_prefix(staged(inside, "medians"), ["col"], "value", {"before": "n"})
         marks = {i: sorted({(first[f"n{i}"] + 1) // 2, first[f"n{i}"] // 2 + 1}) for i in todo}
         wanted = F.create_map(*[x for i in todo for x in (
             F.lit(i), F.array(F.lit(marks[i][0] - below[f"b{i}"]), F.lit(marks[i][-1] - below[f"b{i}"])))])
@@ -74,17 +78,15 @@ def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | N
     return {f: out[f] for f in features}
 
 
-def moments(df: DataFrame, features: Sequence[str], medians: Mapping[str, float]) -> DataFrame:
-    """Mean and population deviation of the imputed columns, one row per feature."""
-    aggs = []
-    for i, f in enumerate(features):
-        filled = F.coalesce(finite(quoted(f).cast("double")), F.lit(medians[f]))
-        aggs += [F.avg(filled).alias(f"m{i}"), F.stddev_pop(filled).alias(f"s{i}")]
-    rows = [
-        F.struct(F.lit(i).alias("place"), F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
-        for i, f in enumerate(features)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+def moments(df: DataFrame, features: Sequence[str], medians: Mapping[str, float]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each imputed column, summed as one vector column."""
+    filled = _values(df, features).fillna({f"c{i}": float(medians[f]) for i, f in enumerate(features)})
+    vector = VectorAssembler(inputCols=filled.columns, outputCol="v").transform(filled)
+    row = vector.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select("s.*").first()
+    n = row["count"]
+    # the summarizer's variance is over n - 1
+    spread = [math.sqrt(v * (n - 1) / n) for v in row["variance"]]
+    return {f: (float(row["mean"][i]), spread[i]) for i, f in enumerate(features)}
 
 
 def class_weights(counts: Mapping[str, int]) -> dict[str, float]:
@@ -116,8 +118,10 @@ class FittedModel:
         }
 
 
-def _cores(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+def _spread(rows: DataFrame, cells: int) -> DataFrame:
+    """Training rows in partitions of about 250,000 cells, at most three per core."""
+    wanted = max(1, min(cells // 250_000, 3 * rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(wanted)
 
 
 def _prepare_sql(medians: Mapping[str, float], scale: Mapping[str, tuple[float, float]] | None) -> str:
@@ -174,10 +178,10 @@ def fit(
     known = {f: m for f, m in found.items() if m is not None}
     scale = None
     if name == "logistic_regression":
-        # one row per feature
-        scale = {r["feature"]: (r["mean"], r["std"]) for r in moments(train, list(known), known).collect()}
+        scale = moments(train, list(known), known)
     weights = F.create_map(*[F.lit(x) for pair in class_weights(counts).items() for x in pair])
-    indexer = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc", handleInvalid="error")
+    classes = sorted(counts)
+    indexer = StringIndexerModel.from_labels(classes, inputCol="_label", outputCol="_index", handleInvalid="error")
     rows = train.select(
         *[quoted(f) for f in features], quoted(label).cast("string").alias("_label")
     ).withColumn("_weight", weights[F.col("_label")])
@@ -185,18 +189,18 @@ def fit(
         SQLTransformer(statement=_prepare_sql(known, scale)),
         VectorAssembler(inputCols=[f"_x{i}" for i in range(len(known))], outputCol="_vector"),
     ]
-    labelled = indexer.fit(rows)
     # the passes of the fit run over kept, evenly spread rows; a lost block is recomputed
-    spread = labelled.transform(rows).repartition(max(_cores(train), rows.rdd.getNumPartitions())).persist()
+    per_row = len(known) if name == "logistic_regression" else trees
+    spread = _spread(indexer.transform(rows), sum(counts.values()) * per_row).persist()
     pipeline = Pipeline(stages=[
         *prepare,
         _classifier(name, len(counts), sum(counts.values()), trees, depth)
         .setProbabilityCol("_probability").setRawPredictionCol("_raw"),
-        IndexToString(inputCol="_prediction", outputCol="_predicted", labels=list(labelled.labels)),
+        IndexToString(inputCol="_prediction", outputCol="_predicted", labels=classes),
     ]).fit(spread)
     spread.unpersist()
     return FittedModel(
-        name, pipeline, tuple(features), tuple(known), tuple(labelled.labels), label, time.perf_counter() - start
+        name, pipeline, tuple(features), tuple(known), tuple(classes), label, time.perf_counter() - start
     )
 
 

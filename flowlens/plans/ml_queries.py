@@ -50,8 +50,9 @@ def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = CQ.holes(spark, sf_dir)
     found = TR.exact_medians(rows, _HOLES)
-    out = TR.moments(rows, _HOLES, found)
-    return out.select("feature", F.round("mean", 2).alias("mean"), F.round("std", 2).alias("std"))
+    out = [(f, *values) for f, values in TR.moments(rows, _HOLES, found).items()]
+    return spark.createDataFrame(out, "feature string, mean double, std double").select(
+        "feature", F.round("mean", 2).alias("mean"), F.round("std", 2).alias("std"))
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

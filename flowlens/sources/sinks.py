@@ -38,7 +38,7 @@ def append_experiment(
         F.lit(S.SEED).alias("random_seed"),
         *[F.lit(v).alias(k) for k, v in description.items()],
         document(profile).alias("dataset"),
-        document(metrics).alias("model"),
+        document(metrics).alias("metrics"),
         document(reliability).alias("reliability"),
         F.lit("NaN").alias("infinite_values"),
         F.lit(True).alias("numeric_coercion"),
