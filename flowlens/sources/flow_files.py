@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,15 @@ LATIN1 = "ISO-8859-1"
 def normalised_names(header: Sequence[str | None]) -> list[str]:
     """Header cells without padding; the n-th repeat of a name gets the suffix ``.n``."""
     def numbered(names: Sequence[str]) -> list[str]:
-        seen: dict[str, int] = {}
+        used: set[str] = set()
         out = []
         for name in names:
-            repeat = seen.get(name, 0)
-            seen[name] = repeat + 1
-            out.append(f"{name}.{repeat}" if repeat else name)
+            free, repeat = name, 0
+            while free in used:
+                repeat += 1
+                free = f"{name}.{repeat}"
+            used.add(free)
+            out.append(free)
         return out
 
     cells = [c if c else f"Unnamed: {i}" for i, c in enumerate(header)]
@@ -163,7 +167,10 @@ def _sha256_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for uri in batch["path"]:
-            store, inner = fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            if uri.startswith("file:"):
+                store, inner = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+            else:
+                store, inner = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
             digest = hashlib.sha256()
             with store.open_input_stream(inner) as stream:
                 while block := stream.read(4 << 20):
