@@ -67,11 +67,10 @@ def is_benign(label: Column, label_column: str = "Label") -> Column:
     return benign | (text == "0") if label_column.lower() == "is_attack" else benign
 
 
-def arg_max(classes: Sequence[str], probabilities: Column) -> Column:
-    """Class of the largest probability; the first class wins ties."""
+def arg_max(classes: Sequence[str], probabilities: Column, largest: Column) -> Column:
+    """Class whose probability is the ``largest``; the first class wins ties."""
     names = F.array(*[F.lit(c) for c in classes])
-    place = F.array_position(probabilities, F.array_max(probabilities))
-    return F.element_at(names, place.cast("int"))
+    return F.element_at(names, F.array_position(probabilities, largest).cast("int"))
 
 
 def probability_map(classes: Sequence[str], probabilities: Column) -> Column:

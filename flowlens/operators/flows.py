@@ -18,6 +18,9 @@ from ..functions.columns import iso_utc
 from ..functions.prefix import ordered_lag, ordered_prefix
 
 KEY = ["protocol", "a_ip", "a_port", "b_ip", "b_port"]
+# A time slot spans this many idle times: a minute at the default, so that a sparse key has
+# few slots and a hot key still has many.
+SLOT_IDLES = 12
 FLAG_LETTERS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U"}
 
 
@@ -43,16 +46,21 @@ def normalise_packets(raw: DataFrame) -> DataFrame:
 
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
-    """Both directions share one key: the two endpoints ordered by address text, then port."""
-    source = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
-    target = F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
+    """Both directions share one key: the two endpoints ordered by address text, then port.
+
+    Key columns are never null: a packet without an address keeps its row, and the joins on
+    the key need no null filter.
+    """
+    blank, none = F.lit(""), F.lit(0)
+    source = F.struct(F.coalesce("src_ip", blank).alias("ip"), F.coalesce("src_port", none).alias("port"))
+    target = F.struct(F.coalesce("dst_ip", blank).alias("ip"), F.coalesce("dst_port", none).alias("port"))
     low, high = F.least(source, target), F.greatest(source, target)
-    return packets.select(
+    return packets.withColumn("protocol", F.coalesce("protocol", blank)).select(
         "*",
-        low["ip"].alias("a_ip"),
-        low["port"].alias("a_port"),
-        high["ip"].alias("b_ip"),
-        high["port"].alias("b_port"),
+        F.coalesce(low["ip"], blank).alias("a_ip"),
+        F.coalesce(low["port"], none).alias("a_port"),
+        F.coalesce(high["ip"], blank).alias("b_ip"),
+        F.coalesce(high["port"], none).alias("b_port"),
         (source == low).alias("from_a"),
     )
 
@@ -116,7 +124,7 @@ def segment(
         raise FlowLensError("mode must be strict or parity.")
     if idle_us <= 0 or cap < 1:
         raise FlowLensError("idle and cap must be positive.")
-    keyed = _slots(with_flow_key(packets), slot_us or max(idle_us, 60_000_000))
+    keyed = _slots(with_flow_key(packets), slot_us or SLOT_IDLES * idle_us)
     if mode == "parity":
         keyed = _with_parity_breaks(keyed, idle_us)
 

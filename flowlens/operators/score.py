@@ -16,7 +16,8 @@ def with_prediction(
 ) -> DataFrame:
     """Add ``predicted_label``, ``confidence`` and, when the truth is known, ``correct``."""
     p = F.col(probability)
-    out = df.withColumn("predicted_label", C.arg_max(classes, p)).withColumn("confidence", F.array_max(p))
+    out = df.withColumn("confidence", F.array_max(p))
+    out = out.withColumn("predicted_label", C.arg_max(classes, p, F.col("confidence")))
     if truth is not None:
         out = out.withColumn("correct", F.col("predicted_label") == F.col(truth))
     return out

@@ -106,19 +106,16 @@ def _weights(model: str, label: Column) -> list[Column]:
 def scored(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
     """Predictions of three models, one row per (model, sample): sample columns, label, probability array."""
     rows = labelled_flows(spark, sf_dir)
+    weights = {f"_{m}_{i}": w for m in MODELS for i, w in enumerate(_weights(m, F.col("Label")))}
+    weighted = rows.withColumns(weights)
     per_model = []
     for model in MODELS:
-        w = _weights(model, F.col("Label"))
+        w = [F.col(f"_{model}_{i}") for i in range(3)]
         if binary:
             w = [w[0], w[1] + w[2]]
         total = sum(w[1:], w[0])
-        per_model.append(F.struct(
-            F.lit(model).alias("model"),
-            F.array(*[(x / total) for x in w]).alias("probability"),
-        ))
-    out = rows.withColumn("m", F.explode(F.array(*per_model))).select(
-        "m.model", "sample_id", *FEATURES, "day", "Label", "is_attack", "m.probability"
-    )
+        per_model.append(F.struct(F.lit(model).alias("model"), F.array(*[x / total for x in w]).alias("probability")))
+    out = weighted.select("sample_id", *FEATURES, "day", "Label", "is_attack", F.inline(F.array(*per_model)))
     label = F.col("is_attack").cast("string") if binary else F.col("Label")
     return out.withColumn("true_label", label)
 
