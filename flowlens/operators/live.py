@@ -22,11 +22,6 @@ def attach_predictions(flows: DataFrame, prediction: Column, error: Column) -> D
     )
 
 
-def join_predictions(flows: DataFrame, predictions: DataFrame, on: str = "flow_id") -> DataFrame:
-    """Flows with separately computed predictions, unmatched ones null (1:1 by flow)."""
-    return flows.join(predictions, on, "left")
-
-
 def completed_at(idle_us: int, cap: int) -> Column:
     """When a flow left the open table: at its last packet if full, else after the idle time."""
     return F.when(F.col("packet_count") >= cap, F.col("last_seen_us")).otherwise(F.col("last_seen_us") + idle_us)

@@ -12,24 +12,27 @@ from .. import schema as S
 from ..errors import FlowLensError
 from ..functions.columns import is_benign, quoted
 from ..functions.prefix import class_counts, hash_cutoffs, hash_key, within_cutoff
+from ..workspace import staged
 
+MAX_BROADCAST_FILES = 100_000
 
-def row_positions(spark: SparkSession, path: str, out: str = "row_position") -> DataFrame:
-    """A Parquet table with each row's 0-based place, files in path order.
+
+def row_positions(spark: SparkSession, path: str, out: str = "row_position") -> tuple[DataFrame, int]:
+    """A Parquet table with each row's 0-based place, files in path order, and its row count.
 
     Needs the row count of each file only; the data itself is not shuffled for it.
     """
     rows = spark.read.parquet(path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    # one row per file of the table
-    files = sizes.select(
-        "_file",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_offset"),
-    )
-    return rows.join(files, "_file").withColumn(out, F.col("_offset") + F.col("_row")).drop("_file", "_row", "_offset")
+    sizes = staged(rows.groupBy("_file").agg(F.count("*").alias("_n")), "file-sizes")
+    found = sizes.agg(F.count("*").alias("files"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    # one row per file; beyond the checked size the join is left to AQE, which splits hot files
+    offsets = F.broadcast(offsets) if found["files"] <= MAX_BROADCAST_FILES else offsets
+    placed = rows.join(offsets, "_file").withColumn(out, F.col("_offset") + F.col("_row"))
+    return placed.drop("_file", "_row", "_offset"), found["rows"]
 
 
 def block_sample(
@@ -41,8 +44,7 @@ def block_sample(
     keep_position: bool = False,
 ) -> DataFrame:
     """Rows from evenly spaced blocks of a Parquet table, at most ``max_rows`` in all."""
-    rows = row_positions(spark, path)
-    total = spark.read.parquet(path).count()
+    rows, total = row_positions(spark, path)
     blocks = max(1, math.ceil(total / block_rows))
     chosen = min(blocks, max(10, math.ceil(max_rows / 1000)))
     per_block = max(1, math.ceil(max_rows / chosen))

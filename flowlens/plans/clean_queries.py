@@ -114,10 +114,10 @@ def counts_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 500 rows of one CSV file in file order, columns typed from their cells."""
-    path = run_folder(spark, "head")
+    path = run_folder(spark, "head") + ".csv"
     ordered = labelled_flows(spark, sf_dir).select("sample_id", *FEATURES, "Label").orderBy("sample_id")
     ordered.write.option("header", "true").csv(path)
-    rows = FF.typed(FF.read_csv_head(spark, path, 500), "Label")
+    rows = FF.load_table(spark, path, 500, "Label")
     return rows.select(*[C.quoted(c).cast("bigint").alias(c) for c in ("sample_id", *FEATURES)], "Label")
 
 
@@ -196,7 +196,7 @@ Q: dict[str, tuple] = {
     "s1_s2_csv_scan": (csv_scan, _sql(f"""
         SELECT file, "Label", count(*) AS rows, {", ".join(f'CAST(sum(CAST("{c}" AS BIGINT)) AS BIGINT) AS "{c}"' for c in DIRTY_FEATURES)}
         FROM typed GROUP BY file, "Label" """, "typed")),
-    "s3_csv_head": (csv_head, _sql(f"SELECT sample_id, {', '.join(FEATURES)}, Label FROM labelled_flows ORDER BY sample_id LIMIT 500",
+    "s3_s5_csv_head": (csv_head, _sql(f"SELECT sample_id, {', '.join(FEATURES)}, Label FROM labelled_flows ORDER BY sample_id LIMIT 500",
                                    "labelled_flows")),
     "s6_clean_sink": (clean_sink, _sql(f'SELECT {_COLS}, "Label", day, file, is_attack FROM clean', "clean")),
     "s7_counts_sink": (counts_sink, _sql('SELECT day, "Label", count(*) AS rows FROM clean WHERE day IS NOT NULL GROUP BY day, "Label"', "clean")),

@@ -126,7 +126,7 @@ def stream_flows(
         if watermark is not None:
             due = waiting.filter(F.col("ts_us") <= watermark)
             members = FL.segment(due, idle_us, cap, "strict", slot_us).persist()
-            sums = FL.accumulate(members, idle_us, cap)
+            sums = FL.accumulate(members, idle_us, cap).persist()
             closed = (F.col("packet_count") >= cap) | (F.lit(watermark) - F.col("last_seen_us") >= idle_us)
             done = FL.oriented(sums.filter(closed)).withColumn("flow_id", F.col("first_seq")).withColumn(
                 "active", F.lit(False))
@@ -135,6 +135,7 @@ def stream_flows(
             kept = members.join(still, [*FL.KEY, "flow_start"], "left_semi").select(*PACKET)
             ahead = waiting.filter(F.col("ts_us") > watermark).select(*PACKET)
             kept.unionByName(ahead).write.mode("overwrite").parquet(f"{folder}/open/{here}")
+            sums.unpersist()
             members.unpersist()
         else:
             waiting.write.mode("overwrite").parquet(f"{folder}/open/{here}")
