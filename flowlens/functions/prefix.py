@@ -24,11 +24,11 @@ MAX_CLASSES = 10_000
 HASH_PREFIX = 4
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """A power of two, about four buckets per shuffle partition, between 64 and 4096."""
+def bucket_count(spark: SparkSession, most: int = 4096) -> int:
+    """A power of two, about four buckets per shuffle partition, between 64 and ``most``."""
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     count = 64
-    while count < wanted and count < 4096:
+    while count < wanted and count < most:
         count *= 2
     return count
 
@@ -36,18 +36,20 @@ def bucket_count(spark: SparkSession) -> int:
 def _bucket_of(bounds: Column, value: Column, buckets: int) -> Column:
     """How many of the sorted ``buckets - 1`` bounds are <= value, by halving steps."""
     steps = [buckets >> i for i in range(1, buckets.bit_length())]
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda low, step: F.when(F.element_at(bounds, low + step) <= value, low + step).otherwise(low),
     )
+    # never null, so that joins on the bucket add no null filter; null values sort first
+    return F.coalesce(found, F.lit(0))
 
 
 def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
     """Add ``bucket``: an order-preserving, evenly filled bucket number within each group."""
     buckets = buckets or bucket_count(df.sparkSession)
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = F.percentile_approx(quoted(order), shares, 16 * buckets).alias("bounds")
+    bounds = F.percentile_approx(quoted(order), shares, 8 * buckets).alias("bounds")
     if groups:
         # one row per group; groups are models or feature columns, so metadata-sized
         edges = df.groupBy(*groups).agg(bounds)

@@ -1,8 +1,9 @@
 """Packets to bidirectional flows to the 78-column feature vector, in batch.
 
 Skew: a flow key may hold a third of all packets, so nothing is windowed by key alone.
-Packets are windowed per (key, time slot); one summary row per (key, slot) carries the
-previous timestamp, the row offset and the open session's start into the next slot.
+Packets are windowed per (key, time slot), slots holding equal shares of the capture; one
+summary row per (key, slot) carries the previous timestamp, the row offset and the open
+session's start into the next slot.
 After that a flow is identified by (key, position of its first packet) and holds at most
 ``cap`` packets, and all statistics are one partially aggregated ``groupBy``.
 """
@@ -15,12 +16,10 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..errors import FlowLensError
 from ..functions.columns import iso_utc
-from ..functions.prefix import ordered_lag, ordered_prefix
+from ..functions.prefix import bucket_count, ordered_lag, ordered_prefix, with_buckets
 
 KEY = ["protocol", "a_ip", "a_port", "b_ip", "b_port"]
-# A time slot spans this many idle times: a minute at the default, so that a sparse key has
-# few slots and a hot key still has many.
-SLOT_IDLES = 12
+MAX_SLOTS = 16_384
 FLAG_LETTERS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U"}
 
 
@@ -70,8 +69,16 @@ def since(packets: DataFrame, window_start_us: int | None) -> DataFrame:
     return packets if window_start_us is None else packets.filter(F.col("ts_us") >= window_start_us)
 
 
-def _slots(keyed: DataFrame, slot_us: int) -> DataFrame:
-    return keyed.withColumn("slot", F.floor(F.col("ts_us") / F.lit(slot_us)).cast("bigint"))
+def _slots(keyed: DataFrame, slot_us: int | None) -> DataFrame:
+    """Add the packet's time slot, of fixed width or (default) of equal packet counts.
+
+    Slots of equal counts over all keys hold at most packets / slots rows, so that bounds
+    every (key, slot) group too, however hot the key and however bursty the capture.
+    """
+    if slot_us is not None:
+        return keyed.withColumn("slot", F.floor(F.col("ts_us") / F.lit(slot_us)).cast("bigint"))
+    count = bucket_count(keyed.sparkSession, MAX_SLOTS)
+    return with_buckets(keyed, [], "ts_us", count).withColumnRenamed("bucket", "slot")
 
 
 def _in_slot() -> Window:
@@ -124,7 +131,7 @@ def segment(
         raise FlowLensError("mode must be strict or parity.")
     if idle_us <= 0 or cap < 1:
         raise FlowLensError("idle and cap must be positive.")
-    keyed = _slots(with_flow_key(packets), slot_us or SLOT_IDLES * idle_us)
+    keyed = _slots(with_flow_key(packets), slot_us)
     if mode == "parity":
         keyed = _with_parity_breaks(keyed, idle_us)
 
