@@ -110,10 +110,10 @@ def evidence(features: Sequence[str], confidence: Column) -> Column:
     """Evidence sentences for one scored row."""
     missing, largest = missing_count(features), largest_feature(features)
     return F.array_compact(F.array(
-        F.when(missing > 0, F.concat(missing.cast("string"), F.lit(" feature values were missing and median-imputed."))),
-        F.when(largest.isNotNull(), F.concat(F.lit("Highest-magnitude observed feature: "), largest, F.lit("."))),
-        F.when(confidence >= S.HIGH_CONFIDENCE, F.lit("High confidence"))
-        .otherwise(F.lit("Review manually: model confidence is below 0.8.")),
+        F.when(missing > 0, F.concat(missing.cast("string"), F.lit(S.EVIDENCE_MISSING))),
+        F.when(largest.isNotNull(), F.concat(F.lit(S.EVIDENCE_LARGEST), largest, F.lit("."))),
+        F.when(confidence >= S.HIGH_CONFIDENCE, F.lit(S.EVIDENCE_SURE))
+        .otherwise(F.lit(S.EVIDENCE_UNSURE)),
     ))
 
 

@@ -48,7 +48,7 @@ def _bucket_of(bounds: Column, value: Column, buckets: int) -> Column:
 def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
     """Add ``bucket``: an order-preserving, evenly filled bucket number within each group."""
     buckets = buckets or bucket_count(df.sparkSession)
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    shares = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
     bounds = F.percentile_approx(quoted(order), shares, 8 * buckets).alias("bounds")
     if groups:
         # one row per group; groups are models or feature columns, so metadata-sized

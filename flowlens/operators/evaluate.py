@@ -243,5 +243,5 @@ def better_than(table: DataFrame, primary: str, baseline: str, metric: str = "ma
 
     return table.agg(value(primary).alias("primary_value"), value(baseline).alias("baseline_value")).select(
         F.lit(metric).alias("metric"), "primary_value", "baseline_value",
-        F.when(F.col("primary_value") > F.col("baseline_value"), "better").otherwise("worse or equal").alias("outcome"),
+        F.when(F.col("primary_value") > F.col("baseline_value"), S.BETTER).otherwise(S.NOT_BETTER).alias("outcome"),
     )

@@ -73,8 +73,8 @@ def network_summary(flows: DataFrame) -> DataFrame:
     return summary.withColumn(
         "answer",
         F.concat(
-            F.col("flows_analyzed").cast("string"), F.lit(" flows analyzed and "),
-            F.col("suspicious_flows").cast("string"), F.lit(" suspicious flows detected."),
+            F.col("flows_analyzed").cast("string"), F.lit(S.SUMMARY_ANALYZED),
+            F.col("suspicious_flows").cast("string"), F.lit(S.SUMMARY_SUSPICIOUS),
         ),
     )
 
@@ -87,7 +87,7 @@ def flow_evidence(flows: DataFrame, flow_id: int) -> DataFrame:
     """Prediction, features and endpoints of one flow, or why it was not analysed."""
     failed = F.col("prediction").isNull()
     return flow_by_id(flows, flow_id).withColumn(
-        "error", F.when(failed, F.coalesce("error", F.lit("Flow was not analyzed.")))
+        "error", F.when(failed, F.coalesce("error", F.lit(S.NOT_ANALYZED)))
     )
 
 
@@ -140,15 +140,15 @@ def activity(flows: DataFrame) -> DataFrame:
     """Completed flows and open flows in one table with a status text."""
     common = ["flow_id", "source", "destination", "protocol", "packet_count", "bytes"]
     shown = F.coalesce("prediction.prediction", "error")
-    attack = F.when(F.col("simulation"), "SIMULATED ATTACK").otherwise("ATTACK")
+    attack = F.when(F.col("simulation"), S.SIMULATED_TEXT).otherwise(S.ATTACK_TEXT)
     completed = flows.filter(~F.col("active")).select(
         *common,
         shown.alias("prediction"),
         F.col("prediction.confidence").alias("confidence"),
         F.when(F.col(IS_ALERT), attack).otherwise(shown).alias("display"),
-        F.lit("Completed").alias("status"),
+        F.lit(S.STATUS_COMPLETED).alias("status"),
     )
-    open_now = flows.filter("active").select(*common, F.lit("Active").alias("status"))
+    open_now = flows.filter("active").select(*common, F.lit(S.STATUS_ACTIVE).alias("status"))
     return completed.unionByName(open_now, allowMissingColumns=True)
 
 

@@ -119,7 +119,7 @@ def with_split(
         raise FlowLensError("test_size must lie between 0 and 1.")
     counts = class_counts(df, label)
     if len(counts) < 2:
-        raise FlowLensError("The selected label has fewer than two classes.")
+        raise FlowLensError("A split needs a label with at least two classes.")
     if min(counts.values()) >= 2:
         stratum = quoted(label).cast("string")
         quotas = split_quotas(counts, test_size)
@@ -142,7 +142,7 @@ def bootstrap(
     draws in one pass, reduced to ``count`` rows before anything is shuffled.
     """
     if kind not in ("attack", "benign"):
-        raise FlowLensError("Kind must be attack or benign.")
+        raise FlowLensError("kind is either attack or benign.")
     count = S.clamp_limit(count, 1, 25)
     benign = is_benign(quoted(label), label_column or label)
     pool = df.filter(~benign if kind == "attack" else benign)

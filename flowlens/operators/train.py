@@ -173,7 +173,7 @@ def fit(
     start = time.perf_counter()
     counts = class_counts(train, label)
     if len(counts) < 2:
-        raise FlowLensError("The selected label has fewer than two classes.")
+        raise FlowLensError("Training needs a label with at least two classes.")
     found = exact_medians(train, features) if medians is None else medians
     known = {f: m for f, m in found.items() if m is not None}
     scale = None

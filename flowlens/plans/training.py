@@ -90,7 +90,7 @@ def run_experiment(
     label = S.detect_label(rows.columns, label)
     features = [f for f in S.numeric_features(rows.schema, label) if f != sample_id]
     if not features:
-        raise FlowLensError("No numeric traffic features remain after excluding metadata columns.")
+        raise FlowLensError("The table has no numeric column left to train on.")
     labelled = usable_rows(rows.select(sample_id, *[quoted(f) for f in features], quoted(label)), label)
     capped = SM.capped_by_class(labelled, label, sample_id, max_rows)
     split = staged(SM.with_split(capped, label, sample_id, test_size), "split")

@@ -135,6 +135,21 @@ REVIEW_CONFIDENCE = 0.9
 ELEVATED_UNCERTAINTY = 0.3
 ERROR_RISK = 0.25
 ATTACK_RISK = 0.15
+
+# Texts that are part of the results.
+EVIDENCE_MISSING = " feature values were missing and median-imputed."
+EVIDENCE_LARGEST = "Highest-magnitude observed feature: "
+EVIDENCE_SURE = "High confidence"
+EVIDENCE_UNSURE = "Review manually: model confidence is below 0.8."
+NOT_ANALYZED = "Flow was not analyzed."
+SUMMARY_ANALYZED = " flows analyzed and "
+SUMMARY_SUSPICIOUS = " suspicious flows detected."
+STATUS_ACTIVE = "Active"
+STATUS_COMPLETED = "Completed"
+ATTACK_TEXT = "ATTACK"
+SIMULATED_TEXT = "SIMULATED ATTACK"
+BETTER = "better"
+NOT_BETTER = "worse or equal"
 # --- end of fixed values ----------------------------------------------------
 
 RAW_PACKET_SCHEMA = T.StructType([
@@ -203,10 +218,10 @@ def detect_label(columns: Sequence[str], requested: str | None = None) -> str:
     if requested is not None:
         if requested in columns:
             return requested
-        raise FlowLensError(f"Label column '{requested}' was not found.")
+        raise FlowLensError(f"The table has no column '{requested}' to use as label.")
     found = label_candidates(columns)
     if not found:
-        raise FlowLensError("No label column could be identified; name one explicitly.")
+        raise FlowLensError("None of the columns looks like a label; pass one by name.")
     return found[0]
 
 
@@ -218,7 +233,7 @@ def numeric_features(schema: T.StructType, label: str) -> list[str]:
         if f.name not in barred and isinstance(f.dataType, T.NumericType)
     ]
     if not features:
-        raise FlowLensError("No numeric traffic features remain after excluding metadata columns.")
+        raise FlowLensError("The table has no numeric column left to train on.")
     return features
 
 

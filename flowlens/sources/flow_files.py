@@ -124,7 +124,7 @@ def load_table(spark: SparkSession, path: str, max_rows: int = S.MAX_ROWS, label
     """A bounded working sample of a CSV file (its head) or a Parquet table (spread blocks)."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in ("csv", "parquet"):
-        raise FlowLensError("Only CSV and Parquet datasets are supported.")
+        raise FlowLensError("A table file must end in .csv or .parquet.")
     try:
         if kind == "csv":
             head = read_csv_head(spark, path, max_rows)
@@ -132,7 +132,7 @@ def load_table(spark: SparkSession, path: str, max_rows: int = S.MAX_ROWS, label
         return clean_numbers(block_sample(spark, path, max_rows))
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
-            raise FlowLensError(f"Dataset does not exist: {path}") from error
+            raise FlowLensError(f"There is no file or folder {path}.") from error
         raise
 
 
@@ -154,9 +154,9 @@ def read_upload(spark: SparkSession, path: str, label: str | None = None, max_ro
     elif path.lower().endswith(".csv"):
         rows = typed(read_csv_head(spark, path, min(max_rows, S.BLOCK_ROWS)), label)
     else:
-        raise FlowLensError("Only CSV and Parquet files are supported.")
+        raise FlowLensError("A file to score must end in .csv or .parquet.")
     if label is not None and label not in rows.columns:
-        raise FlowLensError(f"Label column '{label}' was not found.")
+        raise FlowLensError(f"The file has no column '{label}'.")
     return rows, rows.drop(label) if label else rows
 
 

@@ -54,4 +54,4 @@ def read_live_state(spark: SparkSession, path: str) -> DataFrame:
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], S.LIVE_FLOW_SCHEMA)
-        raise FlowLensError(f"Could not read live monitoring state: {error}") from error
+        raise FlowLensError(f"The flow register at {path} cannot be read: {error}") from error

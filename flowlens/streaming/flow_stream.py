@@ -70,7 +70,7 @@ def live_records(flows: DataFrame, scorer: Scorer | None = None) -> DataFrame:
         records = scorer(records)
     else:
         records = records.withColumn("prediction", F.lit(None).cast(S.PREDICTION_TYPE)).withColumn(
-            "error", F.lit("Flow was not analyzed."))
+            "error", F.lit(S.NOT_ANALYZED))
     return records.withColumn("features", C.feature_map(S.FLOW_FEATURES)).withColumn("simulation", F.lit(False)).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.LIVE_FLOW_SCHEMA.fields])
 
