@@ -105,8 +105,8 @@ def stream_flows(
 ) -> StreamingQuery:
     """Cut a stream of normalised packets into flows and write the closed ones.
 
-    Packets may be late by up to ``delay_us`` of event time; later ones are dropped, as a
-    watermark does. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
+    Packets may be late by up to ``delay_us`` of event time; those older than the watermark
+    are dropped. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
     replaced as a whole when a batch is run again, so each flow is written once. The two
     ``slot`` folders of the carried packets alternate: a batch that is run again still finds
     the state it started from. Without ``interval`` the stream takes what is there and ends.
@@ -117,7 +117,7 @@ def stream_flows(
         before = _clock(spark, folder, batch_id)
         fresh = batch.select(*PACKET)
         if before is not None:
-            fresh = fresh.filter(F.col("ts_us") > before)
+            fresh = fresh.filter(F.col("ts_us") >= before)
         newest = fresh.agg(F.max("ts_us")).first()[0]
         marks = [m for m in (before, None if newest is None else newest - delay_us) if m is not None]
         watermark = max(marks) if marks else None

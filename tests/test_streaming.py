@@ -96,6 +96,15 @@ def test_too_late_is_dropped(spark, tmp_path):
     assert as_set(FS.closed_flows(spark, str(tmp_path / "out"))) == before
 
 
+def test_equal_timestamps_across_batches(spark, tmp_path):
+    base = 1_700_000_000 * SECOND
+    rows = [(i, base + (i // 7) * SECOND, 4, 6, "a", 1, "b", 2, 60, "") for i in range(70)]
+    write_files(spark, rows, tmp_path / "in", 9)
+    run(spark, tmp_path / "in", tmp_path / "out")
+    assert as_set(FS.closed_flows(spark, str(tmp_path / "out"))) == as_set(
+        FL.flow_records(batch(spark, rows)).filter("NOT active"))
+
+
 def test_foreign_state_is_refused(spark, tmp_path):
     spark.range(1).selectExpr("7L AS batch_id", "1L AS watermark_us").write.parquet(str(tmp_path / "clock" / "slot=0"))
     with pytest.raises(FlowLensError):
