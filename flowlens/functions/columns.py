@@ -20,14 +20,19 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
-def numeric_cell(text: Column, to: str = "double") -> Column:
-    """A text cell as a finite number, else null.
+def parsed_cell(text: Column) -> Column:
+    """A text cell as a number, infinities included, else null.
 
-    Java's parser also takes ``1d``, ``1f`` and hex forms; those are not numbers in a
-    CSV, and of the accepted words only the infinities hold one of these letters.
+    Java's parser also takes ``1d``, ``1f`` and hex forms; those are not numbers in a CSV,
+    and of the accepted words only the infinities hold one of these letters.
     """
-    number = F.when(~text.rlike("[dDfFxX]"), text.try_cast("double"))
-    return finite(number.cast(to))
+    number = text.try_cast("double")
+    return F.when((F.abs(number) == F.lit(float("inf"))) | ~text.rlike("[dDfFxX]"), number)
+
+
+def numeric_cell(text: Column, to: str = "double") -> Column:
+    """A text cell as a finite number, else null."""
+    return finite(parsed_cell(text).cast(to))
 
 
 def printable_label(label: Column) -> Column:

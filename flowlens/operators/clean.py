@@ -19,8 +19,10 @@ def feature_names(df: DataFrame, label: str = "Label") -> list[str]:
 def coerce(raw: DataFrame, label: str = "Label") -> DataFrame:
     """Features as float32 with infinities and junk null, the label printable, day from file name."""
     features = feature_names(raw, label)
-    return raw.select(
-        *[C.numeric_cell(C.quoted(f), "float").alias(f) for f in features],
+    # parsed in a projection of its own, so that each cell is parsed once
+    parsed = raw.select(*[C.parsed_cell(C.quoted(f)).cast("float").alias(f) for f in features], C.quoted(label), "file")
+    return parsed.select(
+        *[C.finite(C.quoted(f)).alias(f) for f in features],
         C.printable_label(C.quoted(label)).alias(label),
         C.capture_day(F.col("file")).alias("day"),
         "file",

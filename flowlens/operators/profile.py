@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import columns as C
 
-_INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-
-
 def _missing(cell: Column) -> Column:
     return cell.isNull() | cell.isin(*S.MISSING_TOKENS)
 
@@ -29,17 +26,21 @@ def audit(raw: DataFrame) -> DataFrame:
     and the counts come from the same pass.
     """
     cells = _cells(raw)
+    # parsed in a projection of its own, so that each cell is parsed once
+    parsed = raw.select(
+        "file",
+        *[_missing(C.quoted(c)).alias(f"m{i}") for i, c in enumerate(cells)],
+        *[C.parsed_cell(C.quoted(c)).alias(f"v{i}") for i, c in enumerate(cells)],
+    )
     aggs = []
-    for i, name in enumerate(cells):
-        cell = C.quoted(name)
-        infinite = F.coalesce(cell.rlike(_INFINITE), F.lit(False))
-        wrong = ~_missing(cell) & ~infinite & C.numeric_cell(cell).isNull()
+    for i in range(len(cells)):
+        missing, value = F.col(f"m{i}"), F.col(f"v{i}")
         aggs += [
-            F.count_if(infinite).alias(f"inf{i}"),
-            F.count_if(_missing(cell)).alias(f"nan{i}"),
-            F.count_if(wrong).alias(f"bad{i}"),
+            F.count_if(~missing & (F.abs(value) == F.lit(float("inf")))).alias(f"inf{i}"),
+            F.count_if(missing).alias(f"nan{i}"),
+            F.count_if(~missing & value.isNull()).alias(f"bad{i}"),
         ]
-    per_file = raw.groupBy("file").agg(F.count("*").alias("rows"), *aggs)
+    per_file = parsed.groupBy("file").agg(F.count("*").alias("rows"), *aggs)
     numeric_inf = [F.when(F.col(f"bad{i}") == 0, F.col(f"inf{i}")).otherwise(0) for i in range(len(cells))]
     return per_file.select(
         "file",
