@@ -56,7 +56,7 @@ def duplicate_rows(raw: DataFrame) -> DataFrame:
     values = []
     for name in _cells(raw):
         cell = C.quoted(name)
-        number = cell.try_cast("double")
+        number = C.parsed_cell(cell)
         values.append(F.when(~_missing(cell), F.coalesce(number.cast("string"), cell)).alias(name))
     return (
         raw.select("file", *values).groupBy("file", *[C.quoted(c) for c in _cells(raw)]).count()
