@@ -7,9 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "flowlens", cores: int | None = None) -> SparkSession:
+def session(app: str = "flowlens", cores: int | None = None, folder: str | None = None) -> SparkSession:
     """The running session, or a local one for tests and benchmarks.
 
+    ``folder`` becomes the local session's warehouse, which also holds its intermediate tables.
+
     On a cluster the job's own session is used: shuffle partitions and memory come from its
     configuration, and AQE coalesces or splits partitions at run time.
     """
@@ -17,6 +19,7 @@ def session(app: str = "flowlens", cores: int | None = None) -> SparkSession:
     if running is not None:
         return running
     cores = cores or os.cpu_count() or 4
+    folder = folder or os.path.abspath("spark-warehouse")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -26,6 +29,7 @@ def session(app: str = "flowlens", cores: int | None = None) -> SparkSession:
         # small inputs still use all local cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", folder)
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", "12g")

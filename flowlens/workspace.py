@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: str | None = None
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Session settings the results depend on (only run-time ones)."""
@@ -17,14 +14,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only when none is set."""
-    global _fallback
+    """The folder in ``spark.checkpoint.dir``, which every executor and the driver can reach.
+
+    Where that is unset (tests, local runs) the warehouse, which is shared on every cluster too.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _fallback is None:
-        _fallback = tempfile.mkdtemp(prefix="flowlens-")
-    return _fallback
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
