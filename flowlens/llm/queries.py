@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import chat, exact_dedup, html_extract, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -12,6 +12,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"), html_extract.trained())
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    messages = chat.as_chains(turns.unionByName(chat.control_conversation(spark)))
+    return chat.digests(chat.conversations_of(messages))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -20,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -30,8 +53,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_line_dedup": (op2_line_dedup, None),
+    "op3_html_extraction": (op3_html_extraction, None),
+    "op4_toxicity": (op4_toxicity, None),
+    "op5_chat_formatting": (op5_chat_formatting, None),
     "op6_exact_dedup": (op6_exact_dedup, None),
     "op7_mixing": (op7_mixing, None),
+    "op8_url_filters": (op8_url_filters, None),
     "op9_simhash": (op9_simhash, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
