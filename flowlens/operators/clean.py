@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-PROVENANCE = ("file", "file_path", "day")
+PROVENANCE = ("file", "file_path", "file_columns", "day")
 
 
 def feature_names(df: DataFrame, label: str = "Label") -> list[str]:
@@ -51,10 +51,15 @@ def clean(raw: DataFrame, label: str = "Label") -> DataFrame:
     return rows.withColumn("day", C.known_day(F.col("day")))
 
 
-def conflicts(clean_rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows whose features also occur under another label."""
+def conflicts(rows: DataFrame, features: Sequence[str], label: str = "Label") -> DataFrame:
+    """Clean rows whose features also occur under another label.
+
+    ``rows`` are coerced rows, deduplicated or not: a clean row is a distinct label of its
+    features, so one grouping with the set of labels counts them. Labels are few per row.
+    """
+    named = F.struct(C.quoted(label))
     return (
-        clean_rows.groupBy(*[C.quoted(f) for f in features]).agg(F.count("*").alias("n"))
+        rows.groupBy(*[C.quoted(f) for f in features]).agg(F.size(F.collect_set(named)).cast("bigint").alias("n"))
         .agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("conflicting_rows"))
     )
 

@@ -30,39 +30,45 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("model").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))
 
 
+def pair_counts(predictions: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Count of the (true, predicted) pairs of known classes that occur; enough for every metric."""
+    known = [F.col(c).isin(list(classes)) for c in ("true_label", "predicted_label")]
+    return predictions.filter(known[0] & known[1]).groupBy("model", "true_label", "predicted_label").agg(F.count("*").alias("n"))
+
+
 def confusion(predictions: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Count of every (true, predicted) class pair, zeros included, from one pass."""
-    pair = F.struct("true_label", "predicted_label")
-    seen = predictions.groupBy("model", "true_label", "predicted_label").agg(F.count("*").alias("n"))
-    # at most classes * classes entries per model
-    counts = seen.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(pair, "n"))).alias("counts"))
-    cells = [
-        F.struct(
-            F.lit(t).alias("true_label"),
-            F.lit(p).alias("predicted_label"),
-            F.coalesce(
-                F.try_element_at("counts", F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("predicted_label"))),
-                F.lit(0),
-            ).alias("n"),
-        )
-        for t in classes for p in classes
-    ]
-    return counts.select("model", F.inline(F.array(*cells)))
+    names = F.array(*[F.lit(c) for c in classes])
+    zero = F.lit(0).cast("bigint").alias("n")
+    zeros = F.flatten(F.transform(names, lambda t: F.transform(names, lambda p: F.struct(
+        t.alias("true_label"), p.alias("predicted_label"), zero))))
+    cell = F.struct("true_label", "predicted_label", "n")
+    # per model one array of the pairs seen and one of zeros, from the class list alone
+    seen = pair_counts(predictions, classes).groupBy("model").agg(F.collect_list(cell).alias("cells"))
+    every = seen.select("model", F.inline(F.concat("cells", zeros)))
+    return every.groupBy("model", "true_label", "predicted_label").agg(F.sum("n").alias("n"))
 
 
 def _f1(precision: Column, recall: Column) -> Column:
     return safe_ratio(2 * precision * recall, precision + recall)
 
 
-def per_class(cells: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class from confusion counts; 0 when undefined."""
+def per_class(cells: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per class from pair counts; 0 when undefined.
+
+    With ``classes`` every class has a row, also one that no pair of ``cells`` names.
+    """
     hit = F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
     sides = F.array(
         F.struct(F.col("true_label").alias("class"), F.col("n").alias("support"), zero.alias("predicted"), hit.alias("tp")),
         F.struct(F.col("predicted_label").alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")),
     )
-    sums = cells.select("model", F.inline(sides)).groupBy("model", "class").agg(
+    rows = cells.select("model", F.inline(sides))
+    if classes is not None:
+        named = cells.select("model").distinct().select("model", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
+        rows = rows.unionByName(named.select("model", "class", *[zero.alias(c) for c in ("support", "predicted", "tp")]))
+    sums = rows.groupBy("model", "class").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp")
     )
     precision, recall = safe_ratio(F.col("tp"), F.col("predicted")), safe_ratio(F.col("tp"), F.col("support"))
@@ -210,7 +216,7 @@ def confidence_accuracy(predictions: DataFrame) -> DataFrame:
 
 def comparison(predictions: DataFrame, classes: Sequence[str], label_column: str = "Label") -> DataFrame:
     """One row of metrics per model on the same split."""
-    cells = confusion(predictions, classes)
+    cells = pair_counts(predictions, classes)
     table = averages(per_class(cells))
     if len(classes) == 2:
         positive = positive_class(classes, label_column)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..errors import FlowLensError
 from ..functions import columns as C
 
 
@@ -104,16 +105,24 @@ def first_rows(rows: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def sample(rows: DataFrame, sample_id: int) -> DataFrame:
-    return rows.filter(F.col("sample_id") == sample_id)
+    """The row of one sample; an id that is not among the held-out rows is an error."""
+    found = rows.filter(F.col("sample_id") == sample_id)
+    if found.isEmpty():
+        raise FlowLensError(f"There is no held-out sample {sample_id}.")
+    return found
 
 
 def attack_summary(classes_table: DataFrame, label_column: str = "Label") -> DataFrame:
-    """Per attack class precision, recall, F1; the hardest has the lowest recall, first in class order."""
+    """Per attack class its rows, precision, recall, F1; the hardest has the lowest recall, first in class order.
+
+    ``class_rows`` and ``attack_rows`` count the true rows of the class and of all attack classes.
+    """
     attacks = classes_table.filter(~C.is_benign(F.col("class"), label_column))
     hardest = attacks.groupBy("model").agg(
         F.min_by("class", F.struct("recall", "class")).alias("hardest_attack")
     )
-    return attacks.join(hardest, "model").select(
-        "model", "class", "precision", "recall", "f1", "support",
+    every = attacks.groupBy("model").agg(F.sum("support").alias("attack_rows"))
+    return attacks.join(hardest, "model").join(every, "model").select(
+        "model", "class", "precision", "recall", "f1", "support", F.col("support").alias("class_rows"), "attack_rows",
         (F.col("class") == F.col("hardest_attack")).alias("is_hardest"),
     )

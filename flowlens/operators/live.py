@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..errors import FlowLensError
 
 IS_ALERT = "prediction.is_attack"
 
@@ -80,7 +81,11 @@ def network_summary(flows: DataFrame) -> DataFrame:
 
 
 def flow_by_id(flows: DataFrame, flow_id: int) -> DataFrame:
-    return flows.filter(~F.col("active") & (F.col("flow_id") == flow_id))
+    """The completed flow of that number; a number that no completed flow has is an error."""
+    found = flows.filter(~F.col("active") & (F.col("flow_id") == flow_id))
+    if found.isEmpty():
+        raise FlowLensError(f"There is no completed flow {flow_id}.")
+    return found
 
 
 def flow_evidence(flows: DataFrame, flow_id: int) -> DataFrame:

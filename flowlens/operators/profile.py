@@ -16,19 +16,21 @@ def _missing(cell: Column) -> Column:
 
 
 def _cells(raw: DataFrame) -> list[str]:
-    return [c for c in raw.columns if c not in ("file", "file_path")]
+    return [c for c in raw.columns if c not in ("file", "file_path", "file_columns")]
 
 
 def audit(raw: DataFrame) -> DataFrame:
     """Per file: rows, columns, infinite cells in numeric columns, missing cells.
 
     A column is numeric in a file when every present cell of that file parses, so the test
-    and the counts come from the same pass.
+    and the counts come from the same pass. With ``file_columns`` a file has those columns
+    only, and cells of others are not counted.
     """
+    own = F.col("file_columns") if "file_columns" in raw.columns else F.array(*[F.lit(c) for c in _cells(raw)])
     cells = _cells(raw)
     # parsed in a projection of its own, so that each cell is parsed once
     parsed = raw.select(
-        "file",
+        "file", own.alias("own"),
         *[_missing(C.quoted(c)).alias(f"m{i}") for i, c in enumerate(cells)],
         *[C.parsed_cell(C.quoted(c)).alias(f"v{i}") for i, c in enumerate(cells)],
     )
@@ -40,14 +42,15 @@ def audit(raw: DataFrame) -> DataFrame:
             F.count_if(missing).alias(f"nan{i}"),
             F.count_if(~missing & value.isNull()).alias(f"bad{i}"),
         ]
-    per_file = parsed.groupBy("file").agg(F.count("*").alias("rows"), *aggs)
+    per_file = parsed.groupBy("file").agg(F.count("*").alias("rows"), F.max("own").alias("own"), *aggs)
     numeric_inf = [F.when(F.col(f"bad{i}") == 0, F.col(f"inf{i}")).otherwise(0) for i in range(len(cells))]
+    missing = [F.when(F.array_contains("own", c), F.col(f"nan{i}")).otherwise(0) for i, c in enumerate(cells)]
     return per_file.select(
         "file",
         "rows",
-        F.lit(len(cells)).alias("cols"),
+        F.size("own").alias("cols"),
         sum(numeric_inf[1:], numeric_inf[0]).cast("bigint").alias("inf_cells"),
-        sum([F.col(f"nan{i}") for i in range(1, len(cells))], F.col("nan0")).alias("nan_cells"),
+        sum(missing[1:], missing[0]).cast("bigint").alias("nan_cells"),
     )
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,25 +16,37 @@ from ..functions.columns import is_benign, quoted
 from ..functions.prefix import class_counts, hash_cutoffs, hash_key, within_cutoff
 from ..workspace import staged
 
-MAX_BROADCAST_FILES = 100_000
 
+def literal_path(path: str) -> str:
+    """A file's URI as a reader's path that names this file alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
-def row_positions(spark: SparkSession, path: str, out: str = "row_position") -> tuple[DataFrame, int]:
-    """A Parquet table with each row's 0-based place, files in path order, and its row count.
 
-    Needs the row count of each file only; the data itself is not shuffled for it.
+def file_offsets(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(_file, _n, _offset) of every file of a Parquet table, in path order, as a stored table.
+
+    Needs the row counts only, which the files' footers hold; the window sees a row per file.
     """
-    rows = spark.read.parquet(path).select(
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    sizes = rows.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    return staged(sizes.select("_file", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")), "file-offsets")
+
+
+def row_positions(spark: SparkSession, path: str | list[str], out: str = "row_position") -> tuple[DataFrame, int]:
+    """A Parquet table with each row's 0-based place, files in path order, and its row count."""
+    offsets = file_offsets(spark, path)
+    total = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return _placed(spark, path, offsets.select("_file", "_offset"), out), total
+
+
+def _placed(spark: SparkSession, path: str | list[str], offsets: DataFrame, out: str) -> DataFrame:
+    """The rows of the files in ``offsets`` with their place; a small list of files is broadcast by its stored size."""
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path)).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    sizes = staged(rows.groupBy("_file").agg(F.count("*").alias("_n")), "file-sizes")
-    found = sizes.agg(F.count("*").alias("files"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    # one row per file; beyond the checked size the join is left to AQE, which splits hot files
-    offsets = F.broadcast(offsets) if found["files"] <= MAX_BROADCAST_FILES else offsets
     placed = rows.join(offsets, "_file").withColumn(out, F.col("_offset") + F.col("_row"))
-    return placed.drop("_file", "_row", "_offset"), found["rows"]
+    return placed.drop("_file", "_row", "_offset")
 
 
 def block_sample(
@@ -43,8 +57,13 @@ def block_sample(
     seed: int = S.SEED,
     keep_position: bool = False,
 ) -> DataFrame:
-    """Rows from evenly spaced blocks of a Parquet table, at most ``max_rows`` in all."""
-    rows, total = row_positions(spark, path)
+    """Rows from evenly spaced blocks of a Parquet table, at most ``max_rows`` in all.
+
+    The chosen blocks follow from the files' row counts, and only files that hold rows of
+    them are read.
+    """
+    offsets = file_offsets(spark, path)
+    total = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_rows))
     chosen = min(blocks, max(10, math.ceil(max_rows / 1000)))
     per_block = max(1, math.ceil(max_rows / chosen))
@@ -66,6 +85,14 @@ def block_sample(
         hit = F.filter(near, lambda i: (i < chosen) & (edge(i) == block))
         picked = F.try_element_at(hit, F.lit(1))
     full = min(per_block, block_rows)
+    # the chosen blocks are at most a few per thousand sampled rows
+    starts = [min(i, blocks - 1) * block_rows for i in (
+        range(blocks) if chosen == blocks else [blocks - 1 if chosen > 1 and i == chosen - 1 else math.floor(i * step) for i in range(chosen)])]
+    held = F.exists(F.array(*[F.lit(x) for x in starts]), lambda x: (x < F.col("_offset") + F.col("_n")) & (x + block_rows > F.col("_offset")))
+    files = offsets.filter(held)
+    # the file list is of the sample's size; the reader gets the names
+    names = [literal_path(r["_file"]) for r in files.select("_file").collect()]
+    rows = _placed(spark, names or path, files.select("_file", "_offset"), "row_position")
     rank = F.row_number().over(
         Window.partitionBy("_picked").orderBy(hash_key(F.col("row_position"), seed))
     )

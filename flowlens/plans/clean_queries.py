@@ -79,26 +79,45 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_csv(spark: SparkSession, sf_dir: str) -> str:
+    """One Latin-1 CSV file per capture day, with padded headers; Friday's columns are in another
+    order with one more, Monday's lack one."""
     path = run_folder(spark, "captures")
     rows = dirty_lines(spark, sf_dir)
-    padded = rows.select(*[C.quoted(c).alias(f" {c}" if c != "Label" else " Label") for c in rows.columns if c != "file"], "file")
-    (
-        padded.write.partitionBy("file").option("header", "true").option("encoding", FF.LATIN1)
-        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
-    )
+    files = spark._jvm.org.apache.hadoop.fs
+    store = files.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"):
+        name = f"{day}-lines.csv"
+        cols = [c for c in rows.columns if c != "file"]
+        if day == "friday":
+            cols = [*reversed(cols), "Extra"]
+        elif day == "monday":
+            cols.remove("Bwd URG Flags")
+        own = rows.filter(F.col("file") == name).withColumn("Extra", F.lit("7"))
+        (
+            own.select(*[C.quoted(c).alias(f" {c}") for c in cols]).coalesce(1)
+            .write.option("header", "true").option("encoding", FF.LATIN1)
+            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{path}-{day}")
+        )
+        part = store.globStatus(files.Path(f"{path}-{day}/part-*"))[0].getPath()
+        store.mkdirs(files.Path(path))
+        store.rename(part, files.Path(f"{path}/{name}"))
     return path
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin-1 captures with padded headers written and scanned back, folder name as file."""
-    raw = FF.read_capture_csv(spark, _written_csv(spark, sf_dir))
-    raw = raw.withColumn("file", F.regexp_extract("file_path", r"file=([^/]+)/", 1))
-    rows = CL.coerce(raw)
+    """Captures of three layouts written and scanned back by their own headers."""
+    rows = CL.coerce(FF.read_capture_csv(spark, _written_csv(spark, sf_dir)))
     return rows.groupBy("file", "Label").agg(
         F.count("*").alias("rows"), *[F.sum(C.quoted(c).cast("bigint")).alias(c) for c in DIRTY_FEATURES]
     )
 
 
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audit row per capture file: shape, odd cells, duplicates, label counts."""
+    raw = FF.read_capture_csv(spark, _written_csv(spark, sf_dir)).drop("Extra")
+    return PR.audit_report(raw.withColumn("Label", F.trim("Label")).filter("file not in ('monday-lines.csv', 'friday-lines.csv')"))
+
+
 def clean_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_folder(spark, "clean")
     SK.write_clean(clean(spark, sf_dir), path)
@@ -194,7 +213,9 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q: dict[str, tuple] = {
     "s1_s2_csv_scan": (csv_scan, _sql(f"""
-        SELECT file, "Label", count(*) AS rows, {", ".join(f'CAST(sum(CAST("{c}" AS BIGINT)) AS BIGINT) AS "{c}"' for c in DIRTY_FEATURES)}
+        SELECT file, "Label", count(*) AS rows, {", ".join(
+          f'''CAST(sum(CAST(CASE WHEN "{c}" IS NOT NULL AND NOT ('{c}' = 'Bwd URG Flags' AND file = 'monday-lines.csv') THEN "{c}" END AS BIGINT)) AS BIGINT) AS "{c}"'''
+          for c in DIRTY_FEATURES)}
         FROM typed GROUP BY file, "Label" """, "typed")),
     "s3_s5_csv_head": (csv_head, _sql(f"SELECT sample_id, {', '.join(FEATURES)}, Label FROM labelled_flows ORDER BY sample_id LIMIT 500",
                                    "labelled_flows")),
@@ -269,7 +290,7 @@ Q: dict[str, tuple] = {
         lambda s, d: CL.reconciliation(CL.deduplicate(typed(s, d)), DIRTY_FEATURES),
         _sql("""SELECT CAST(sum(copies) AS BIGINT) AS rows_before, count(*) AS rows_after,
           CAST(sum(copies) AS BIGINT) - count(*) AS rows_removed, 5 AS feature_columns FROM once""", "once")),
-    "a9_conflicts": (lambda s, d: CL.conflicts(clean(s, d), DIRTY_FEATURES), _sql(
+    "a9_conflicts": (lambda s, d: CL.conflicts(typed(s, d), DIRTY_FEATURES), _sql(
         f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS conflicting_rows FROM (SELECT count(*) AS n FROM clean GROUP BY {_COLS}) WHERE n > 1",
         "clean")),
 }

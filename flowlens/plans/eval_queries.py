@@ -73,6 +73,10 @@ def confusion(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFra
     return EV.confusion(predictions(spark, sf_dir, binary), BINARY if binary else CLASSES)
 
 
+def pairs(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
+    return EV.pair_counts(predictions(spark, sf_dir, binary), BINARY if binary else CLASSES)
+
+
 def comparison(spark: SparkSession, sf_dir: str, binary: bool) -> DataFrame:
     return EV.comparison(predictions(spark, sf_dir, binary), BINARY if binary else CLASSES,
                          "is_attack" if binary else "Label")
@@ -94,6 +98,14 @@ def cohort(kind):
     return build
 
 
+def wide_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample with all of its 78 feature values."""
+    names = [f"f{i}" for i in range(1, 79)]
+    rows = primary(spark, sf_dir).withColumns({f: (F.col("sample_id") * i % 1009).cast("double") for i, f in enumerate(names, 1)})
+    found = IN.cohort_rows(IN.sample(rows, LOOKUP), CLASSES, names, n_features=None)
+    return found.select("sample_id", *[F.element_at("feature_values", F.lit(f)).alias(f) for f in names])
+
+
 # --- SQL twins -----------------------------------------------------------------------
 
 
@@ -193,6 +205,9 @@ def _r(*names: str) -> str:
     return ", ".join(f"round({n}, 9) AS {n}" for n in names)
 
 
+# one sample with as many features as a capture has: 78 values from its key
+_WIDE_SAMPLE = f"""SELECT sample_id, {", ".join(f'CAST(sample_id * {i} % 1009 AS DOUBLE) AS f{i}' for i in range(1, 79))}
+    FROM labelled_flows WHERE sample_id = {LOOKUP}"""
 _BINS_OUT = ["mean_confidence", "accuracy", "gap"]
 _COHORT = "SELECT * FROM cohort"
 _P = [f"p_{c}" for c in CLASSES]
@@ -230,17 +245,17 @@ Q: dict[str, tuple] = {
                     _m(f"SELECT model, {_r('accuracy')} FROM acc", "acc")),
     "e2_confusion": (confusion, _m(_confusion_sql("scored"), "scored", "classes")),
     "e2_confusion_binary": (lambda s, d: confusion(s, d, True), _b(_confusion_sql("scored_binary"), "scored_binary", "classes")),
-    "e3_per_class": (lambda s, d: EV.per_class(confusion(s, d)), _m("SELECT * FROM pc", "pc")),
+    "e3_per_class": (lambda s, d: EV.per_class(pairs(s, d), CLASSES), _m("SELECT * FROM pc", "pc")),
     "e4_e5_averages": (
-        lambda s, d: _round(EV.averages(EV.per_class(confusion(s, d))).drop("accuracy"), 9, "macro_precision", "macro_recall", "macro_f1",
+        lambda s, d: _round(EV.averages(EV.per_class(pairs(s, d))).drop("accuracy"), 9, "macro_precision", "macro_recall", "macro_f1",
                             "weighted_f1", "weighted_precision", "weighted_recall"),
         _m("SELECT model, rows, " + _r("macro_precision", "macro_recall", "macro_f1", "weighted_f1", "weighted_precision",
                                        "weighted_recall") + " FROM avgs", "avgs")),
-    "e6_binary_rates": (lambda s, d: EV.binary_counts(confusion(s, d, True), "1"), _b("SELECT * FROM bin", "bin")),
+    "e6_binary_rates": (lambda s, d: EV.binary_counts(pairs(s, d, True), "1"), _b("SELECT * FROM bin", "bin")),
     "e7_e8_ranking": (
         lambda s, d: _round(EV.ranking(predictions(s, d, True), "1"), 9, "roc_auc", "pr_auc"),
         _b(f"SELECT model, {_r('roc_auc', 'pr_auc')} FROM auc", "auc")),
-    "e9_attack_recall": (lambda s, d: EV.attack_recall(confusion(s, d)), _m("""
+    "e9_attack_recall": (lambda s, d: EV.attack_recall(pairs(s, d)), _m("""
         SELECT model, count(*) FILTER (true_label <> 'BENIGN' AND predicted_label <> 'BENIGN')::DOUBLE
           / greatest(count(*) FILTER (true_label <> 'BENIGN'), 1) AS attack_recall FROM scored GROUP BY model""", "scored")),
     "e10_reliability_bins": (
@@ -314,8 +329,9 @@ Q: dict[str, tuple] = {
         _COHORT + " WHERE NOT correct ORDER BY confidence DESC, sample_id LIMIT 25", "cohort")),
     "i7_uncertain": (cohort(lambda r: IN.uncertain(r, 25)), _m(_COHORT + " ORDER BY confidence, sample_id LIMIT 25", "cohort")),
     "i8_cohort_rows": (cohort(lambda r: r), _m(_COHORT, "cohort")),
-    "i9_sample": (cohort(lambda r: IN.sample(r, LOOKUP)), _m(_COHORT + f" WHERE sample_id = {LOOKUP}", "cohort")),
-    "i10_attack_summary": (lambda s, d: IN.attack_summary(EV.per_class(confusion(s, d))), _m("""
-        SELECT model, class, precision, recall, f1, support, row_number() OVER (PARTITION BY model ORDER BY recall, class) = 1 AS is_hardest
+    "i9_sample": (wide_sample, _m(_WIDE_SAMPLE, "labelled_flows")),
+    "i10_attack_summary": (lambda s, d: IN.attack_summary(EV.per_class(pairs(s, d), CLASSES)), _m("""
+        SELECT model, class, precision, recall, f1, support, support AS class_rows,
+          CAST(sum(support) OVER (PARTITION BY model) AS BIGINT) AS attack_rows, row_number() OVER (PARTITION BY model ORDER BY recall, class) = 1 AS is_hardest
         FROM pc WHERE class <> 'BENIGN'""", "pc")),
 }

@@ -102,9 +102,12 @@ Q: dict[str, tuple] = {
           SELECT *, row_number() OVER (PARTITION BY is_attack ORDER BY sample_id) AS place FROM split WHERE split = 'test')
           WHERE place = 1""", ["split"], SPLIT_CTE)),
     "s4_load_parquet": (
-        lambda s, d: FF.load_table(configure(s), f"{d}/events.parquet", 100_000).select("event_id", "user_id", "value"),
+        lambda s, d: FF.load_table(configure(s), f"{d}/events.parquet", 5_000).select("event_id", "user_id", "value"),
         f"""WITH n AS (SELECT CAST(ceil(count(*) / 10000.0) AS BIGINT) AS b FROM events),
-          p AS (SELECT least(b, 100) AS s FROM n)
+          p AS (SELECT b, least(b, 10) AS s FROM n),
+          chosen AS (SELECT i, s, CASE WHEN i = s - 1 THEN b - 1 ELSE CAST(floor(i * ((b - 1)::DOUBLE / (s - 1)::DOUBLE)) AS BIGINT) END AS block
+            FROM p, range(0, 1000) AS r(i) WHERE i < s)
           SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_id // 10000 ORDER BY {_md5('event_id')}) AS rn
-            FROM events), p WHERE rn <= ceil(100000.0 / s)"""),
+            FROM events) JOIN chosen ON event_id // 10000 = block
+          WHERE rn <= ceil(5000.0 / s) AND rn <= 5000 - i * least(CAST(ceil(5000.0 / s) AS BIGINT), 10000)"""),
 }

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+import csv
+from collections.abc import Callable, Sequence
 from functools import reduce
-from urllib.parse import quote
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..errors import FlowLensError
-from ..operators.sample import block_sample
+from ..operators.sample import block_sample, literal_path, row_positions
 
 LATIN1 = "ISO-8859-1"
 
@@ -52,33 +50,85 @@ def _csv(spark: SparkSession):
     return spark.read.option("encoding", LATIN1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
 
 
-def _capture_rows(spark: SparkSession, path: str) -> DataFrame:
-    first = list_files(spark, path, "*.csv").agg(F.min("path").alias("path")).first()
-    if first is None or first["path"] is None:
+def csv_layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each layout: column names from the header line to paths in order.
+
+    The first line of a file stands where its first block starts; files reach the driver as
+    names only.
+    """
+    lines = _csv(spark).option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
+    first = lines.filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), "line")
+    headers = first.groupBy("path").agg(F.min_by("line", "place").alias("line")).orderBy("path").collect()
+    if not headers:
         raise FlowLensError(f"No CSV files found below {path}.")
-    header = _csv(spark).csv(first["path"]).first()
-    layout = T.StructType([T.StructField(n, T.StringType()) for n in normalised_names(list(header))])
-    return _csv(spark).option("header", "true").schema(layout).csv(path).select(
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in headers:
+        cells = next(csv.reader([row["line"] or ""]), [])
+        out.setdefault(tuple(normalised_names(cells)), []).append(row["path"])
+    return out
+
+
+def _rows_of_layout(spark: SparkSession, names: tuple[str, ...], paths: str | list[str]) -> DataFrame:
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return _csv(spark).option("header", "true").schema(layout).csv(paths).select(
         "*",
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_path").alias("file_path"),
-        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-        .alias("_place"),
+        F.array(*[F.lit(n) for n in names]).alias("file_columns"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
     )
 
 
+def _capture_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    layouts = csv_layouts(spark, path)
+    if len(layouts) == 1:
+        return _rows_of_layout(spark, next(iter(layouts)), path)
+    frames = [_rows_of_layout(spark, names, [literal_path(p) for p in paths]) for names, paths in layouts.items()]
+    rows = concat_by_name(frames)
+    own = ["file", "file_path", "file_columns", "_block", "_place"]
+    return rows.select(*[f"`{c}`" for c in rows.columns if c not in own], *own)
+
+
 def read_capture_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV captures below ``path`` as text columns plus ``file`` and ``file_path``.
+    """All CSV captures below ``path`` as text columns plus ``file``, ``file_path`` and ``file_columns``.
 
-    The files share one layout, taken from the first file in path order; join captures of
-    another layout with ``concat_by_name``.
+    Each file is read by its own header line, and files of different layouts are stacked by
+    column name; ``file_columns`` lists the columns that a row's file has.
     """
-    return _capture_rows(spark, path).drop("_place")
+    return _capture_rows(spark, path).drop("_block", "_place")
 
 
 def read_csv_head(spark: SparkSession, path: str, max_rows: int) -> DataFrame:
-    """The first rows of a CSV file, in file order, as text columns."""
-    return _capture_rows(spark, path).orderBy("_place").limit(max_rows).drop("_place", "file", "file_path")
+    """The first rows of the CSV files below ``path``, in path and file order, as text columns.
+
+    Only the files that hold these rows are read. Their rows are counted per block, and a row's
+    place is its block's offset and its number in the block, so nothing is sorted as a whole.
+    """
+    def count(files: list[str]) -> int:
+        return _capture_rows(spark, files).count()
+
+    rows = _capture_rows(spark, _first_files(spark, path, "*.csv", max_rows, count))
+    blocks = rows.groupBy("file_path", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("file_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(F.col("_offset") < max_rows).drop("_n")
+    number = F.row_number().over(Window.partitionBy("file_path", "_block").orderBy("_place"))
+    placed = rows.join(F.broadcast(offsets), ["file_path", "_block"]).withColumn("_number", number)  # a row per block read
+    return placed.filter(F.col("_offset") + F.col("_number") <= max_rows).drop(
+        "_block", "_place", "_offset", "_number", "file", "file_path", "file_columns")
+
+
+def _first_files(spark: SparkSession, path: str, glob: str, rows: int, count: Callable[[list[str]], int]) -> list[str]:
+    """The first files below ``path``, in path order, that hold ``rows`` rows together (or all)."""
+    files, wanted = list_files(spark, path, glob), 1
+    while True:
+        paths = [literal_path(r["path"]) for r in files.orderBy("path").limit(wanted).collect()]
+        if not paths:
+            raise FlowLensError(f"No files found below {path}.")
+        if len(paths) < wanted or count(paths) >= rows:
+            return paths
+        wanted *= 4
 
 
 def concat_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -120,22 +170,28 @@ def clean_numbers(rows: DataFrame) -> DataFrame:
     ])
 
 
-def load_table(spark: SparkSession, path: str, max_rows: int = S.MAX_ROWS, label: str | None = None) -> DataFrame:
-    """A bounded working sample of a CSV file (its head) or a Parquet table (spread blocks)."""
+def load_table(spark: SparkSession, path: str, max_rows: int | None = None, label: str | None = None) -> DataFrame:
+    """A CSV file or a Parquet table, cleaned; ``max_rows`` makes it a working sample.
+
+    A sample is the head of a CSV file and rows of spread blocks of a Parquet table.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in ("csv", "parquet"):
         raise FlowLensError("A table file must end in .csv or .parquet.")
     try:
         if kind == "csv":
-            head = read_csv_head(spark, path, max_rows)
-            return typed(head, label)
-        return clean_numbers(block_sample(spark, path, max_rows))
+            return typed(_all_csv(spark, path) if max_rows is None else read_csv_head(spark, path, max_rows), label)
+        return clean_numbers(spark.read.parquet(path) if max_rows is None else block_sample(spark, path, max_rows))
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
             raise FlowLensError(f"There is no file or folder {path}.") from error
         raise
 
 
+def _all_csv(spark: SparkSession, path: str) -> DataFrame:
+    return read_capture_csv(spark, path).drop("file", "file_path", "file_columns")
+
+
 def records_from_json(rows: DataFrame, column: str, schema: T.StructType) -> DataFrame:
     """Record objects held as JSON text, one per row."""
     return rows.select(F.from_json(column, schema).alias("record")).select("record.*")
@@ -145,14 +201,12 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
-def read_upload(spark: SparkSession, path: str, label: str | None = None, max_rows: int = S.BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of a file to score, and the same rows without their label column."""
+def read_upload(spark: SparkSession, path: str, label: str | None = None, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All rows of a file to score (``max_rows``: its first ones), and the same without their label column."""
     if path.rstrip("/").lower().endswith(".parquet"):
-        rows = spark.read.parquet(path)
-        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-        rows = clean_numbers(rows.withColumn("_place", place).orderBy("_place").limit(min(max_rows, S.BLOCK_ROWS)).drop("_place"))
-    elif path.lower().endswith(".csv"):
-        rows = typed(read_csv_head(spark, path, min(max_rows, S.BLOCK_ROWS)), label)
+        rows = clean_numbers(spark.read.parquet(path) if max_rows is None else _parquet_head(spark, path, max_rows))
+    elif path.rstrip("/").lower().endswith(".csv"):
+        rows = typed(_all_csv(spark, path) if max_rows is None else read_csv_head(spark, path, max_rows), label)
     else:
         raise FlowLensError("A file to score must end in .csv or .parquet.")
     if label is not None and label not in rows.columns:
@@ -160,28 +214,17 @@ def read_upload(spark: SparkSession, path: str, label: str | None = None, max_ro
     return rows, rows.drop(label) if label else rows
 
 
-def _sha256_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 per file, read in blocks of 4 MiB so that a file of any size fits."""
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for uri in batch["path"]:
-            if uri.startswith("file:"):
-                store, inner = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-            else:
-                store, inner = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
-            digest = hashlib.sha256()
-            with store.open_input_stream(inner) as stream:
-                while block := stream.read(4 << 20):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)
+def _parquet_head(spark: SparkSession, path: str, max_rows: int) -> DataFrame:
+    """The first rows in path and file order; only the files that hold them are read."""
+    paths = _first_files(spark, path, "*.parquet", max_rows, lambda files: spark.read.parquet(*files).count())
+    rows, _ = row_positions(spark, paths, "_position")
+    return rows.filter(F.col("_position") < max_rows).drop("_position")
 
 
 def fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file below ``path``, one task per group of files."""
-    files = list_files(spark, path, glob)
-    return files.repartition("path").mapInPandas(_sha256_of, "path string, length bigint, sha256 string").select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256"
-    )
+    """SHA-256 of every file below ``path``, read through Spark, one row per file.
+
+    A file above the reader's limit for one value (2 GB) fails the job.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))

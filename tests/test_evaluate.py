@@ -1,5 +1,8 @@
 """Metrics on hand-made predictions and on confusion matrices with known results."""
 
+from flowlens.errors import FlowLensError
+from flowlens.operators import investigate as IN
+from flowlens.operators import live as LV
 import random
 
 import pytest
@@ -126,3 +129,22 @@ def test_evidence_sentences(spark):
     assert got[0] == ["1 feature values were missing and median-imputed.", "Highest-magnitude observed feature: c.", "High confidence"]
     assert got[1] == ["3 feature values were missing and median-imputed.", "Review manually: model confidence is below 0.8."]
     assert got[2] == ["Highest-magnitude observed feature: a.b.", "High confidence"]
+
+
+def test_many_classes(spark):
+    """The plan does not grow with the square of the classes."""
+    names = [f"c{i:03d}" for i in range(200)]
+    rows = spark.range(2000).select(F.lit("m").alias("model"), F.concat(F.lit("c"), F.lpad((F.col("id") % 200).cast("string"), 3, "0")).alias("true_label"),
+                                    F.concat(F.lit("c"), F.lpad((F.col("id") % 199).cast("string"), 3, "0")).alias("predicted_label"))
+    cells = EV.confusion(rows, names)
+    assert cells.count() == 40_000 and cells.agg(F.sum("n")).first()[0] == 2000
+    assert EV.per_class(EV.pair_counts(rows, names), names).count() == 200
+
+
+def test_lookups_that_find_nothing(spark):
+    rows = spark.createDataFrame([(1, True)], "sample_id long, active boolean").withColumn("flow_id", F.col("sample_id"))
+    assert IN.sample(rows, 1).count() == 1
+    with pytest.raises(FlowLensError):
+        IN.sample(rows, 2)
+    with pytest.raises(FlowLensError):
+        LV.flow_by_id(rows, 1)
