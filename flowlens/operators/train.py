@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -21,6 +21,7 @@ from ..functions.columns import finite, quoted
 from ..functions.prefix import class_counts, ordered_prefix
 from ..workspace import staged
 
+_ABOUT = "name string, features array<string>, used array<string>, classes array<string>, label_column string, fit_seconds double"
 MODEL_NAMES = ("primary", "random_forest", "logistic_regression")
 
 
@@ -117,17 +118,34 @@ class FittedModel:
             "classes": ",".join(self.classes),
         }
 
+    def save(self, path: str) -> None:
+        """Keep the pipeline and its description in a folder, for another session or a restarted stream."""
+        spark = SparkSession.active()
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        about = [(self.name, list(self.features), list(self.used), list(self.classes), self.label_column, self.fit_seconds)]
+        spark.createDataFrame(about, _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedModel:
+        about = spark.read.schema(_ABOUT).parquet(f"{path}/about").first()
+        return FittedModel(about["name"], PipelineModel.load(f"{path}/pipeline"), tuple(about["features"]), tuple(about["used"]),
+                           tuple(about["classes"]), about["label_column"], about["fit_seconds"])
+
 
 def _spread(rows: DataFrame, cells: int) -> DataFrame:
-    """Training rows in partitions of about 250,000 cells, at most three per core."""
-    wanted = max(1, min(cells // 250_000, 3 * rows.sparkSession.sparkContext.defaultParallelism))
-    return rows.repartition(wanted)
+    """Training rows in partitions of about 250,000 cells, dealt and ordered by their values.
+
+    Forests draw rows per partition, so neither the number of cores nor the order in which
+    rows arrive may decide where a row goes: the same rows give the same model everywhere.
+    """
+    key = F.xxhash64(*[quoted(c) for c in rows.columns])
+    return rows.repartition(max(1, cells // 250_000), key).sortWithinPartitions(key, *[quoted(c) for c in rows.columns])
 
 
 def _prepare_sql(medians: Mapping[str, float], scale: Mapping[str, tuple[float, float]] | None) -> str:
     cells = []
     for i, (name, median) in enumerate(medians.items()):
-        cell = f"cast(`{name}` AS DOUBLE)"
+        cell = f"try_cast(`{name}` AS DOUBLE)"
         value = f"coalesce(CASE WHEN NOT isnan({cell}) AND abs({cell}) != double('Infinity') THEN {cell} END, double('{median!r}'))"
         if scale is not None:
             mean, std = scale[name]
@@ -150,7 +168,7 @@ def _classifier(name: str, n_classes: int, rows: int, trees: int, depth: int):
             return GBTClassifier(maxIter=20, maxDepth=5, seed=S.SEED, **common)
         # boosted trees are binary only in Spark ML; several classes take a deeper forest
         return RandomForestClassifier(
-            numTrees=60, maxDepth=min(30, depth + 2), seed=S.SEED, maxMemoryInMB=1024, **common
+            numTrees=trees, maxDepth=min(30, depth + 2), seed=S.SEED, maxMemoryInMB=1024, **common
         )
     raise FlowLensError(f"model_name must be one of {', '.join(MODEL_NAMES)}.")
 

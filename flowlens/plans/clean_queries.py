@@ -14,7 +14,7 @@ from ..operators import score as SC
 from ..sources import flow_files as FF
 from ..sources import sinks as SK
 from ..workspace import run_folder
-from .views import DIRTY_FEATURES, FEATURES, dirty_lines, labelled_flows, with_views
+from .views import DIRTY_FEATURES, FEATURES, dirty_lines, labelled_flows, table, with_views
 
 _COLS = ", ".join(f'"{c}"' for c in DIRTY_FEATURES)
 
@@ -112,6 +112,15 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of text files written from a table, one file per market segment."""
+    path = run_folder(spark, "segments")
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.concat_ws(" ", "c_name", F.col("c_custkey").cast("string")).alias("line"))
+    rows.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("c_mktsegment", "line").write.partitionBy(
+        "c_mktsegment").text(path)
+    return FF.fingerprint(spark, path, "*.txt").select("length", "sha256")
+
+
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One audit row per capture file: shape, odd cells, duplicates, label counts."""
     raw = FF.read_capture_csv(spark, _written_csv(spark, sf_dir)).drop("Extra")
@@ -221,7 +230,9 @@ Q: dict[str, tuple] = {
                                    "labelled_flows")),
     "s6_clean_sink": (clean_sink, _sql(f'SELECT {_COLS}, "Label", day, file, is_attack FROM clean', "clean")),
     "s7_counts_sink": (counts_sink, _sql('SELECT day, "Label", count(*) AS rows FROM clean WHERE day IS NOT NULL GROUP BY day, "Label"', "clean")),
-    "s9_fingerprint": (lambda s, d: FF.fingerprint(s, d, "*.parquet"), None),
+    "s9_fingerprint": (fingerprints, """
+        SELECT CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM (
+          SELECT string_agg(c_name || ' ' || c_custkey, chr(10) ORDER BY c_custkey) || chr(10) AS body FROM customer GROUP BY c_mktsegment)"""),
     "s10_p11_records": (records, _sql("""
         SELECT sample_id, qty_max::DOUBLE AS qty_max, line_count::DOUBLE AS line_count, NULL::DOUBLE AS "Flow Duration",
           NULL::DOUBLE AS extra, qty_sum::DOUBLE AS qty_sum FROM labelled_flows""", "labelled_flows")),

@@ -14,32 +14,32 @@ from ..operators import train as TR
 from ..sources import flow_files as FF
 from ..sources import sinks as SK
 from ..streaming import flow_stream as FS
-from ..workspace import configure, run_folder
+from ..workspace import configure, run_folder, staged
 from . import clean_queries as CQ
 from . import flow_queries as FQ
 from .training import Experiment, run_experiment
-from .views import CAP, IDLE_US, labelled_flows, raw_packets_from, table, with_views
+from .views import CAP, FEATURES, IDLE_US, labelled_flows, raw_packets_from, table, with_views
 
-_runs: dict[tuple[str, str, str], Experiment] = {}
 _HOLES = ["line_count", "qty_sum", "qty_min", "qty_max", "price_cents", "half"]
+STREAM_FILES = 5
+DELAY_US = 0
+GAP = (100, 140)  # quantities between these are left out, so that the label is separable
 
 
-def experiment(spark: SparkSession, sf_dir: str) -> Experiment:
-    """One run per session and table set; its tables and models answer all model queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, "rows")
-    if key not in _runs:
-        _runs[key] = run_experiment(labelled_flows(configure(spark), sf_dir), "is_attack")
-    return _runs[key]
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose label follows from one column: a large summed quantity is an attack."""
+    rows = labelled_flows(configure(spark), sf_dir)
+    return rows.filter(~F.col("qty_sum").between(*GAP)).withColumn("is_attack", (F.col("qty_sum") > GAP[1]).cast("int"))
 
 
-def flow_experiment(spark: SparkSession, sf_dir: str) -> Experiment:
-    """Models on the 78 flow features; flows with a reset count as attacks."""
-    key = (spark.sparkContext.applicationId, sf_dir, "flows")
-    if key not in _runs:
-        flows = FQ.flows(spark, sf_dir)
-        rows = FL.flow_features(flows.withColumn("is_attack", (F.col("rst") > 0).cast("int")), ["flow_id", "is_attack"])
-        _runs[key] = run_experiment(rows, "is_attack", "flow_id", models=("logistic_regression",))
-    return _runs[key]
+def experiment(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = TR.MODEL_NAMES) -> Experiment:
+    return run_experiment(learnable(spark, sf_dir), "is_attack", models=models, trees=20, depth=5)
+
+
+def flow_experiment(rows: DataFrame) -> Experiment:
+    """A model on the 78 flow features of a stored flow table; flows with a reset count as attacks."""
+    labelled = FL.flow_features(rows.withColumn("is_attack", (F.col("rst") > 0).cast("int")), ["flow_id", "is_attack"])
+    return run_experiment(labelled, "is_attack", "flow_id", models=("logistic_regression",))
 
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,60 +56,78 @@ def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = TR.class_counts(labelled_flows(spark, sf_dir), "Label")
-    return spark.createDataFrame(sorted(TR.class_weights(counts).items()), "Label string, weight double")
+    counts = labelled_flows(spark, sf_dir).groupBy("Label").agg(F.count("*").alias("n"))
+    every = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
+    # one row per class, and one row of totals
+    totals = every.select(F.struct("rows", "classes")).scalar()
+    return counts.select("Label", (totals["rows"] / (totals["classes"] * F.col("n"))).alias("weight"))
 
 
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = TR.feature_importance(experiment(spark, sf_dir).models["random_forest"])
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(ranked, 1)], "place int, feature string, importance double")
+    """The most important feature of the forest."""
+    run = experiment(spark, sf_dir, ("random_forest",))
+    ranked = TR.feature_importance(run.models["random_forest"])
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ranked, 1)], "place int, feature string, importance double")
+    return rows.filter("place = 1").select("place", "feature")
 
 
 def saved_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored experiment row says of the run, without its times."""
     path = run_folder(spark, "experiments")
-    experiment(spark, sf_dir).save(path)
-    return spark.read.json(path)
+    experiment(spark, sf_dir, ("random_forest", "logistic_regression")).save(path)
+    return spark.read.json(path).select(
+        "random_seed", "model", "label_column", "features", "classes", "infinite_values", "numeric_coercion",
+        F.concat_ws(",", "metadata_excluded").alias("metadata_excluded"))
 
 
 def file_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An uploaded Parquet file scored by the linear model, its labels checked."""
+    """All rows of an uploaded Parquet file scored by the linear model, its labels checked."""
     path = run_folder(spark, "upload") + ".parquet"
-    labelled_flows(spark, sf_dir).write.parquet(path)
+    learnable(spark, sf_dir).write.parquet(path)
     labelled, rows = FF.read_upload(spark, path, "is_attack")
-    model = experiment(spark, sf_dir).models["logistic_regression"]
+    model = experiment(spark, sf_dir, ("logistic_regression",)).models["logistic_regression"]
     aligned = SC.align_to_model(rows, model.features, ["sample_id"])
     scored = SC.with_prediction(TR.score(model, aligned), model.classes, truth=None)
     checked = scored.join(labelled.select("sample_id", "is_attack"), "sample_id")
     return SC.file_summary(checked, "is_attack", ~C.is_benign(F.col("predicted_label"), "is_attack"))
 
 
-def _scorer(spark: SparkSession, sf_dir: str):
-    run = flow_experiment(spark, sf_dir)
-    model = run.models["logistic_regression"]
-    return FS.model_scorer(model)
-
-
 def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every completed flow scored by the model trained on flow features."""
-    flows = FQ.flows(spark, sf_dir).filter(~F.col("active"))
-    return FS.live_records(flows, _scorer(spark, sf_dir)).select(
-        "flow_id", "source", "destination", "packet_count", "prediction.prediction", "prediction.confidence", "error")
+    rows = staged(FQ.flows(spark, sf_dir), "numbered")
+    scorer = FS.model_scorer(flow_experiment(rows).models["logistic_regression"])
+    return FS.live_records(rows.filter(~F.col("active")), scorer).select(
+        "flow_id", "source", "destination", "packet_count", "prediction.prediction", "error")
+
+
+def _stored_events(spark: SparkSession, sf_dir: str) -> str:
+    """The events by time in several folders of files written one after the other: a stream takes a batch of each."""
+    path = run_folder(spark, "events")
+    events = table(spark, sf_dir, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    first, last = events.agg(F.min("_at"), F.max("_at")).first()
+    part = F.least(F.floor((F.col("_at") - first) * STREAM_FILES / (last - first + 1)), F.lit(STREAM_FILES - 1))
+    for i in range(STREAM_FILES):
+        events.filter(part == i).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     layout = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return FL.normalise_packets(raw_packets_from(events))
+    reader = spark.readStream.schema(layout)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return FL.normalise_packets(raw_packets_from(reader.parquet(_stored_events(spark, sf_dir))))
 
 
 def streamed(spark: SparkSession, sf_dir: str, scorer=None) -> str:
+    """The folder of a run over several batches; files may come in any order within the delay."""
     folder = run_folder(spark, "stream")
-    FS.stream_flows(_event_stream(spark, sf_dir), folder, IDLE_US, CAP, scorer=scorer).awaitTermination()
+    FS.stream_flows(_event_stream(spark, sf_dir, 1), folder, DELAY_US, IDLE_US, CAP, scorer=scorer).awaitTermination()
     return folder
 
 
 def streamed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed flows of a streaming run, with some of their features."""
+    """The flows of a streaming run that are closed by its last watermark, with some of their features."""
     rows = FS.closed_flows(spark, streamed(configure(spark), sf_dir))
     return rows.select(
         F.col("flow_id").alias("first_seq"), "source", "destination", "protocol", "packet_count", "bytes", "duration_seconds",
@@ -122,10 +140,12 @@ def streamed_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming run with a trained model in the loop, then the register's counters."""
-    configure(spark)
-    rows = FS.closed_flows(spark, streamed(spark, sf_dir, _scorer(spark, sf_dir)))
-    return LV.counters(rows.withColumn("active", F.lit(False)))
+    """Streaming run with a trained model in the loop, then the live state's counters."""
+    model = flow_experiment(staged(FQ.flows(configure(spark), sf_dir), "numbered")).models["logistic_regression"]
+    path = run_folder(spark, "model")
+    model.save(path)  # the stream scores with the stored model
+    scorer = FS.model_scorer(TR.FittedModel.load(spark, path))
+    return LV.counters(FS.live_state(spark, streamed(spark, sf_dir, scorer), IDLE_US, CAP))
 
 
 def native_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +186,24 @@ _SESSION_CTES = {
 _SESSION_COLS = ("first_seq, protocol, source_ip, source_port, destination_ip, destination_port, packet_count, bytes, "
                  "fwd_n, bwd_n, started_us, last_seen_us")
 
+_LEARNT = {
+    "learnable": (("labelled_flows",), f"""SELECT sample_id, CASE WHEN qty_sum > {GAP[1]} THEN '1' ELSE '0' END AS Label
+        FROM labelled_flows WHERE NOT qty_sum BETWEEN {GAP[0]} AND {GAP[1]}"""),
+    "learnable_split": (("learnable",), """
+        SELECT r.*, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT *, row_number() OVER (PARTITION BY Label ORDER BY md5(CAST(sample_id AS VARCHAR) || ':42')) AS rn FROM learnable) r
+        JOIN (SELECT Label, floor_q + CASE WHEN row_number() OVER (ORDER BY rest DESC, Label) <= wanted - sum(floor_q) OVER () THEN 1 ELSE 0 END AS quota
+          FROM (SELECT Label, n * wanted // total AS floor_q, n * wanted % total AS rest, wanted FROM (
+            SELECT Label, n, CAST(sum(n) OVER () AS BIGINT) AS total, CAST(ceil(0.2::DOUBLE * sum(n) OVER ()) AS BIGINT) AS wanted
+            FROM (SELECT Label, count(*) AS n FROM learnable GROUP BY Label)))) USING (Label)"""),
+}
+_ONES = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1", "roc_auc", "pr_auc", "attack_recall")
+
+
+def _learnt(body: str, *views: str) -> str:
+    return with_views(body, views, _LEARNT)
+
+
 Q: dict[str, tuple] = {
     "m1_medians": (medians, with_views(" UNION ALL ".join(
         f"SELECT '{c}' AS feature, median({x}) AS median FROM holes" for c, x in _HOLES_NUM.items()), ["holes"], CQ._CTES)),
@@ -175,20 +213,35 @@ Q: dict[str, tuple] = {
     "m3_class_weights": (class_weights, with_views("""
         SELECT Label, sum(n) OVER ()::DOUBLE / (count(*) OVER () * n)::DOUBLE AS weight
         FROM (SELECT Label, count(*) AS n FROM labelled_flows GROUP BY Label)""", ["labelled_flows"])),
-    "m3_m4_m5_trained_comparison": (lambda s, d: experiment(s, d).comparison(), None),
+    "m3_m4_m5_trained_comparison": (
+        lambda s, d: experiment(s, d).comparison().drop("fit_seconds", "inference_seconds"), _learnt(f"""
+        SELECT model, {", ".join(f"1.0::DOUBLE AS {m}" for m in _ONES)}, 0.0::DOUBLE AS false_positive_rate, 0.0::DOUBLE AS false_negative_rate,
+          (SELECT count(*) FROM learnable_split WHERE split = 'test') AS inference_rows
+        FROM (VALUES ('primary'), ('random_forest'), ('logistic_regression')) AS m(model)""", "learnable_split")),
     "m6_m7_trained_predictions": (
-        lambda s, d: experiment(s, d).predictions.select("model", "sample_id", "true_label", "predicted_label", "confidence"), None),
-    "m17_feature_importance": (importance, None),
-    "m18_m19_s8_experiment_row": (saved_experiment, None),
-    "s11_file_scoring": (file_scoring, None),
-    "f18_model_scored_flows": (scored_flows, None),
+        lambda s, d: experiment(s, d).predictions.select("model", "sample_id", "true_label", "predicted_label"), _learnt("""
+        SELECT model, sample_id, Label AS true_label, Label AS predicted_label FROM learnable_split,
+          (VALUES ('primary'), ('random_forest'), ('logistic_regression')) AS m(model) WHERE split = 'test'""", "learnable_split")),
+    "m17_feature_importance": (importance, "SELECT 1 AS place, 'qty_sum' AS feature"),
+    "m18_m19_s8_experiment_row": (saved_experiment, f"""
+        SELECT CAST({S.SEED} AS BIGINT) AS random_seed, 'random_forest' AS model, 'is_attack' AS label_column, '{len(FEATURES)}' AS features,
+          '0,1' AS classes, 'NaN' AS infinite_values, true AS numeric_coercion, '{",".join(S.METADATA_COLUMNS)}' AS metadata_excluded"""),
+    "s11_file_scoring": (file_scoring, _learnt("""
+        SELECT count(*) AS rows, count(*) FILTER (Label = '1') AS attack_predictions, count(*) FILTER (Label = '0') AS benign_predictions,
+          1.0::DOUBLE AS accuracy FROM learnable""", "learnable")),
+    "f18_model_scored_flows": (scored_flows, with_views("""
+        SELECT flow_id, source_ip || ':' || source_port AS source, destination_ip || ':' || destination_port AS destination, packet_count,
+          CASE WHEN rst > 0 THEN '1' ELSE '0' END AS prediction, NULL::VARCHAR AS error FROM flow_rows WHERE NOT active""", ["flow_rows"], FQ.STRICT)),
     "s12_s13_stream_flows": (streamed_flows, with_views("""
         SELECT first_seq, source_ip || ':' || source_port AS source, destination_ip || ':' || destination_port AS destination, protocol,
           packet_count, bytes, round((last_seen_us - started_us)::DOUBLE / 1000000.0::DOUBLE, 6) AS duration_seconds,
           "Total Fwd Packets", "Flow IAT Max", "SYN Flag Count" FROM flow_features WHERE NOT active""", ["flow_features"], FQ.STRICT)),
     "f17_stream_open_flows": (streamed_open, with_views(
         "SELECT first_seq, protocol, packet_count, bytes, active FROM flow_rows WHERE active", ["flow_rows"], FQ.STRICT)),
-    "f18_f19_stream_scored": (streamed_scored, None),
+    "f18_f19_stream_scored": (streamed_scored, with_views("""
+        SELECT CAST(sum(packet_count) AS BIGINT) AS packets_captured, count(*) AS flows_detected, count(*) FILTER (NOT active) AS flows_analyzed,
+          count(*) FILTER (NOT active AND rst > 0) AS suspicious_flows, count(*) FILTER (NOT active) AS predictions_used
+        FROM flow_rows""", ["flow_rows"], FQ.STRICT)),
     "s14_live_state": (live_state, with_views(f"""
         SELECT flow_id, source_ip || ':' || source_port AS source, source_port, {FQ._ISO.format(c='started_us')} AS started_at, packet_count,
           'Flow was not analyzed.' AS error, "Flow Duration" AS flow_duration FROM flow_features WHERE NOT active""",

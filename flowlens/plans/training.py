@@ -81,25 +81,33 @@ def run_experiment(
     label: str | None = None,
     sample_id: str = "sample_id",
     models: Sequence[str] = TR.MODEL_NAMES,
-    max_rows: int = S.MAX_ROWS,
+    max_fit_rows: int | None = S.MAX_ROWS,
     test_size: float = S.TEST_SIZE,
     trees: int = 200,
     depth: int = 10,
 ) -> Experiment:
-    """Fit the models on one fixed split and keep their held-out predictions."""
+    """Fit the models on one fixed split and keep their held-out predictions.
+
+    All labelled rows are split, and all held-out rows are scored. ``max_fit_rows`` bounds the
+    training rows that the models are fitted on, the classes cut to equal caps (None: all).
+    ``trees`` and ``depth`` are those of the forests; a primary model of several classes is a
+    forest two levels deeper.
+    """
     label = S.detect_label(rows.columns, label)
     features = [f for f in S.numeric_features(rows.schema, label) if f != sample_id]
     if not features:
         raise FlowLensError("The table has no numeric column left to train on.")
     labelled = usable_rows(rows.select(sample_id, *[quoted(f) for f in features], quoted(label)), label)
-    capped = SM.capped_by_class(labelled, label, sample_id, max_rows)
-    split = staged(SM.with_split(capped, label, sample_id, test_size), "split")
+    split = staged(SM.with_split(labelled, label, sample_id, test_size), "split")
     path = run_folder(rows.sparkSession, "predictions")
-    medians = TR.exact_medians(split.filter("split = 'train'"), features)
+    train = split.filter("split = 'train'")
+    if max_fit_rows is not None:
+        train = SM.capped_by_class(train, label, sample_id, max_fit_rows)
+    medians = TR.exact_medians(train, features)
     fitted: dict[str, TR.FittedModel] = {}
     seconds: dict[str, float] = {}
     for name in models:
-        model = TR.fit(name, split.filter("split = 'train'"), features, label, trees, depth, medians)
+        model = TR.fit(name, train, features, label, trees, depth, medians)
         start = time.perf_counter()
         scored = TR.score(model, split.filter("split = 'test'")).withColumn("true_label", quoted(label))
         with_prediction(scored, model.classes).write.parquet(f"{path}/model={name}")

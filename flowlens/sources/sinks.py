@@ -47,11 +47,21 @@ def append_experiment(
     row.coalesce(1).write.mode("append").json(path)
 
 
-def read_live_state(spark: SparkSession, path: str) -> DataFrame:
-    """The stored flow register, empty with the right columns when nothing was written yet."""
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table, empty with the right columns when nothing was written yet."""
     try:
-        return spark.read.schema(S.LIVE_FLOW_SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], S.LIVE_FLOW_SCHEMA)
-        raise FlowLensError(f"The flow register at {path} cannot be read: {error}") from error
+            return spark.createDataFrame([], schema)
+        raise FlowLensError(f"The table at {path} cannot be read: {error}") from error
+
+
+def read_live_state(spark: SparkSession, path: str) -> DataFrame:
+    """The stored flow register."""
+    return read_or_empty(spark, path, S.LIVE_FLOW_SCHEMA)
+
+
+def write_audit(report: DataFrame, path: str) -> None:
+    """One audit row per file."""
+    report.write.mode("overwrite").json(path)

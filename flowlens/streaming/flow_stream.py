@@ -13,8 +13,9 @@ event-time watermark, ``session_window``, late packets dropped.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +27,8 @@ from ..operators import train as TR
 from ..operators.score import agreement, with_prediction
 
 PACKET = ["seq", "ts_us", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "length", "flags"]
+PACKET_SCHEMA = ("seq bigint, ts_us bigint, protocol string, src_ip string, src_port int, dst_ip string, dst_port int, "
+                 "length bigint, flags string")
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -36,8 +39,16 @@ def model_scorer(primary: TR.FittedModel, baselines: dict[str, TR.FittedModel] |
     and on a micro-batch, all flows of a batch at once.
     """
     baselines = baselines or {}
+    used = sorted({f for m in (primary, *baselines.values()) for f in m.used})
+
+    def unreadable(rows: DataFrame) -> Column:
+        """A feature holds a text that is no number: that row fails, the others are scored."""
+        texts = [f for f in used if dict(rows.dtypes).get(f) == "string"]
+        bad = [C.quoted(f).isNotNull() & C.quoted(f).try_cast("double").isNull() for f in texts]
+        return reduce(lambda a, b: a | b, bad, F.lit(False))
 
     def score(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_unreadable", unreadable(rows))
         for name, model in baselines.items():
             scored = with_prediction(TR.score(model, rows), model.classes, truth=None)
             rows = scored.withColumnRenamed("predicted_label", name).drop("probability", "confidence")
@@ -55,10 +66,10 @@ def model_scorer(primary: TR.FittedModel, baselines: dict[str, TR.FittedModel] |
             C.probability_map(primary.classes, p).alias("probabilities"),
             C.evidence(primary.features, confidence).alias("evidence"),
         )
-        failed = p.isNull()
+        failed = F.col("_unreadable") | p.isNull() | F.exists(p, lambda x: x.isNull() | F.isnan(x))
         return scored.withColumn("prediction", F.when(~failed, prediction)).withColumn(
             "error", F.when(failed, F.lit("The flow could not be scored."))
-        ).drop("predicted_label", "confidence", "probability", *baselines)
+        ).drop("predicted_label", "confidence", "probability", "_unreadable", *baselines)
 
     return score
 
@@ -96,9 +107,9 @@ def _clock(spark: SparkSession, folder: str, batch_id: int) -> int | None:
 def stream_flows(
     packets: DataFrame,
     folder: str,
+    delay_us: int,
     idle_us: int = S.IDLE_SECONDS * 1_000_000,
     cap: int = S.PACKET_CAP,
-    delay_us: int = 0,
     scorer: Scorer | None = None,
     slot_us: int | None = None,
     interval: str | None = None,
@@ -106,7 +117,7 @@ def stream_flows(
     """Cut a stream of normalised packets into flows and write the closed ones.
 
     Packets may be late by up to ``delay_us`` of event time; those older than the watermark
-    are dropped. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
+    go to ``<folder>/late/batch=N`` unchanged, and the clock row has their count. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
     replaced as a whole when a batch is run again, so each flow is written once. The two
     ``slot`` folders of the carried packets alternate: a batch that is run again still finds
     the state it started from. Without ``interval`` the stream takes what is there and ends.
@@ -116,7 +127,11 @@ def stream_flows(
         spark = batch.sparkSession
         before = _clock(spark, folder, batch_id)
         fresh = batch.select(*PACKET)
+        late_rows = 0
         if before is not None:
+            late = f"{folder}/late/batch={batch_id}"
+            fresh.filter(F.col("ts_us") < before).write.mode("overwrite").parquet(late)
+            late_rows = spark.read.schema(fresh.schema).parquet(late).count()
             fresh = fresh.filter(F.col("ts_us") >= before)
         newest = fresh.agg(F.max("ts_us")).first()[0]
         marks = [m for m in (before, None if newest is None else newest - delay_us) if m is not None]
@@ -140,7 +155,8 @@ def stream_flows(
         else:
             waiting.write.mode("overwrite").parquet(f"{folder}/open/{here}")
         spark.range(1).select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(watermark).cast("bigint").alias("watermark_us")
+            F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(watermark).cast("bigint").alias("watermark_us"),
+            F.lit(late_rows).cast("bigint").alias("late_packets"),
         ).write.mode("overwrite").parquet(f"{folder}/clock/{here}")
 
     writer = packets.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
@@ -165,6 +181,22 @@ def open_flows(
     return FL.flow_table(packets, idle_us, cap).withColumn("flow_id", F.col("first_seq"))
 
 
+def late_packets(spark: SparkSession, folder: str) -> DataFrame:
+    """The packets that came after the watermark had passed them; empty before the second batch."""
+    from ..sources.sinks import read_or_empty
+
+    return read_or_empty(spark, f"{folder}/late", PACKET_SCHEMA).select(*PACKET)
+
+
+def live_state(
+    spark: SparkSession, folder: str, idle_us: int = S.IDLE_SECONDS * 1_000_000, cap: int = S.PACKET_CAP
+) -> DataFrame:
+    """The register with the flows still open: counters over it count every packet of the stream."""
+    done = closed_flows(spark, folder).withColumn("active", F.lit(False))
+    still = live_records(open_flows(spark, folder, idle_us, cap)).withColumn("active", F.lit(True))
+    return done.unionByName(still.withColumn("error", F.lit(None).cast("string")))
+
+
 def session_flows(packets: DataFrame, idle_us: int = S.IDLE_SECONDS * 1_000_000, delay: str = "10 seconds") -> DataFrame:
     """Idle-bounded flows without packet cap as a native streaming aggregation.
 

@@ -6,17 +6,13 @@ import pytest
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
-# training on these takes most of a minute each; test_train covers the operators
-SLOW = {"m3_m4_m5_trained_comparison", "m6_m7_trained_predictions", "m17_feature_importance",
-        "m18_m19_s8_experiment_row", "s11_file_scoring", "f18_model_scored_flows", "f18_f19_stream_scored"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return compare.duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(name, spark, sf_dir, con):
     df = QUERIES[name](spark, sf_dir)
     if name in SQL:

@@ -34,7 +34,7 @@ def write_files(spark, rows, folder, parts):
 
 def run(spark, source, folder, delay=0):
     stream = FL.normalise_packets(FS.read_packets(spark, str(source), "*.parquet", files_per_batch=1))
-    FS.stream_flows(stream, str(folder), IDLE, CAP, delay).awaitTermination()
+    FS.stream_flows(stream, str(folder), delay, IDLE, CAP).awaitTermination()
 
 
 def as_set(df):
@@ -80,12 +80,14 @@ def test_late_packets(spark, tmp_path):
         shuffled[i], shuffled[i + 1] = shuffled[i + 1], shuffled[i]
     write_files(spark, shuffled, tmp_path / "in", 5)
     run(spark, tmp_path / "in", tmp_path / "out", delay=20 * SECOND)
-    got = as_set(FS.closed_flows(spark, str(tmp_path / "out")))
-    every = as_set(FL.flow_records(batch(spark, rows)))
-    assert got <= every and len(got) > 0.8 * len(every)
+    whole = as_set(FL.flow_records(batch(spark, rows)))
+    state = FS.live_state(spark, str(tmp_path / "out"), IDLE, CAP)
+    assert as_set(state) == whole
+    assert LV.counters(state).first()["packets_captured"] == 300
+    assert FS.late_packets(spark, str(tmp_path / "out")).count() == 0
 
 
-def test_too_late_is_dropped(spark, tmp_path):
+def test_too_late_is_kept_apart(spark, tmp_path):
     rows = raw_rows(100)
     late = (1000, rows[0][1] + 1, *rows[0][2:])
     write_files(spark, rows, tmp_path / "in", 1)
@@ -94,6 +96,9 @@ def test_too_late_is_dropped(spark, tmp_path):
     write_files(spark, [late], tmp_path / "in", 1)
     run(spark, tmp_path / "in", tmp_path / "out")
     assert as_set(FS.closed_flows(spark, str(tmp_path / "out"))) == before
+    assert [r["seq"] for r in FS.late_packets(spark, str(tmp_path / "out")).collect()] == [1000]
+    clock = spark.read.parquet(str(tmp_path / "out" / "clock")).orderBy(F.desc("batch_id")).first()
+    assert clock["late_packets"] == 1
 
 
 def test_equal_timestamps_across_batches(spark, tmp_path):

@@ -96,6 +96,37 @@ def test_weights():
     assert TR.class_weights({"0": 90, "1": 10}) == {"0": 100 / 180, "1": 100 / 20}
 
 
+def test_saved_model(spark, run, tmp_path):
+    model = run.models["logistic_regression"]
+    model.save(str(tmp_path / "m"))
+    again = TR.FittedModel.load(spark, str(tmp_path / "m"))
+    assert again.describe() == model.describe() and again.features == model.features
+    first, second = (TR.score(m, run.test).select("sample_id", "probability") for m in (model, again))
+    assert first.exceptAll(second).count() == 0
+
+
+def test_partitioning_does_not_depend_on_cores(spark, run):
+    """Rows that arrive in other partitions and order fit the same forest."""
+    train = run.train
+    models = [TR.fit("random_forest", train.repartition(n, "x1"), FEATURES, "is_attack", 10, 4) for n in (2, 7)]
+    first, second = (TR.score(m, run.test).select("sample_id", "probability") for m in models)
+    assert first.exceptAll(second).count() == 0
+
+
+def test_only_fitting_is_bounded(spark):
+    """The cap on fitted rows leaves every held-out row in its place."""
+    run = run_experiment(table(spark), models=("logistic_regression",), max_fit_rows=50)
+    assert run.train.count() == 320 and run.predictions.count() == run.test.count() == 80
+
+
+def test_unreadable_rows_fail_alone(spark, run):
+    rows = spark.createDataFrame([(1, "2.5"), (2, "no number")], "sample_id int, `x.0` string")
+    every = rows.withColumns({f: F.lit(0.5) for f in FEATURES[1:]})
+    got = {r["sample_id"]: r for r in model_scorer(run.models["logistic_regression"])(every).collect()}
+    assert got[1]["prediction"] is not None and got[1]["error"] is None
+    assert got[2]["prediction"] is None and got[2]["error"] == "The flow could not be scored."
+
+
 def test_unknown_model(spark):
     with pytest.raises(FlowLensError):
         TR.fit("hosted", table(spark, 20), FEATURES, "is_attack")
