@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 
 # Rules for lines.
 ENDINGS = r"[.!?:;…。！？»”’\"')\]]$"
-SEPARATORS = r"(?:^|\s)[|›»•·>/~-]+(?=\s|$)"
+SEPARATOR = r"[|›»•·>/~-]+"  # a word of these signs alone
 DOUBLED = r"[!?#*$%&|<>]{2,}"
 BOILERPLATE = (r"(?i)\b(?:all rights reserved|licensed under|released under the|general public license|terms of (?:use|service)"
                r"|privacy policy|cookie policy|use cookies|enable javascript|click here|sign in|log in|subscribe to)\b")
@@ -79,7 +79,7 @@ def line_fails(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
     bare = (n < SHORT_LINE) & ~F.rtrim(line).rlike(ENDINGS)
     doubled = F.regexp_count(line, F.lit(DOUBLED)) * 10 > n * 3
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
+    separators = F.size(F.filter(words(line), lambda w: w.rlike(f"^(?:{SEPARATOR})$")))
     navigation = (separators >= 3) & (separators * 5 >= n)
     boilerplate = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
     return bare | doubled | navigation | boilerplate

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, html_extract, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from . import chat, exact_dedup, html_extract, line_dedup, mixing, packing, quality, simhash, sql, toxicity, url_filter
 from .common import table
 
 
@@ -56,10 +56,10 @@ Q = {
     "op2_line_dedup": (op2_line_dedup, None),
     "op3_html_extraction": (op3_html_extraction, None),
     "op4_toxicity": (op4_toxicity, None),
-    "op5_chat_formatting": (op5_chat_formatting, None),
-    "op6_exact_dedup": (op6_exact_dedup, None),
+    "op5_chat_formatting": (op5_chat_formatting, sql.CHAT),
+    "op6_exact_dedup": (op6_exact_dedup, sql.EXACT),
     "op7_mixing": (op7_mixing, None),
-    "op8_url_filters": (op8_url_filters, None),
+    "op8_url_filters": (op8_url_filters, sql.URLS),
     "op9_simhash": (op9_simhash, None),
-    "op10_quality_rules": (op10_quality_rules, None),
+    "op10_quality_rules": (op10_quality_rules, sql.QUALITY),
 }
