@@ -2,8 +2,8 @@
 
 Counts of the whole text (words, symbols, repeated lines, words in repeated five-word windows) give
 the base verdict. Then every line is judged by its punctuation, as navigation and as boilerplate;
-failing lines go, and a document that loses too much of its text with them is rejected. Everything
-is computed from the row alone by built-in functions: one pass, no shuffle.
+failing lines go, and a document that loses too much of its text with them is rejected; notices
+such as a licence line are no text of its own, and losing them does not count. Everything is computed from the row alone by built-in functions: one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .common import SPACES, WORD, nested, once, text_or_empty, words
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of the words
-LEAST_LEFT = 0.5  # of the words' characters, after lines are removed
+LEAST_LEFT = 0.5  # of the words' characters outside notices, after lines are removed
 SYMBOLS = "#*$%&|<>"
 
 # Rules for lines.
@@ -74,6 +74,11 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return once(rows, base_failed=failed)
 
 
+def boilerplate(line: Column) -> Column:
+    """A notice of a few words: licences, rights, cookies, calls to click or sign in."""
+    return (F.regexp_count(line, F.lit(WORD)) <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+
+
 def line_fails(line: Column) -> Column:
     """A line with a word fails as menu-like, as symbols for punctuation, as navigation or as boilerplate."""
     n = F.regexp_count(line, F.lit(WORD))
@@ -81,8 +86,7 @@ def line_fails(line: Column) -> Column:
     doubled = F.regexp_count(line, F.lit(DOUBLED)) * 10 > n * 3
     separators = F.size(F.filter(words(line), lambda w: w.rlike(f"^(?:{SEPARATOR})$")))
     navigation = (separators >= 3) & (separators * 5 >= n)
-    boilerplate = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    return bare | doubled | navigation | boilerplate
+    return bare | doubled | navigation | boilerplate(line)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -95,7 +99,9 @@ def judged(docs: DataFrame) -> DataFrame:
     good = F.filter(F.split(text_or_empty("text"), "\n"), lambda x: ~(x.rlike(WORD) & line_fails(x)))
     rows = once(rows.drop("_lines"), clean_text=F.when(F.col("base_failed"), text_or_empty("text")).otherwise(F.array_join(good, "\n")))
     left = F.length(F.regexp_replace("clean_text", SPACES, ""))
-    kept = ~F.col("base_failed") & (left > 0) & (left >= LEAST_LEFT * F.col("word_chars"))
+    notices = F.filter(F.split(text_or_empty("text"), "\n"), boilerplate)
+    own = F.col("word_chars") - F.length(F.regexp_replace(F.array_join(notices, ""), SPACES, ""))
+    kept = ~F.col("base_failed") & (left > 0) & (left >= LEAST_LEFT * own)
     return rows.withColumn("kept", kept)
 
 

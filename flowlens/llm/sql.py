@@ -62,13 +62,14 @@ judged AS (
     (n < {quality.SHORT_LINE} AND NOT regexp_matches(rtrim(line), '{quality.ENDINGS.replace("'", "''")}'))
     OR len(regexp_extract_all(line, '{quality.DOUBLED}')) * 10 > n * 3
     OR (separators >= 3 AND separators * 5 >= n)
-    OR (n <= {quality.BOILERPLATE_WORDS} AND regexp_matches(line, '{quality.BOILERPLATE}')) AS fails
+    OR notice AS fails, notice
   FROM (SELECT row, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
+      len(regexp_extract_all(line, '{_WORD}')) <= {quality.BOILERPLATE_WORDS} AND regexp_matches(line, '{quality.BOILERPLATE}') AS notice,
       len(list_filter(regexp_extract_all(line, '{_WORD}'), lambda w: regexp_full_match(w, '{quality.SEPARATOR}'))) AS separators
     FROM (SELECT row, unnest(lines) AS line FROM base))),
-stays AS (SELECT row, sum(chars) AS stay FROM judged WHERE NOT fails GROUP BY row),
+stays AS (SELECT row, sum(chars) FILTER (NOT fails) AS stay, coalesce(sum(chars) FILTER (notice), 0) AS notices FROM judged GROUP BY row),
 verdict AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed
   FROM counted LEFT JOIN stays USING (row))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(stay, 0) > 0 AND coalesce(stay, 0) >= {quality.LEAST_LEFT} * word_chars AS kept
+  NOT base_failed AND coalesce(stay, 0) > 0 AND coalesce(stay, 0) >= {quality.LEAST_LEFT} * (word_chars - notices) AS kept
 FROM verdict"""
