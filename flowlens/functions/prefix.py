@@ -1,9 +1,9 @@
 """Running sums and ranks over a whole table without a single-task sort.
 
-``ordered_prefix`` cuts the order column into quantile buckets, sums each bucket, runs
-the prefix over the (small) bucket table and finishes inside the buckets. The order
-column must be distinct within a group - callers group by it first - so equal values
-are already one row and the quantile buckets stay even whatever the value skew.
+``ordered_prefix`` cuts the order column into even buckets, sums each bucket, runs the prefix
+over the (small) bucket table and finishes inside the buckets. The order column must be
+distinct within a group - callers group by it first - so equal values are already one row
+and the buckets stay even whatever the value skew.
 
 ``hash_cutoffs`` turns "the first q rows of each class in hash order" into one hash
 threshold per class, so that sampling and splitting are plain filters.
@@ -13,52 +13,66 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import FlowLensError
+from ..workspace import staged
 from .columns import quoted
 
 # A label with more classes than this is an identifier, not a class.
 MAX_CLASSES = 10_000
-HASH_PREFIX = 4
+HASH_DIGITS = 4  # hash digits counted at a time
+RANKED_ROWS = 1_000_000  # rows of a class that one task may rank
+ROWS_PER_BUCKET = 100_000
+LEAST_BUCKETS = 64
+CELLS_PER_BUCKET = 4
 
 
-def bucket_count(spark: SparkSession, most: int = 4096) -> int:
-    """A power of two, about four buckets per shuffle partition, between 64 and ``most``."""
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    count = 64
-    while count < wanted and count < most:
-        count *= 2
-    return count
+def bucket_count(rows: int) -> int:
+    """Buckets of about ``ROWS_PER_BUCKET`` rows, at least ``LEAST_BUCKETS``."""
+    return max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
 
 
-def _bucket_of(bounds: Column, value: Column, buckets: int) -> Column:
-    """How many of the sorted ``buckets - 1`` bounds are <= value, by halving steps."""
-    steps = [buckets >> i for i in range(1, buckets.bit_length())]
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, step: F.when(F.element_at(bounds, low + step) <= value, low + step).otherwise(low),
-    )
-    # never null, so that joins on the bucket add no null filter; null values sort first
-    return F.coalesce(found, F.lit(0))
+def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
+    """Add ``bucket``: an order-preserving, evenly filled bucket number within each group.
 
+    Rows are counted per cell of equal width between a group's smallest and largest value, and
+    a cell with more than its share is counted again in finer cells between its own bounds. The
+    counts combine on the map side, and running sums over the cells give the buckets, so no
+    task sees more than the cells. Null values come first. ``groups`` are models or feature
+    columns, one row of bounds each. ``df`` is read four times.
+    """
+    keys = [F.col(g) for g in groups]
+    value = quoted(order).cast("double")
+    spans = staged(df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_rows")), "spans")
+    buckets = buckets or bucket_count(spans.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0])
+    cells = CELLS_PER_BUCKET * buckets
+
+    def among(low: str, high: str, n: Column) -> Column:
+        """The cell of the value among ``n`` of equal width; all in the first where there is no width."""
+        share = F.when(F.col(high) > F.col(low), (value - F.col(low)) / (F.col(high) - F.col(low))).otherwise(0.0)
+        return F.coalesce(F.least(F.floor(share * n), n - 1), F.lit(-1)).cast("bigint")
 
-def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
-    """Add ``bucket``: an order-preserving, evenly filled bucket number within each group."""
-    buckets = buckets or bucket_count(df.sparkSession)
-    shares = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    bounds = F.percentile_approx(quoted(order), shares, 8 * buckets).alias("bounds")
     if groups:
-        # one row per group; groups are models or feature columns, so metadata-sized
-        edges = df.groupBy(*groups).agg(bounds)
-        return df.join(F.broadcast(edges), list(groups)).withColumn(
-            "bucket", _bucket_of(F.col("bounds"), quoted(order), buckets)
-        ).drop("bounds")
-    return df.withColumn("bounds", df.agg(bounds).scalar()).withColumn(
-        "bucket", _bucket_of(F.col("bounds"), quoted(order), buckets)
-    ).drop("bounds")
+        by_group = df.join(F.broadcast(spans), list(groups))
+    else:
+        one = spans.first()
+        by_group = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in spans.dtypes})
+    placed = by_group.withColumn("_cell", among("_low", "_high", F.lit(cells))).drop("_low", "_high")
+    share = F.col("_rows") / F.lit(float(buckets))
+    counted = staged(placed.groupBy(*keys, "_rows", "_cell").agg(
+        F.count("*").alias("_n"), F.min(value).alias("_from"), F.max(value).alias("_to")), "cells")
+    counted = counted.withColumn("_parts", F.when(
+        (F.col("_n") > share / 2) & (F.col("_from") < F.col("_to")), F.ceil(CELLS_PER_BUCKET * F.col("_n") / share)))
+    split = counted.filter(F.col("_parts").isNotNull()).select(*keys, "_cell", "_from", "_to", "_parts")
+    finer = placed.join(split, [*groups, "_cell"], "left").withColumn(
+        "_part", F.when(F.col("_parts").isNull(), 0).otherwise(among("_from", "_to", F.col("_parts"))).cast("bigint")).drop("_from", "_to", "_parts")
+    pieces = finer.groupBy(*keys, "_rows", "_cell", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) * buckets / F.col("_rows"))
+    numbered = staged(pieces.select(*keys, "_cell", "_part", number.cast("int").alias("bucket")), "buckets")
+    return finer.join(numbered, [*groups, "_cell", "_part"]).drop("_cell", "_part", "_rows")
 
 
 def ordered_prefix(
@@ -78,7 +92,7 @@ def ordered_prefix(
     before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
     totals = cut.groupBy(*groups, "bucket").agg(*[F.sum(c).alias(f"_in_{n}") for n, c in sums.items()])
-    # at most buckets rows per group
+    # a row per group and bucket
     totals = totals.select(
         *groups,
         "bucket",
@@ -88,7 +102,7 @@ def ordered_prefix(
     inside = Window.partitionBy(*group_cols, F.col("bucket")).orderBy(quoted(order)).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    joined = cut.join(F.broadcast(totals), [*groups, "bucket"])
+    joined = cut.join(totals, [*groups, "bucket"])
     for name, column in sums.items():
         joined = joined.withColumn(
             name, F.col(f"_pre_{name}") + F.coalesce(F.sum(column).over(inside), F.lit(0))
@@ -104,7 +118,7 @@ def ordered_lag(df: DataFrame, order: str, out: str, buckets: int | None = None)
     )
     inside = Window.partitionBy("bucket").orderBy(quoted(order))
     return (
-        cut.join(F.broadcast(ends), "bucket")
+        cut.join(ends, "bucket")
         .withColumn(out, F.coalesce(F.lag(order).over(inside), F.col("_carry")))
         .drop("bucket", "_carry")
     )
@@ -128,34 +142,43 @@ def hash_cutoffs(
 ) -> dict[str, str]:
     """The hash of the ``quota``-th row of each class in hash order.
 
-    Counts per (class, leading hash digits) find the digits that hold the threshold; only
-    rows with those digits are ranked, about 1 in 65,536 of a class. Ids must be distinct.
+    Counts per (class, leading hash digits) find the digits that hold the threshold, by more
+    digits until at most ``RANKED_ROWS`` rows of a class share them; only those are ranked.
+    Ids must be distinct.
     """
     wanted = {c: q for c, q in quotas.items() if q > 0}
     if not wanted:
         return {}
-    quota = F.create_map(*[x for c, q in wanted.items() for x in (F.lit(c), F.lit(q))])
     keyed = df.select(
         quoted(label).cast("string").alias("label"),
         hash_key(quoted(sample_id), seed).alias("hash"),
-    ).withColumn("head", F.substring("hash", 1, HASH_PREFIX))
-    running = Window.partitionBy("label").orderBy("head").rowsBetween(Window.unboundedPreceding, 0)
-    heads = (
-        keyed.groupBy("label", "head").count()
-        .withColumn("upto", F.sum("count").over(running))
-        .withColumn("quota", F.try_element_at(quota, F.col("label")))
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("count") < F.col("quota")))
-        .select("label", "head", (F.col("quota") - F.col("upto") + F.col("count")).alias("place"))
-    )
-    # one row per class, and class_counts has checked the number of classes
-    rank = F.row_number().over(Window.partitionBy("label", "head").orderBy("hash"))
-    rows = (
-        keyed.join(F.broadcast(heads), ["label", "head"])
-        .withColumn("rank", rank)
-        .filter(F.col("rank") == F.col("place"))
-        .select("label", "hash")
-        .collect()
     )
+    # per class the digits so far and the place of the wanted row among the rows that share them
+    found = {c: ("", q) for c, q in wanted.items()}
+    digits = 0
+    while True:
+        heads = F.create_map(*[F.lit(x) for c, (head, _) in found.items() for x in (c, head)])
+        places = F.create_map(*[F.lit(x) for c, (_, place) in found.items() for x in (c, place)])
+        head = F.try_element_at(heads, F.col("label"))
+        near = keyed.filter(F.col("hash").startswith(head) if digits else head.isNotNull())
+        if digits and most <= RANKED_ROWS:
+            break
+        digits += HASH_DIGITS
+        running = Window.partitionBy("label").orderBy("head").rowsBetween(Window.unboundedPreceding, 0)
+        place = F.try_element_at(places, F.col("label"))
+        # one row per class, and class_counts has checked the number of classes
+        marks = (
+            near.withColumn("head", F.substring("hash", 1, digits)).groupBy("label", "head").count()
+            .withColumn("upto", F.sum("count").over(running))
+            .filter((F.col("upto") >= place) & (F.col("upto") - F.col("count") < place))
+            .select("label", "head", "count", (place - F.col("upto") + F.col("count")).alias("place")).collect()
+        )
+        found = {r["label"]: (r["head"], r["place"]) for r in marks}
+        most = max((r["count"] for r in marks), default=0)
+        if not found:
+            return {}
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    rows = near.withColumn("rank", rank).filter(F.col("rank") == F.try_element_at(places, F.col("label"))).select("label", "hash").collect()
     return {r["label"]: r["hash"] for r in rows}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import is_benign, safe_ratio
 from ..functions.prefix import ordered_prefix
+from ..workspace import staged
 
 WIDE = "decimal(38,0)"
 
@@ -133,7 +134,7 @@ def ranking(predictions: DataFrame, positive: str, positive_index: int = 1) -> D
         predictions.groupBy("model", F.element_at("probability", positive_index + 1).alias("score"))
         .agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     )
-    ranked = ordered_prefix(by_score, ["model"], "score", {"pos_below": "pos", "neg_below": "neg"})
+    ranked = ordered_prefix(staged(by_score, "scores"), ["model"], "score", {"pos_below": "pos", "neg_below": "neg"})
     pos, neg = F.col("pos"), F.col("neg")
     total_pos, total_neg = F.col("pos_below_all"), F.col("neg_below_all")
     # twice the number of (positive, negative) pairs in the right order, ties counting one half

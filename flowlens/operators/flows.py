@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..errors import FlowLensError
 from ..functions.columns import iso_utc
-from ..functions.prefix import bucket_count, ordered_lag, ordered_prefix, with_buckets
+from ..functions.prefix import ordered_lag, ordered_prefix, with_buckets
 
 KEY = ["protocol", "a_ip", "a_port", "b_ip", "b_port"]
-MAX_SLOTS = 16_384
 FLAG_LETTERS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U"}
 
 
@@ -72,13 +71,12 @@ def since(packets: DataFrame, window_start_us: int | None) -> DataFrame:
 def _slots(keyed: DataFrame, slot_us: int | None) -> DataFrame:
     """Add the packet's time slot, of fixed width or (default) of equal packet counts.
 
-    Slots of equal counts over all keys hold at most packets / slots rows, so that bounds
-    every (key, slot) group too, however hot the key and however bursty the capture.
+    Slots of equal counts over all keys follow the number of packets, so that bounds every
+    (key, slot) group too, however hot the key and however bursty the capture.
     """
     if slot_us is not None:
         return keyed.withColumn("slot", F.floor(F.col("ts_us") / F.lit(slot_us)).cast("bigint"))
-    count = bucket_count(keyed.sparkSession, MAX_SLOTS)
-    return with_buckets(keyed, [], "ts_us", count).withColumnRenamed("bucket", "slot")
+    return with_buckets(keyed, [], "ts_us").withColumnRenamed("bucket", "slot")
 
 
 def _in_slot() -> Window:
