@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import small, staged, text_or_empty
 
 MAX_FIT_ROWS = 20_000  # labelled documents that are fitted on at most
 LEAST_DOCUMENTS = 3  # documents of the sample that a feature must occur in
@@ -27,6 +27,7 @@ LEAST_Z = 4.0  # standard errors by which a feature's share of toxic documents m
 PENALTY = 5e-5
 STEPS = 800
 FEATURE_BITS = 22
+BROADCAST_FEATURES = 1_000_000
 RUN = 5
 _EDGES = ".,;:!?\"'()[]{}<>|*%&$#-_~`«»“”„’…"
 
@@ -126,7 +127,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Ordinal:
     """The model of at most ``max_rows`` labelled documents, those with the least hash of the id.
 
-    The sample's features come to the driver: a bounded number of documents, whatever the corpus.
+    Features are counted and chosen where the sample lies; the chosen ones of the bounded sample
+    come to the driver.
     """
     order = F.xxhash64(F.lit("fit"), F.col("doc_id"))
     chosen = staged(graded(labels).orderBy(order, "doc_id").limit(max_rows), "sample")
@@ -138,11 +140,21 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) ->
             own = [sorted(features(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "features", "grade"])
 
-    found = sample.select(F.col("doc_id").cast("long"), "text", "grade").mapInArrow(numbers, "doc_id long, features array<int>, grade int")
-    own = staged(found, "features").orderBy("doc_id").toArrow().combine_chunks()
+    found = staged(sample.select(F.col("doc_id").cast("long"), "text", "grade").mapInArrow(numbers, "doc_id long, features array<int>, grade int"), "features")
+    sizes = {r["grade"]: r["n"] for r in found.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    share = 1 - sizes.get(0, 0) / n if n else 0.0
+    each = found.select("doc_id", "grade", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("toxic"))
+    differs = F.abs(F.col("toxic") - F.col("n") * share) >= LEAST_Z * F.sqrt(F.col("n") * share * (1 - share))
+    chosen = staged(counts.where((F.col("n") >= LEAST_DOCUMENTS) & differs).select("feature"), "telling")
+    own = each.join(small(chosen, BROADCAST_FEATURES), "feature").groupBy("doc_id", "grade").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+    own = own.orderBy("doc_id").toArrow().combine_chunks()
+    grades = own.column("grade").to_numpy().astype(np.int64)
+    bare = [np.full(k - (grades == g).sum(), g) for g, k in sorted(sizes.items())]  # documents without a telling feature
     lists = own.column("features").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.int32()))
-    rows = np.repeat(np.arange(own.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)) if own.num_rows else np.empty(0, np.int64)
-    return fit(rows, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), own.column("grade").to_numpy().astype(np.int64))
+    rows = np.repeat(np.arange(own.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return fit(rows.astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([grades, *bare]).astype(np.int64))
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
