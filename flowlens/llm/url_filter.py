@@ -82,8 +82,8 @@ def taken(key: Column, level: int, stored: DataFrame, bits: int) -> Column:
     return test
 
 
-def build(universe: DataFrame) -> Cascade:
-    """The cascade over a stored table of distinct keys (key, listed).
+def build(universe: DataFrame) -> Cascade | None:
+    """The cascade over a stored table of distinct keys (key, listed); None where a filter would be above ``MAX_WORDS``.
 
     Every level stores about the share of wrong keys of the one before, so a few levels suffice.
     Without listed keys there are no levels, and nothing is a member.
@@ -94,7 +94,7 @@ def build(universe: DataFrame) -> Cascade:
     while n:
         words = -(-BITS_PER_KEY * n // 64) + 1
         if words > MAX_WORDS:
-            raise ValueError(f"{n} keys need a filter above the limit; join the list instead, or raise MAX_WORDS")
+            return None
         level = len(levels)
         stored = bloom(inside, level, 64 * words)
         levels.append((stored, 64 * words))
@@ -118,10 +118,16 @@ def judged(pages: DataFrame, listed: str = LISTED, rules=RULES) -> DataFrame:
     The longest fitting rule decides; other pages are blocked if their host is on the block list,
     the hosts of the corpus with a word of ``listed``. A null url, or one without "://", has an empty
     host and path, no rule, and is allowed. Rows are judged one by one; other columns are not read.
+    A list too long for filters that every task can hold is joined instead.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = staged(parts.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(listed)), "hosts")
     cascade = build(universe)
     ruled = parts.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    own = F.when(member(F.col("host"), cascade), "block").otherwise("allow")
+    if cascade is None:
+        ruled = ruled.join(universe.where("listed"), F.col("host") == F.col("key"), "left")
+        on_list = F.coalesce("listed", F.lit(False))
+    else:
+        on_list = member(F.col("host"), cascade)
+    own = F.when(on_list, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"))

@@ -48,3 +48,11 @@ def test_cascade_is_exact(spark):
 def test_no_join(spark, sf_dir):
     plan = U.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_a_list_beyond_the_filters_is_joined(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = sorted(map(tuple, U.judged(pages).collect()), key=str)
+    monkeypatch.setattr(U, "MAX_WORDS", 0)
+    assert U.build(spark.createDataFrame([("a", True)], "key string, listed boolean")) is None
+    assert sorted(map(tuple, U.judged(pages).collect()), key=str) == want
