@@ -45,8 +45,16 @@ def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int
     """
     keys = [F.col(g) for g in groups]
     value = quoted(order).cast("double")
-    spans = staged(df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_rows")), "spans")
-    buckets = buckets or bucket_count(spans.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0])
+    spans = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_rows"))
+    if groups:
+        spans = staged(spans, "spans")
+        by_group = df.join(F.broadcast(spans), list(groups))
+        most = spans.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+    else:
+        one = spans.first()
+        by_group = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in spans.dtypes})
+        most = one["_rows"]
+    buckets = buckets or bucket_count(most)
     cells = CELLS_PER_BUCKET * buckets
 
     def among(low: str, high: str, n: Column) -> Column:
@@ -54,11 +62,6 @@ def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int
         share = F.when(F.col(high) > F.col(low), (value - F.col(low)) / (F.col(high) - F.col(low))).otherwise(0.0)
         return F.coalesce(F.least(F.floor(share * n), n - 1), F.lit(-1)).cast("bigint")
 
-    if groups:
-        by_group = df.join(F.broadcast(spans), list(groups))
-    else:
-        one = spans.first()
-        by_group = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in spans.dtypes})
     placed = by_group.withColumn("_cell", among("_low", "_high", F.lit(cells))).drop("_low", "_high")
     share = F.col("_rows") / F.lit(float(buckets))
     counted = staged(placed.groupBy(*keys, "_rows", "_cell").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import columns as C
+from ..functions.prefix import MAX_CLASSES
 
 def _missing(cell: Column) -> Column:
     return cell.isNull() | cell.isin(*S.MISSING_TOKENS)
@@ -72,10 +73,15 @@ def label_histogram(raw: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def audit_report(raw: DataFrame, label: str = "Label") -> DataFrame:
-    """Audit, duplicates and label counts, one row per file."""
-    labels = label_histogram(raw, label).groupBy("file").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(C.quoted(label), "rows"))))).alias("labels")
-    )
+    """Audit, duplicates and label counts, one row per file.
+
+    A column with more than ``MAX_CLASSES`` values in a file is no label, and the job fails.
+    """
+    listed = label_histogram(raw, label).groupBy("file").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct(C.quoted(label), "rows"))), 1, MAX_CLASSES).alias("labels"), F.count("*").alias("n"))
+    too_many = F.raise_error(F.concat(F.lit("Too many labels in "), "file"))
+    labels = listed.select("file", F.when(F.col("n") <= MAX_CLASSES, F.to_json(F.map_from_entries("labels"))).otherwise(
+        too_many.cast("string")).alias("labels"))
     return audit(raw).join(duplicate_rows(raw), "file").join(labels, "file", "left")
 
 

@@ -122,9 +122,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One audit row per capture file: shape, odd cells, duplicates, label counts."""
-    raw = FF.read_capture_csv(spark, _written_csv(spark, sf_dir)).drop("Extra")
-    return PR.audit_report(raw.withColumn("Label", F.trim("Label")).filter("file not in ('monday-lines.csv', 'friday-lines.csv')"))
+    """One audit row per file written and read back: shape, odd cells, duplicates, label counts."""
+    path = run_folder(spark, "audit")
+    SK.write_audit(PR.audit_report(dirty_lines(spark, sf_dir)), path)
+    return spark.read.schema(
+        "file string, rows bigint, cols int, inf_cells bigint, nan_cells bigint, duplicate_rows bigint, labels string").json(path)
 
 
 def clean_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +291,13 @@ Q: dict[str, tuple] = {
         "FROM dirty_lines) GROUP BY file, x0, x1, x2, x3, x4, x5) GROUP BY file", "dirty_lines")),
     "a3_label_histogram": (lambda s, d: PR.label_histogram(dirty_lines(s, d)), _sql(
         'SELECT file, "Label", count(*) AS rows FROM dirty_lines WHERE "Label" IS NOT NULL GROUP BY file, "Label"', "dirty_lines")),
+    "a3_audit_report": (audit_report, f"""
+        WITH shape AS ({_audit_sql()}), copies AS (""" + _sql(
+        f"SELECT file, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT file, count(*) AS n FROM (SELECT file, {_PARSED} "
+        "FROM dirty_lines) GROUP BY file, x0, x1, x2, x3, x4, x5) GROUP BY file", "dirty_lines") + """), names AS (""" + _sql("""
+        SELECT file, '{' || string_agg('"' || "Label" || '":' || n, ',' ORDER BY "Label") || '}' AS labels
+        FROM (SELECT file, "Label", count(*) AS n FROM dirty_lines WHERE "Label" IS NOT NULL GROUP BY file, "Label") GROUP BY file""", "dirty_lines") + """)
+        SELECT * FROM shape JOIN copies USING (file) LEFT JOIN names USING (file)"""),
     "a4_table_profile": (lambda s, d: PR.table_profile(holes(s, d)), _missing_sql()),
     "a5_p12_column_profile": (profile_columns, _profile_sql()),
     "a6_class_counts": (lambda s, d: PR.class_count_report(holes(s, d)), _sql("""

@@ -44,15 +44,9 @@ def _flow_scores() -> dict:
     }
 
 
-_registers: dict[tuple[str, str], DataFrame] = {}
-
-
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored flow register: written once per session and table set, read by every live query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _registers:
-        _registers[key] = staged(scored_register(spark, sf_dir), "register")
-    return _registers[key]
+    """The flow register, built from the packets by each query that reads it; jobs store it once instead."""
+    return scored_register(spark, sf_dir)
 
 
 def scored_register(spark: SparkSession, sf_dir: str, with_features: bool = False) -> DataFrame:

@@ -139,7 +139,7 @@ def stream_flows(
         here, there = f"slot={batch_id % 2}", f"slot={(batch_id - 1) % 2}"
         waiting = fresh if batch_id == 0 else fresh.unionByName(spark.read.parquet(f"{folder}/open/{there}").select(*PACKET))
         if watermark is not None:
-            due = waiting.filter(F.col("ts_us") <= watermark)
+            due = waiting.filter(F.col("ts_us") <= watermark).persist()
             members = FL.segment(due, idle_us, cap, "strict", slot_us).persist()
             sums = FL.accumulate(members, idle_us, cap).persist()
             closed = (F.col("packet_count") >= cap) | (F.lit(watermark) - F.col("last_seen_us") >= idle_us)
@@ -152,6 +152,7 @@ def stream_flows(
             kept.unionByName(ahead).write.mode("overwrite").parquet(f"{folder}/open/{here}")
             sums.unpersist()
             members.unpersist()
+            due.unpersist()
         else:
             waiting.write.mode("overwrite").parquet(f"{folder}/open/{here}")
         spark.range(1).select(
@@ -202,7 +203,8 @@ def session_flows(packets: DataFrame, idle_us: int = S.IDLE_SECONDS * 1_000_000,
 
     A session window joins events up to and including its gap, a flow splits at ``idle``
     exactly, hence the gap of one microsecond less. Gap statistics need the previous packet
-    and are not part of this form.
+    and are not part of this form. Sessions of a key are merged within each task before the
+    shuffle where the session's settings ask for it (``session()`` does).
     """
     keyed = FL.with_flow_key(packets).withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
     order = F.struct("ts_us", "seq")
