@@ -117,6 +117,7 @@ def segment(
     cap: int = S.PACKET_CAP,
     mode: str = "strict",
     slot_us: int | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Assign every packet to a flow.
 
@@ -124,6 +125,8 @@ def segment(
     first packet) and ``iat_us`` (gap to the previous packet of the same flow, else null).
     ``strict`` splits when the key was silent for ``idle``; ``parity`` splits when that
     silence was also noticed by another packet. Either way a flow ends at ``cap`` packets.
+    ``carried`` (key, packet_count, last_seen_us) are flows open before the first packet, one
+    per key at most; their packets take the first positions (``strict`` only).
     """
     if mode not in ("strict", "parity"):
         raise FlowLensError("mode must be strict or parity.")
@@ -154,6 +157,11 @@ def segment(
         F.max("split_rn").alias("slot_split"),
         first_split.alias("first_split"),
     )
+    if carried is not None:
+        none = F.lit(None)
+        summary = summary.unionByName(carried.select(
+            *KEY, F.lit(-1).alias("slot"), F.col("packet_count").alias("n"), F.col("last_seen_us").alias("first_ts"),
+            F.col("last_seen_us").alias("last_ts"), none.cast("int").alias("slot_split"), none.cast("boolean").alias("first_split")))
     slots = Window.partitionBy(*KEY).orderBy("slot")
     earlier = slots.rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("prev_ts", F.lag("last_ts").over(slots)).withColumn(
@@ -224,9 +232,33 @@ def accumulate(segmented: DataFrame, idle_us: int, cap: int, mode: str = "strict
         F.min("iat_us").alias("iat_min"),
         F.max("iat_us").alias("iat_max"),
         *[_flag_count(letter).alias(name) for name, letter in FLAG_LETTERS.items()],
+        F.min("position").alias("first_position"),
+        F.max("position").alias("last_position"),
     )
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """Rows of ``accumulate`` over different packets of the same flows, one row per flow."""
+    ordered = {
+        "opener_a": F.min_by("opener_a", "first_position"),
+        "first_seq": F.min_by("first_seq", "first_position"),
+        "last_seq": F.max_by("last_seq", "last_position"),
+        "first_position": F.min("first_position"),
+        "last_position": F.max("last_position"),
+        "started_us": F.min("started_us"),
+        "last_seen_us": F.max("last_seen_us"),
+    }
+
+    def whole(name: str) -> Column:
+        if name in ordered:
+            return ordered[name]
+        return F.min(name) if name.endswith("_min") else F.max(name) if name.endswith("_max") else F.sum(name)
+
+    names = [c for c in parts.columns if c not in (*KEY, "flow_start")]
+    types = dict(parts.dtypes)
+    return parts.groupBy(*KEY, "flow_start").agg(*[whole(c).cast(types[c]).alias(c) for c in names])
+
+
 def oriented(flows: DataFrame) -> DataFrame:
     """Name endpoints and per-side sums from the opener's point of view."""
     opener = F.col("opener_a")

@@ -1,10 +1,10 @@
 """Packet streams to scored flows.
 
 ``stream_flows`` runs the batch segmentation on every micro-batch. What it carries from one
-batch to the next is the packets of the flows still open (fewer than ``cap`` each) and of
-packets newer than the watermark, kept as a table in the stream's folder. So a flow is cut
-exactly as in batch, a key with a third of all traffic is still spread over time slots, and
-nothing but that table has to survive an executor or a restart.
+batch to the next is one row of sums per flow still open and the packets newer than the
+watermark, kept as tables in the stream's folder. So a flow is cut exactly as in batch, the
+work of a batch follows its new packets, a key with a third of all traffic is still spread over
+time slots, and nothing but those tables has to survive an executor or a restart.
 
 ``session_flows`` is the plain Structured Streaming form for captures without packet cap:
 event-time watermark, ``session_window``, late packets dropped.
@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
@@ -104,6 +105,31 @@ def _clock(spark: SparkSession, folder: str, batch_id: int) -> int | None:
     return row["watermark_us"]
 
 
+def state_columns(idle_us: int, cap: int) -> list[Column]:
+    """The columns of an open flow's summary, of fixed types."""
+    return [F.col(f.name).cast(f.dataType).alias(f.name) for f in _state_schema(idle_us, cap).fields]
+
+
+def _state_schema(idle_us: int, cap: int) -> T.StructType:
+    empty = SparkSession.active().createDataFrame([], PACKET_SCHEMA)
+    return FL.accumulate(FL.segment(empty, idle_us, cap, slot_us=1), idle_us, cap).schema
+
+
+def _carried(spark: SparkSession, folder: str, batch_id: int, idle_us: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """What a batch left for the next: a row per open flow, and the packets newer than the watermark."""
+    schema = _state_schema(idle_us, cap)
+    if batch_id < 0:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], PACKET_SCHEMA)
+    slot = f"slot={batch_id % 2}"
+    return spark.read.schema(schema).parquet(f"{folder}/state/{slot}"), spark.read.schema(PACKET_SCHEMA).parquet(f"{folder}/ahead/{slot}")
+
+
+def _folded(state: DataFrame, packets: DataFrame, idle_us: int, cap: int, slot_us: int | None) -> DataFrame:
+    """Sums per flow of open flows and packets that come after them."""
+    members = FL.segment(packets, idle_us, cap, "strict", slot_us, state.select(*FL.KEY, "packet_count", "last_seen_us"))
+    return FL.merged(state.unionByName(FL.accumulate(members, idle_us, cap)))
+
+
 def stream_flows(
     packets: DataFrame,
     folder: str,
@@ -119,7 +145,7 @@ def stream_flows(
     Packets may be late by up to ``delay_us`` of event time; those older than the watermark
     go to ``<folder>/late/batch=N`` unchanged, and the clock row has their count. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
     replaced as a whole when a batch is run again, so each flow is written once. The two
-    ``slot`` folders of the carried packets alternate: a batch that is run again still finds
+    ``slot`` folders of the carried tables alternate: a batch that is run again still finds
     the state it started from. Without ``interval`` the stream takes what is there and ends.
     """
 
@@ -136,25 +162,25 @@ def stream_flows(
         newest = fresh.agg(F.max("ts_us")).first()[0]
         marks = [m for m in (before, None if newest is None else newest - delay_us) if m is not None]
         watermark = max(marks) if marks else None
-        here, there = f"slot={batch_id % 2}", f"slot={(batch_id - 1) % 2}"
-        waiting = fresh if batch_id == 0 else fresh.unionByName(spark.read.parquet(f"{folder}/open/{there}").select(*PACKET))
+        here = f"slot={batch_id % 2}"
+        state, ahead = _carried(spark, folder, batch_id - 1, idle_us, cap)
+        waiting = fresh.unionByName(ahead)
         if watermark is not None:
             due = waiting.filter(F.col("ts_us") <= watermark).persist()
-            members = FL.segment(due, idle_us, cap, "strict", slot_us).persist()
-            sums = FL.accumulate(members, idle_us, cap).persist()
+            sums = _folded(state, due, idle_us, cap, slot_us).persist()
             closed = (F.col("packet_count") >= cap) | (F.lit(watermark) - F.col("last_seen_us") >= idle_us)
             done = FL.oriented(sums.filter(closed)).withColumn("flow_id", F.col("first_seq")).withColumn(
                 "active", F.lit(False))
             live_records(done, scorer).write.mode("overwrite").parquet(f"{folder}/flows/batch={batch_id}")
-            still = sums.filter(~closed).select(*FL.KEY, "flow_start")
-            kept = members.join(still, [*FL.KEY, "flow_start"], "left_semi").select(*PACKET)
-            ahead = waiting.filter(F.col("ts_us") > watermark).select(*PACKET)
-            kept.unionByName(ahead).write.mode("overwrite").parquet(f"{folder}/open/{here}")
+            state = sums.filter(~closed).withColumns({
+                "flow_start": F.lit(1).cast("bigint"), "first_position": F.lit(1).cast("bigint"), "last_position": F.col("packet_count")})
+            state.select(*state_columns(idle_us, cap)).write.mode("overwrite").parquet(f"{folder}/state/{here}")
+            waiting.filter(F.col("ts_us") > watermark).write.mode("overwrite").parquet(f"{folder}/ahead/{here}")
             sums.unpersist()
-            members.unpersist()
             due.unpersist()
         else:
-            waiting.write.mode("overwrite").parquet(f"{folder}/open/{here}")
+            state.write.mode("overwrite").parquet(f"{folder}/state/{here}")
+            waiting.write.mode("overwrite").parquet(f"{folder}/ahead/{here}")
         spark.range(1).select(
             F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(watermark).cast("bigint").alias("watermark_us"),
             F.lit(late_rows).cast("bigint").alias("late_packets"),
@@ -175,11 +201,17 @@ def closed_flows(spark: SparkSession, folder: str) -> DataFrame:
 def open_flows(
     spark: SparkSession, folder: str, idle_us: int = S.IDLE_SECONDS * 1_000_000, cap: int = S.PACKET_CAP
 ) -> DataFrame:
-    """Flows still open after the last batch, with their features so far."""
-    clock = spark.read.option("basePath", f"{folder}/clock").parquet(f"{folder}/clock")
-    slot = clock.orderBy(F.desc("batch_id")).first()["slot"]
-    packets = spark.read.parquet(f"{folder}/open/slot={slot}").select(*PACKET)
-    return FL.flow_table(packets, idle_us, cap).withColumn("flow_id", F.col("first_seq"))
+    """Flows still open after the last batch, with their features so far.
+
+    Packets newer than the watermark are folded in, so a flow that they close shows as not active.
+    """
+    clock = spark.read.parquet(f"{folder}/clock").orderBy(F.desc("batch_id")).first()
+    state, ahead = _carried(spark, folder, clock["batch_id"], idle_us, cap)
+    sums = _folded(state, ahead, idle_us, cap, None)
+    newest = ahead.agg(F.max("ts_us")).first()[0]
+    horizon = max(x for x in (clock["watermark_us"], newest, 0) if x is not None)
+    closed = (F.col("packet_count") >= cap) | (F.lit(horizon) - F.col("last_seen_us") >= idle_us)
+    return FL.oriented(sums).withColumn("active", ~closed).withColumn("flow_id", F.col("first_seq"))
 
 
 def late_packets(spark: SparkSession, folder: str) -> DataFrame:
