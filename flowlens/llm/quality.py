@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, nested, once, text_or_empty, words
+from .common import WORD, nested, once, text_or_empty, words
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -74,19 +74,22 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return once(rows, base_failed=failed)
 
 
-def boilerplate(line: Column) -> Column:
-    """A notice of a few words: licences, rights, cookies, calls to click or sign in."""
-    return (F.regexp_count(line, F.lit(WORD)) <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+def line_verdict(line: Column) -> Column:
+    """(line, notice, fails) of a line; one without a word does not fail.
 
+    It fails as menu-like (a few words without an end mark), as symbols for punctuation, as
+    navigation (words of separators alone), or as a notice: a few words of boilerplate.
+    """
+    def judged(n: Column) -> Column:
+        notice = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+        bare = (n < SHORT_LINE) & ~F.rtrim(line).rlike(ENDINGS)
+        doubled = F.regexp_count(line, F.lit(DOUBLED)) * 10 > n * 3
+        some = line.rlike(rf"(?:^|\s){SEPARATOR}")  # most lines need no look at every word
+        separators = F.when(some, F.size(F.filter(words(line), lambda w: w.rlike(f"^(?:{SEPARATOR})$")))).otherwise(0)
+        navigation = (separators >= 3) & (separators * 5 >= n)
+        return F.struct(line.alias("line"), notice.alias("notice"), ((n > 0) & (bare | doubled | navigation | notice)).alias("fails"))
 
-def line_fails(line: Column) -> Column:
-    """A line with a word fails as menu-like, as symbols for punctuation, as navigation or as boilerplate."""
-    n = F.regexp_count(line, F.lit(WORD))
-    bare = (n < SHORT_LINE) & ~F.rtrim(line).rlike(ENDINGS)
-    doubled = F.regexp_count(line, F.lit(DOUBLED)) * 10 > n * 3
-    separators = F.size(F.filter(words(line), lambda w: w.rlike(f"^(?:{SEPARATOR})$")))
-    navigation = (separators >= 3) & (separators * 5 >= n)
-    return bare | doubled | navigation | boilerplate(line)
+    return _let(F.regexp_count(line, F.lit(WORD)), judged)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -95,14 +98,20 @@ def judged(docs: DataFrame) -> DataFrame:
     A null or empty text has no words, fails and keeps an empty clean text. Rows are judged one by
     one, so repeated rows and ties get the same verdict. ``verdicts`` and ``clean`` read no other columns.
     """
-    rows = with_counts(docs)
-    good = F.filter(F.split(text_or_empty("text"), "\n"), lambda x: ~(x.rlike(WORD) & line_fails(x)))
-    rows = once(rows.drop("_lines"), clean_text=F.when(F.col("base_failed"), text_or_empty("text")).otherwise(F.array_join(good, "\n")))
-    left = F.length(F.regexp_replace("clean_text", SPACES, ""))
-    notices = F.filter(F.split(text_or_empty("text"), "\n"), boilerplate)
-    own = F.col("word_chars") - F.length(F.regexp_replace(F.array_join(notices, ""), SPACES, ""))
+    lines = F.split(text_or_empty("text"), "\n")
+    none = F.array().cast("array<struct<line:string,notice:boolean,fails:boolean>>")
+    rows = with_counts(docs).drop("_lines")
+    rows = once(rows, _judged=F.when(F.col("base_failed"), none).otherwise(F.transform(lines, line_verdict)))
+
+    def chars(wanted) -> Column:
+        said = F.array_join(F.transform(F.filter("_judged", wanted), lambda x: x["line"]), "")
+        return F.length(F.translate(said, " \t\n\x0b\f\r", ""))
+
+    good = F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"])
+    clean = F.when(F.col("base_failed"), text_or_empty("text")).otherwise(F.array_join(good, "\n"))
+    left, own = chars(lambda x: ~x["fails"]), F.col("word_chars") - chars(lambda x: x["notice"])
     kept = ~F.col("base_failed") & (left > 0) & (left >= LEAST_LEFT * own)
-    return rows.withColumn("kept", kept)
+    return rows.withColumn("clean_text", clean).withColumn("kept", kept).drop("_judged")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

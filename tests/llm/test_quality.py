@@ -46,7 +46,13 @@ def test_edges(edge, clash, empty, edge_rows):
 def test_lines(spark, line, fails):
     from pyspark.sql import functions as F
 
-    assert spark.range(1).select(quality.line_fails(F.lit(line)).alias("f")).first()["f"] is fails
+    assert spark.range(1).select(quality.line_verdict(F.lit(line)).alias("f")).first()["f"]["fails"] is fails
+
+
+def test_notices_are_no_loss(spark):
+    text = "It was a fair day and all went out to see it.\nThis work is licensed under the GNU General Public License, version 3."
+    df = spark.createDataFrame([(1, text), (2, text.split("\n")[1] + " " * 3)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in quality.clean(df).collect()} == {1: text.split("\n")[0]}
 
 
 def test_line_first(spark):
