@@ -28,8 +28,8 @@ def test_no_python_and_no_cross_product(name, spark, sf_dir):
 
 def test_segmentation_shuffles_packets_once(spark, sf_dir):
     text = plan(flow_queries.segmented(spark, sf_dir))
-    # one exchange of packets per (key, slot) and its narrow copy for the summary, one of the summary
-    assert len(re.findall(r"Exchange hashpartitioning\(protocol", text)) <= 3
+    # one exchange of packets per (key, slot) and its narrow copy for the summary; the summary by key and back
+    assert len(re.findall(r"Exchange hashpartitioning\(protocol", text)) <= 4 and "Exchange SinglePartition" not in text
     for window in re.findall(r"\n[ :+|-]*Window .*", text):
         assert "a_ip" in window.rsplit("], [", 2)[1]
 
@@ -73,3 +73,18 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("ts_us"), F.lit(4).alias("ip_version")).write.parquet(str(tmp_path / "p"))
     kept = FL.since(spark.read.parquet(str(tmp_path / "p")), 50)
     assert "GreaterThanOrEqual(ts_us,50)" in plan(kept)
+
+
+def test_bucket_bounds_meet_in_no_single_task(spark, sf_dir):
+    for name in ("flow_activity", "f6_segment_strict", "f6_segment_parity", "e7_e8_ranking"):
+        assert "percentile_approx" not in plan(entry.queries()[name](spark, sf_dir))
+
+
+def test_a_sample_reads_the_files_of_its_blocks(spark, tmp_path):
+    from flowlens.operators import sample as SM
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(20_000).repartitionByRange(40, "id").sortWithinPartitions("id").write.parquet(path)
+    rows = SM.block_sample(spark, path, max_rows=100, block_rows=100)
+    assert rows.count() == 100
+    assert 0 < len([f for f in rows.inputFiles() if "/t.parquet/" in f]) <= 20
