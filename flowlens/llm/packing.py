@@ -26,7 +26,7 @@ MAX_LENGTH = 2048
 END = 0  # the id after each document
 OPEN_BINS = 65_536  # open bins of a task
 PIECES_PER_TASK = 2_000_000
-CACHED_WORDS = 600_000  # words whose ids a worker remembers
+CACHED_WORDS = 250_000  # words whose ids a worker remembers
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A blank before white space or the end: the next token is then not simply " word".
