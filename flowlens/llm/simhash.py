@@ -54,17 +54,19 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fingerprint) of each row; a null text is empty, without words the fingerprint is zero."""
+    """(doc_id, fingerprint, digest) of each row; a null text is empty, without words the fingerprint is zero."""
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             prints = [simhash(np.array([xxh64_intdigest(s, SEED) for s in shingles(t, width)], np.uint64)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(2)],
+                                             names=["doc_id", "fingerprint", "digest"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, fingerprint long")
+    text = text_or_empty("text")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.sha2(text, 256).alias("digest"))
+    return rows.mapInArrow(compute, "doc_id long, fingerprint long, digest string")
 
 
 def signed(value: int) -> int:
@@ -143,6 +145,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def fingerprint_roots(rows: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(fingerprint, least, root) of the stored rows' fingerprints: their smallest doc_id, their component's smallest fingerprint."""
+    points = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    points = staged(points, "points")
+    roots = components(links(points, distance))
+    return points.join(roots, points["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_groups(docs: DataFrame, width: int = WIDTH, distance: int = MAX_DISTANCE) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its fingerprint and component.
 
@@ -150,12 +161,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, distance: int = MAX_DISTANC
     links reach; null only where the component has none but null ids. Repeated rows repeat.
     Other columns are not read.
     """
-    rows = staged(fingerprints(docs, width), "simhash")
-    points = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    points = staged(points, "points")
-    roots = components(links(points, distance))
-    rooted = points.join(roots, points["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rows = staged(fingerprints(docs, width).drop("digest"), "simhash")
+    rooted = fingerprint_roots(rows, distance)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = rooted.join(ids, "root").select("fingerprint", "component_id")
     moved = staged(moved, "components")
@@ -166,9 +173,17 @@ def near_groups(docs: DataFrame, width: int = WIDTH, distance: int = MAX_DISTANC
 def one_of_each(docs: DataFrame, width: int = WIDTH, distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns.
 
-    Rows with a null doc_id stay only where their component has no other.
+    A null doc_id comes last, and of one doc_id with several texts one text stays. Rows that repeat
+    a doc_id and a text are one document.
     """
-    dropped = staged(near_groups(docs, width, distance).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                     .select(F.col("doc_id").alias("dropped_id")).distinct(), "near")
-    rows = nested(docs, id=F.col("doc_id"))
-    return rows.join(small(dropped, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("dropped_id")), "left_anti").select("row.*")
+    rows = staged(fingerprints(docs, width), "simhash")
+    roots = staged(fingerprint_roots(rows, distance).select("fingerprint", "root"), "roots")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
+    rooted = rows.join(roots, "fingerprint").select("root", place.alias("place"))
+    several = staged(rooted.groupBy("root").agg(F.min("place").alias("keep"), F.max("place").alias("last"))
+                     .where(~F.col("keep").eqNullSafe(F.col("last"))).select("root", "keep"), "several")
+    dropped = rooted.join(small(several, BROADCAST_ROWS), "root").where(~F.col("place").eqNullSafe(F.col("keep")))
+    dropped = staged(dropped.select(F.col("place.doc_id").alias("dropped_id"), F.col("place.digest").alias("dropped")).distinct(), "near")
+    plain = nested(docs, id=F.col("doc_id"), digest=F.sha2(text_or_empty("text"), 256))
+    gone = F.col("id").eqNullSafe(F.col("dropped_id")) & (F.col("digest") == F.col("dropped"))
+    return plain.join(small(dropped, BROADCAST_ROWS), gone, "left_anti").select("row.*")

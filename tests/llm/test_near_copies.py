@@ -3,6 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline as C
 from flowlens.llm import near_copies as N
+from flowlens.llm import simhash as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +64,11 @@ def test_edges(edge, clash, empty, edge_rows):
 
     assert got(edge) == brute([r[:2] for r in edge_rows]) == got(clash)
     assert N.one_of_each(clash).columns == clash.columns and got(empty) == []
+
+
+def test_simhash_keeps_rows_by_id_and_text(spark):
+    """Two null ids of which one is a copy, and one doc_id with a copy and another text."""
+    text, alone, other = edited(100, ()), "a text alone with its words and no copy", "something else that stands once under this number"
+    df = spark.createDataFrame([(1, text), (None, text.upper()), (None, alone), (3, text.upper()), (3, other)], "doc_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in S.one_of_each(df).collect()}
+    assert left == {(1, text), (None, alone), (3, other)}
