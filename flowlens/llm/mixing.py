@@ -5,7 +5,7 @@ document has the whole part for certain; the fraction is the inclusion probabili
 copy. Documents are ranked by Pareto's ratio, random odds over inclusion odds, and taken in that
 order until the source's words are reached. The order is never sorted as a whole: words are summed
 per source and bucket of the rank, the bucket in which the target lies is found from those sums,
-and only its rows (and the look-ahead after them) are ordered.
+and only its rows are ordered. What is missing there is filled from all later documents that fit.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ BROADCAST_SOURCES = 100_000
 
 @dataclass
 class Mix:
-    """How a document is drawn: the plan per source, and the columns it needs of a document."""
+    """How a document is drawn: the plan per source, and the documents behind the cuts that fill the gaps."""
 
     sources: DataFrame
+    filled: DataFrame
     buckets: int
     seed: int
 
@@ -78,12 +79,47 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         F.col("level") * F.col("weight")).alias("target"))
 
 
+def fill(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(_source, doc_id, size) of the documents behind each cut (_source, first_bucket, cut, gap) that fill its gap.
+
+    A round takes, in rank order, the documents no larger than the gap up to the first that goes beyond
+    it; the next goes on behind that one with what is missing. It ends where no later document fits.
+    """
+    def behind(rows: DataFrame, state: DataFrame) -> DataFrame:
+        rows = rows.join(small(state.withColumnRenamed("_source", "_state"), BROADCAST_SOURCES), F.col("_source").eqNullSafe(F.col("_state")))
+        after = F.col("at").isNull() | (F.struct("rank", "doc_id") > F.col("at"))
+        return rows.where((F.col("bucket") >= F.col("from")) & after).drop("_state", "at", "from")
+
+    state = staged(cuts.where("gap >= 1").select("_source", F.col("gap").cast("double").alias("gap"), F.col("first_bucket").alias("from"), F.col("cut").alias("at")), "gap")
+    later = behind(ranked.select("_source", "bucket", "rank", "doc_id", "size"), state).groupBy("_source", "bucket", "rank", "doc_id", "gap").agg(
+        F.sum("size").alias("size")).where("size between 1 and gap").drop("gap")
+    later = staged(later, "later")
+    taken = later.select("_source", "doc_id", "size").limit(0)
+    while not state.isEmpty():
+        fit = behind(later, state).where("size <= gap")
+        sums = fit.groupBy("_source", "gap", "bucket").agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("_source").orderBy("bucket")))
+        over = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))))
+        edge = staged(sums.groupBy(F.col("_source").alias("_edge")).agg(over.alias("edge")), "edge")
+        fit = fit.join(small(edge, BROADCAST_SOURCES), F.col("_source").eqNullSafe(F.col("_edge"))).drop("_edge")
+        whole = fit.where(F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket"))).select("_source", "doc_id", "size")
+        inside = fit.where(F.col("bucket") == F.col("edge.bucket")).withColumn(
+            "upto", F.col("edge.before") + F.sum("size").over(Window.partitionBy("_source").orderBy("rank", "doc_id")))
+        inside = staged(inside, "inside")
+        taken = taken.union(staged(whole.union(inside.where("upto <= gap").select("_source", "doc_id", "size")), "fill"))
+        state = inside.groupBy("_source").agg(
+            (F.first("gap") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.first("edge.before"))).alias("gap"),
+            F.first("edge.bucket").alias("from"), F.min(F.when(F.col("upto") > F.col("gap"), F.struct("rank", "doc_id"))).alias("at"))
+        state = staged(state.where("gap >= 1"), "gap")
+    return taken
+
+
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
          seed: int = 42) -> Mix:
     """The plan of a stored table ``rows`` (doc_id, source, size).
 
     Per source: target, whole copies, and which documents get one more: those up to the cut in rank
-    order, but for one document near the cut at most, and a few behind it that fill the target.
+    order, but for one document near the cut at most, and those behind it that fill the target.
     Documents of one doc_id are drawn together. A source without words has nothing to draw.
     """
     sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -116,45 +152,51 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
              .withColumn("in", F.col("upto") <= F.col("rest"))
              .withColumn("after", F.sum(F.when(~F.col("in"), 1).otherwise(0)).over(by_rank))
              .withColumn("back", F.sum(F.when(F.col("in"), 1).otherwise(0)).over(backwards)))
-    item = F.struct("rank", "doc_id", "size")
-    cuts = close.where(F.when(F.col("in"), F.col("back") <= LOOK).otherwise(F.col("after") <= LOOK)).groupBy(
-        "_source", "first_bucket", "last_bucket").agg(
+    close = staged(close.where(F.when(F.col("in"), F.col("back") <= LOOK).otherwise(F.col("after") <= LOOK)), "close")
+    cuts = staged(close.groupBy("_source", "first_bucket", "last_bucket").agg(
         F.max(F.when(F.col("in"), F.struct("rank", "doc_id"))).alias("cut"),
-        (F.first("rest") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))), F.first("before"))).alias("gap"),
+        (F.first("rest") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))), F.first("before"))).alias("gap")), "gaps")
+    filled = fill(ranked, cuts)
+    own = filled.select(F.col("_source").alias("_own"), F.col("doc_id").alias("_id"), F.lit(True).alias("own"))
+    same = F.col("_source").eqNullSafe(F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    item = F.struct("rank", "doc_id", "size")
+    lists = close.join(own, same, "left").groupBy("_source").agg(
         F.array_sort(F.collect_list(F.when(F.col("in"), item))).alias("last"),
-        F.array_sort(F.collect_list(F.when(~F.col("in"), item))).alias("next"))
-    # what follows fills the gap where it fits
+        F.array_sort(F.collect_list(F.when(~F.col("in") & F.col("own").isNull(), item))).alias("left"))
+    words = filled.groupBy("_source").agg(F.sum("size").alias("words"))
+    words, lists = words.withColumnRenamed("_source", "_w"), lists.withColumnRenamed("_source", "_l")
+    cuts = cuts.join(lists, F.col("_source").eqNullSafe(F.col("_l"))).join(words, F.col("_source").eqNullSafe(F.col("_w")), "left")
+    cuts = cuts.withColumn("gap", F.col("gap") - F.coalesce("words", F.lit(0))).drop("_l", "_w", "words")
     ids = F.array().cast("array<bigint>")
-    start = F.struct(F.col("gap").cast("double").alias("gap"), ids.alias("ids"))
-    cuts = once(cuts, fill=F.aggregate("next", start, lambda a, x: F.when(
-        x["size"] <= a["gap"], F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(a)))
     # one exchange of a taken document (or none) for one that is not, if it brings the words nearer
-    cuts = once(cuts, left=F.filter("next", lambda x: ~F.array_contains("fill.ids", F.coalesce(x["doc_id"], F.lit(-1)))),
-                given=F.concat(F.array(F.struct(F.lit(None).cast("double").alias("rank"), F.lit(None).cast("bigint").alias("doc_id"),
-                                                F.lit(0).cast("bigint").alias("size"))), F.col("last")))
+    cuts = once(cuts, given=F.concat(F.array(F.struct(F.lit(None).cast("double").alias("rank"), F.lit(None).cast("bigint").alias("doc_id"),
+                                                       F.lit(0).cast("bigint").alias("size"))), F.col("last")))
     swaps = F.flatten(F.transform("given", lambda g: F.transform("left", lambda x: F.struct(
-        F.abs(F.col("fill.gap") - x["size"] + g["size"]).alias("off"), x["doc_id"].alias("add"), g["doc_id"].alias("drop"), g["size"].alias("size")))))
+        F.abs(F.col("gap") - x["size"] + g["size"]).alias("off"), x["doc_id"].alias("add"), g["doc_id"].alias("drop"), g["size"].alias("size")))))
     cuts = once(cuts, swap=F.array_min(swaps))
-    better = F.coalesce(F.col("swap.off") < F.abs("fill.gap"), F.lit(False))
+    better = F.coalesce(F.col("swap.off") < F.abs("gap"), F.lit(False))
     cuts = cuts.select(F.col("_source").alias("_cut"), "first_bucket", "last_bucket", F.col("cut.rank").alias("cut_rank"), F.col("cut.doc_id").alias("cut_id"),
-                       F.concat("fill.ids", F.when(better, F.array("swap.add")).otherwise(ids)).alias("extra"),
+                       F.when(better, F.array("swap.add")).otherwise(ids).alias("extra"),
                        F.when(better & (F.col("swap.size") > 0), F.array("swap.drop")).otherwise(ids).alias("without"))
     sources = goal.join(cuts, F.col("_source").eqNullSafe(F.col("_cut")), "left").drop("_cut")
-    return Mix(staged(sources, "mix"), n, seed)
+    return Mix(staged(sources, "mix"), filled.select(F.col("_source").alias("_filled"), F.col("doc_id").alias("_filled_id")), n, seed)
 
 
 def drawn(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` (doc_id, source, and size or other columns) with source_size, target and copies.
 
     A document within the buckets around the cut is taken up to the cut, unless it is in
-    ``without``, or if it is in ``extra``; before them it is taken, and after them it is not.
+    ``without``, or if it is in ``extra`` or fills the gap; before them it is taken, and after them it is not.
     """
-    made = ["_source", "whole", "chance", "rest", "first_bucket", "last_bucket", "cut_rank", "cut_id", "extra", "without"]
+    made = ["_source", "whole", "chance", "rest", "first_bucket", "last_bucket", "cut_rank", "cut_id", "extra", "without", "_filled", "_filled_id", "_fills"]
     joined = docs.join(small(mix.sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    filled = small(mix.filled.withColumn("_fills", F.lit(True)), BROADCAST_SOURCES)
+    joined = joined.join(filled, F.col("source").eqNullSafe(F.col("_filled")) & F.col("doc_id").eqNullSafe(F.col("_filled_id")), "left")
     before = F.coalesce(F.struct("_rank", "doc_id") <= F.struct("cut_rank", "cut_id"), F.lit(False)) & F.col("cut_rank").isNotNull()
     listed = lambda c: F.coalesce(F.array_contains(c, F.col("doc_id")), F.lit(False))
     around = (before & ~listed("without")) | listed("extra")
-    one_more = F.when(F.col("chance") <= 0, False).when(F.col("first_bucket").isNull() | (F.col("_bucket") < F.col("first_bucket")), True).otherwise(
+    one_more = F.when(F.col("chance") <= 0, False).when(F.col("first_bucket").isNull() | (F.col("_bucket") < F.col("first_bucket")), True).when(
+        F.col("_fills"), True).otherwise(
         (F.col("_bucket") <= F.col("last_bucket")) & around)
     ranked = joined.withColumn("_rank", F.when(F.col("chance") > 0, rank(mix.seed))).withColumn("_bucket", F.floor(F.col("_rank") * mix.buckets))
     return ranked.withColumn("copies", (F.col("whole") + one_more.cast("int")).cast("int")).drop("_rank", "_bucket", *made)

@@ -78,3 +78,12 @@ def test_inclusion_is_fair(spark):
             times.setdefault((r["source"], r["target"] / r["source_size"]), []).append(r["copies"])
     for (_, copies), taken in times.items():
         assert sum(taken) / len(taken) == pytest.approx(copies, abs=0.12)
+
+
+def test_a_long_document_at_the_cut(spark):
+    """What a document too long for the gap leaves is filled from all later ones, however many that takes."""
+    rows = [(i, "s", 50 + i * 37 % 200) for i in range(2000)] + [(5000, "s", 150_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for seed in (0, 2):
+        got = M.drawn(df, M.plan(df, seed=seed)).collect()
+        assert sum(r["size"] * r["copies"] for r in got) == pytest.approx(got[0]["target"], abs=50)
