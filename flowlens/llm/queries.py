@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, html_extract, line_dedup, mixing, packing, quality, simhash, sql, toxicity, url_filter
+from . import (chat, exact_dedup, html_extract, line_dedup, mixing, packing, periodic_runs, quality, simhash, sql, toxicity,
+               url_filter)
 from .common import table
 
 
@@ -51,6 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -62,4 +67,5 @@ Q = {
     "op8_url_filters": (op8_url_filters, sql.URLS),
     "op9_simhash": (op9_simhash, None),
     "op10_quality_rules": (op10_quality_rules, sql.QUALITY),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
