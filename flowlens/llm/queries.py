@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat, exact_dedup, html_extract, line_dedup, mixing, packing, periodic_runs, quality, simhash, sql, toxicity,
-               url_filter)
+from . import (bpe, chat, exact_dedup, html_extract, lexical_search, line_dedup, mixing, packing, periodic_runs, quality, simhash, sql,
+               toxicity, url_filter)
 from .common import table
 
 
@@ -52,6 +52,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(table(spark, sf_dir, "documents"))
 
@@ -67,5 +75,7 @@ Q = {
     "op8_url_filters": (op8_url_filters, sql.URLS),
     "op9_simhash": (op9_simhash, None),
     "op10_quality_rules": (op10_quality_rules, sql.QUALITY),
+    "op11_lexical_search": (op11_lexical_search, sql.SEARCH),
+    "op12_bpe": (op12_bpe, None),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }
