@@ -42,6 +42,7 @@ def vocabulary_file(vocabulary: str) -> str:
     return public_tokenizers.path(f"{vocabulary}.json")
 
 
+@functools.cache
 def special_tokens(vocabulary: str) -> dict[str, int]:
     """Strings that are one token wherever they stand."""
     with open(vocabulary_file(vocabulary), encoding="utf-8") as f:
