@@ -134,6 +134,20 @@ def mark(words: pa.Array) -> int:
     return zlib.crc32("\0".join(words.to_pylist()).encode())
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed: their lowest bytes first, then the next, and so on."""
+    import zstandard
+
+    return zstandard.compress(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
 def distinct_words(rows: DataFrame, vocabulary: str) -> DataFrame:
     """(batch, number, word, mark) of every batch's distinct words; mark: the checksum, with the first word."""
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +165,8 @@ def distinct_words(rows: DataFrame, vocabulary: str) -> DataFrame:
 def word_numbers(rows: DataFrame, vocabulary: str) -> DataFrame:
     """(batch, doc_id, numbers, mark): the word numbers of every document, compressed."""
     def numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch, ids, ends, codes, found in numbered(batches, vocabulary):
-            codes, start, out = codes.astype(np.uint32), 0, []
-            for end in ends.tolist():
-                out.append(pack(codes[start:end].view(np.uint8).reshape(-1, 4).T.tobytes()))  # byte planes
-                start = end
+            out = [pack(codes[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(out), batch)), ids, pa.array(out, pa.binary()), pa.array(np.full(len(out), mark(found)))],
                 names=["batch", "doc_id", "numbers", "mark"])
@@ -167,7 +175,10 @@ def word_numbers(rows: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(batch, number, ids, mark): ``words`` with their ids; each distinct word is encoded once."""
+    """(batch, numbers, counts, ids, mark): ``words`` with their ids, several words of a batch in a row, compressed.
+
+    Equal words come one after the other, and each distinct word is encoded once.
+    """
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, list[int]] | None = None  # equal words may lie in two batches
         for rows in batches:
@@ -178,40 +189,47 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
             known = 1 if last and own[0] == last[0] else 0
             ids = ([last[1]] if known else []) + [e.ids for e in tokenizer(vocabulary).encode_batch(own[known:], add_special_tokens=False)]
             last = own[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.list_(pa.int32())).take(coded.indices), rows.column(3)],
-                                             names=["batch", "number", "ids", "mark"])
+            order = np.argsort(rows.column(0).to_numpy(), kind="stable")
+            batch, number, marks = (rows.column(c).to_numpy()[order] for c in (0, 1, 3))
+            lists = pa.array(ids, pa.list_(pa.int32())).take(coded.indices.take(pa.array(order)))
+            counts = pc.list_value_length(lists).to_numpy()
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(counts)
+            starts = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]).tolist()
+            out = []
+            for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+                out.append((int(batch[a]), pack(number[a:b]), pack(counts[a:b]), pack(flat[ends[a] - counts[a]:ends[b - 1]]), int(marks[a:b].max())))
+            cols = zip(*out, strict=True)
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["batch", "numbers", "counts", "ids", "mark"])
 
     dealt = words.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(encode, "batch long, number int, ids array<int>, mark long")
+    return dealt.mapInArrow(encode, "batch long, numbers binary, counts binary, ids binary, mark long")
 
 
 class Assembler:
-    """A batch's distinct words in order of number, with ids and decoded bytes."""
+    """A batch's distinct words by number: their ids and decoded bytes."""
 
     def __init__(self, words: pa.Table, vocabulary: str):
-        self.words = words.sort_by("number").combine_chunks()
-        lists = self.words.column("ids").combine_chunks()
-        flat = lists.flatten()
-        self.lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        none = np.zeros(0, np.uint32)
+        self.numbers, self.lengths, flat = (np.concatenate([none, *map(unpack, words.column(c).to_pylist())]).astype(np.int64) for c in ("numbers", "counts", "ids"))
+        self.mark = max(words.column("mark").to_pylist(), default=zlib.crc32(b""))
         # the join of ids and pieces: a piece's place is its id
-        parts, texts = pa.array(pieces(vocabulary), pa.binary()).take(flat).to_pylist(), pc.cast(flat, pa.string()).to_pylist()
+        parts = pa.array(pieces(vocabulary), pa.binary()).take(pa.array(flat)).to_pylist()
+        texts = pc.cast(pa.array(flat), pa.string()).to_pylist()
         ends = np.cumsum(self.lengths)
-        ends, starts = ends.tolist(), (ends - self.lengths).tolist()
-        self.ids = [",".join(texts[a:b]) for a, b in zip(starts, ends, strict=True)]
-        self.decoded = [b"".join(parts[a:b]) for a, b in zip(starts, ends, strict=True)]
+        order = np.argsort(self.numbers)
+        spans = [*zip((ends - self.lengths)[order].tolist(), ends[order].tolist(), strict=True)]
+        self.numbers, self.lengths = self.numbers[order], self.lengths[order]
+        self.ids = [",".join(texts[a:b]) for a, b in spans]
+        self.decoded = [b"".join(parts[a:b]) for a, b in spans]
 
     def check(self, marks: pa.ChunkedArray) -> None:
-        found = self.words.column("mark")[0].as_py() if self.words.num_rows else zlib.crc32(b"")
-        numbers = self.words.column("number").to_numpy()
-        if not (numbers == np.arange(len(numbers))).all() or any(m != found for m in pc.unique(marks).to_pylist()):
+        if not (self.numbers == np.arange(len(self.numbers))).all() or any(m != self.mark for m in pc.unique(marks).to_pylist()):
             raise ValueError("The documents were read in another order the second time: store them as a table first.")
 
     def document(self, packed: bytes) -> tuple[int, str, bytes]:
         """Tokens, ids joined by commas, and the decoded bytes of a document's packed word numbers."""
-        import zstandard
-
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed) if packed else b"", np.uint8).reshape(4, -1)
-        numbers = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+        numbers = unpack(packed)
         at = numbers.tolist()
         return int(self.lengths[numbers].sum()), ",".join(map(self.ids.__getitem__, at)), b"".join(map(self.decoded.__getitem__, at))
 
