@@ -72,3 +72,32 @@ def test_simhash_keeps_rows_by_id_and_text(spark):
     df = spark.createDataFrame([(1, text), (None, text.upper()), (None, alone), (3, text.upper()), (3, other)], "doc_id long, text string")
     left = {(r["doc_id"], r["text"]) for r in S.one_of_each(df).collect()}
     assert left == {(1, text), (None, alone), (3, other)}
+
+
+def test_large_groups_cost_no_squares(spark):
+    """A hub with many copies of which some are only near another copy: pairs follow the number of texts."""
+    rows = [(k, edited(120, {(7 * k + 13 * j) % 120 for j in range(k % 3 + 1)}, "hub")) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, plain = [], N.similar
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return plain(found, *rest)
+
+    N.similar = counted
+    try:
+        assert stage(spark, df) == brute(rows)
+    finally:
+        N.similar = plain
+    assert sum(pairs) < 40 * len(rows)
+
+
+def test_recall(spark, docs, texts):
+    """Of the pairs of a similarity of 0.8 or more, both texts are in one component."""
+    rows = N.staged(N.sketches(docs), "sketches")
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in S.components(N.links(rows, docs)).collect()}
+    of = {r["doc_id"]: bytes(r["digest"]) for r in rows.select("doc_id", "digest").collect()}
+    sets = [(i, shingles(t)) for i, t in texts if t]
+    near = [(i, j) for (i, a), (j, b) in combinations(sets, 2) if len(a & b) >= 0.8 * len(a | b)]
+    met = [of[i] == of[j] or roots.get(of[i], of[i]) == roots.get(of[j], of[j]) for i, j in near]
+    assert len(near) > 5 and sum(met) >= 0.99 * len(met)
