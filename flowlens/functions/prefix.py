@@ -30,8 +30,8 @@ CELLS_PER_BUCKET = 4
 
 
 def bucket_count(rows: int) -> int:
-    """Buckets of about ``ROWS_PER_BUCKET`` rows, at least ``LEAST_BUCKETS``."""
-    return max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+    """Buckets of about ``ROWS_PER_BUCKET`` rows, at least ``LEAST_BUCKETS``; so few rows as one bucket has need no more."""
+    return 1 if rows <= ROWS_PER_BUCKET else max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
 
 
 def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int
     a cell with more than its share is counted again in finer cells between its own bounds. The
     counts combine on the map side, and running sums over the cells give the buckets, so no
     task sees more than the cells. Null values come first. ``groups`` are models or feature
-    columns, one row of bounds each. ``df`` is read four times.
+    columns, one row of bounds each. ``df`` is read four times, or twice where one bucket is enough.
     """
     keys = [F.col(g) for g in groups]
     value = quoted(order).cast("double")
@@ -55,6 +55,9 @@ def with_buckets(df: DataFrame, groups: Sequence[str], order: str, buckets: int
         by_group = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in spans.dtypes})
         most = one["_rows"]
     buckets = buckets or bucket_count(most)
+    if buckets == 1:
+        # not a literal: joins on the bucket must stay joins on a key
+        return df.withColumn("bucket", F.pmod(F.hash(quoted(order)), F.lit(1)))
     cells = CELLS_PER_BUCKET * buckets
 
     def among(low: str, high: str, n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -14,6 +14,7 @@ from ..operators import train as TR
 from ..sources import flow_files as FF
 from ..sources import sinks as SK
 from ..streaming import flow_stream as FS
+from ..streaming import keyed_flows as KF
 from ..workspace import configure, run_folder, staged
 from . import clean_queries as CQ
 from . import flow_queries as FQ
@@ -23,17 +24,31 @@ from .views import CAP, FEATURES, IDLE_US, labelled_flows, raw_packets_from, tab
 _HOLES = ["line_count", "qty_sum", "qty_min", "qty_max", "price_cents", "half"]
 STREAM_FILES = 5
 DELAY_US = 0
-GAP = (100, 140)  # quantities between these are left out, so that the label is separable
+LARGE = 120  # a summed quantity above this is an attack
+GAP = 10_000  # what the feature of attacks is raised by, so that the label is separable
+
+_RUNS: dict[tuple, Experiment] = {}  # runs of this session: several queries read one of them
 
 
 def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose label follows from one column: a large summed quantity is an attack."""
-    rows = labelled_flows(configure(spark), sf_dir)
-    return rows.filter(~F.col("qty_sum").between(*GAP)).withColumn("is_attack", (F.col("qty_sum") > GAP[1]).cast("int"))
+    """All rows, with a label that follows from one column: a large summed quantity, raised by a gap, is an attack."""
+    rows, attack = labelled_flows(configure(spark), sf_dir), F.col("qty_sum") > LARGE
+    return rows.withColumn("is_attack", attack.cast("int")).withColumn("qty_sum", F.col("qty_sum") + F.when(attack, GAP).otherwise(0))
 
 
 def experiment(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = TR.MODEL_NAMES) -> Experiment:
-    return run_experiment(learnable(spark, sf_dir), "is_attack", models=models, trees=20, depth=5)
+    """The run with the library's own settings; its tables and models are kept for the session's other queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, models)
+    if key not in _RUNS:
+        _RUNS[key] = run_experiment(learnable(spark, sf_dir), "is_attack", models=models)
+    return _RUNS[key]
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model's held-out predictions; whether confidence is the larger probability, of two that sum to one."""
+    p, confidence = F.col("probability"), F.col("confidence")
+    sums = (F.size(p) == 2) & (F.abs(p[0] + p[1] - 1) < 1e-9) & (confidence == F.array_max(p)) & confidence.between(0.5, 1)
+    return experiment(spark, sf_dir).predictions.select("model", "sample_id", "true_label", "predicted_label", sums.alias("confidence_is_share"))
 
 
 def flow_experiment(rows: DataFrame) -> Experiment:
@@ -64,20 +79,37 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most important feature of the forest."""
-    run = experiment(spark, sf_dir, ("random_forest",))
-    ranked = TR.feature_importance(run.models["random_forest"])
+    """The forest's whole ranking: per feature whether it is first, and whether place and importance are in order.
+
+    Importances are the forest's own numbers, so the checks are made here, against the row before.
+    """
+    ranked = TR.feature_importance(experiment(spark, sf_dir).models["random_forest"])
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ranked, 1)], "place int, feature string, importance double")
-    return rows.filter("place = 1").select("place", "feature")
+    one = F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-9  # at most 20 rows
+    falls = F.coalesce(F.lag("importance").over(Window.orderBy("place")) >= F.col("importance"), F.lit(True))
+    return rows.select("feature", (F.col("place") == 1).alias("first"), (falls & F.col("importance").between(0, 1)).alias("in_order"), one.alias("sums_to_one"))
 
 
 def saved_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a stored experiment row says of the run, without its times."""
+    """A stored experiment row: what it says of the run, its metrics and profile, and whether its times were taken."""
     path = run_folder(spark, "experiments")
-    experiment(spark, sf_dir, ("random_forest", "logistic_regression")).save(path)
-    return spark.read.json(path).select(
+    experiment(spark, sf_dir).save(path)
+    row = spark.read.json(path).withColumns({
+        "metrics": F.from_json("metrics", "array<struct<model: string, metric: string, value: double>>"),
+        "reliability": F.from_json("reliability", "array<struct<model: string, rows: bigint>>"),
+        "dataset": F.from_json("dataset", "array<struct<column_name: string>>")})
+
+    def every(name: str, test) -> Column:
+        found = F.filter("metrics", lambda m: m["metric"] == name)
+        return (F.size(found) == len(TR.MODEL_NAMES)) & F.forall(found, lambda m: test(m["value"]))
+
+    return row.select(
         "random_seed", "model", "label_column", "features", "classes", "infinite_values", "numeric_coercion",
-        F.concat_ws(",", "metadata_excluded").alias("metadata_excluded"))
+        F.concat_ws(",", "metadata_excluded").alias("metadata_excluded"),
+        every("accuracy", lambda v: v == 1.0).alias("all_right"),
+        (every("fit_seconds", lambda v: v > 0) & every("inference_seconds", lambda v: v > 0)).alias("times_taken"),
+        F.aggregate(F.filter("reliability", lambda b: b["model"] == "primary"), F.lit(0).cast("bigint"), lambda n, b: n + b["rows"]).alias("reliability_rows"),
+        F.size("dataset").alias("profiled_columns"))
 
 
 def file_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +117,7 @@ def file_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_folder(spark, "upload") + ".parquet"
     learnable(spark, sf_dir).write.parquet(path)
     labelled, rows = FF.read_upload(spark, path, "is_attack")
-    model = experiment(spark, sf_dir, ("logistic_regression",)).models["logistic_regression"]
+    model = experiment(spark, sf_dir).models["logistic_regression"]
     aligned = SC.align_to_model(rows, model.features, ["sample_id"])
     scored = SC.with_prediction(TR.score(model, aligned), model.classes, truth=None)
     checked = scored.join(labelled.select("sample_id", "is_attack"), "sample_id")
@@ -148,6 +180,28 @@ def streamed_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LV.counters(FS.live_state(spark, streamed(spark, sf_dir, scorer), IDLE_US, CAP))
 
 
+def keyed_run(spark: SparkSession, sf_dir: str, redelivered: bool = False) -> str:
+    """The folder of a run with keyed state over several batches; ``redelivered``: every tenth packet comes again."""
+    folder, packets = run_folder(configure(spark), "keyed"), _event_stream(spark, sf_dir, 1)
+    if redelivered:
+        packets = packets.withColumn("_times", F.explode(F.sequence(F.lit(1), F.when(F.col("seq") % 10 == 0, 2).otherwise(1)))).drop("_times")
+    KF.write_flows(KF.keyed_flows(packets, "0 seconds", IDLE_US, CAP, redelivered), folder).awaitTermination()
+    return folder
+
+
+def keyed_stream_flows(spark: SparkSession, sf_dir: str, redelivered: bool = False) -> DataFrame:
+    """The flows that keyed state and timers have closed, with some of their features."""
+    rows = spark.read.schema(S.LIVE_FLOW_SCHEMA).parquet(f"{keyed_run(spark, sf_dir, redelivered)}/flows")
+    return rows.select(
+        F.col("flow_id").alias("first_seq"), "source", "destination", "protocol", "packet_count", "bytes", "duration_seconds",
+        *[F.element_at("features", F.lit(f)).alias(f) for f in ("Total Fwd Packets", "Flow IAT Max", "SYN Flag Count")])
+
+
+def keyed_open_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows still open, read from the stream's state."""
+    return KF.open_flows(spark, keyed_run(spark, sf_dir)).select("first_seq", "protocol", "packet_count", "bytes", "active")
+
+
 def native_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session-window flows written by an append stream and read back."""
     folder = run_folder(configure(spark), "sessions")
@@ -187,8 +241,8 @@ _SESSION_COLS = ("first_seq, protocol, source_ip, source_port, destination_ip, d
                  "fwd_n, bwd_n, started_us, last_seen_us")
 
 _LEARNT = {
-    "learnable": (("labelled_flows",), f"""SELECT sample_id, CASE WHEN qty_sum > {GAP[1]} THEN '1' ELSE '0' END AS Label
-        FROM labelled_flows WHERE NOT qty_sum BETWEEN {GAP[0]} AND {GAP[1]}"""),
+    "learnable": (("labelled_flows",), f"""SELECT sample_id, CASE WHEN qty_sum > {LARGE} THEN '1' ELSE '0' END AS Label,
+        line_count, qty_sum + CASE WHEN qty_sum > {LARGE} THEN {GAP} ELSE 0 END AS qty_sum, qty_min, qty_max, price_cents, discount_pct FROM labelled_flows"""),
     "learnable_split": (("learnable",), """
         SELECT r.*, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
         FROM (SELECT *, row_number() OVER (PARTITION BY Label ORDER BY md5(CAST(sample_id AS VARCHAR) || ':42')) AS rn FROM learnable) r
@@ -197,6 +251,12 @@ _LEARNT = {
             SELECT Label, n, CAST(sum(n) OVER () AS BIGINT) AS total, CAST(ceil(0.2::DOUBLE * sum(n) OVER ()) AS BIGINT) AS wanted
             FROM (SELECT Label, count(*) AS n FROM learnable GROUP BY Label)))) USING (Label)"""),
 }
+_MARK = "(SELECT (max(ts_us) + 999) // 1000 * 1000 FROM packets)"  # the last watermark, in whole milliseconds
+_KEYED_CLOSED = f"(packet_count >= {CAP} OR (last_seen_us + {IDLE_US} + 999) // 1000 * 1000 <= {_MARK})"
+_KEYED = with_views(f"""
+        SELECT first_seq, source_ip || ':' || source_port AS source, destination_ip || ':' || destination_port AS destination, protocol,
+          packet_count, bytes, round((last_seen_us - started_us)::DOUBLE / 1000000.0::DOUBLE, 6) AS duration_seconds,
+          "Total Fwd Packets", "Flow IAT Max", "SYN Flag Count" FROM flow_features WHERE {_KEYED_CLOSED}""", ["flow_features", "packets"], FQ.STRICT)
 _ONES = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1", "roc_auc", "pr_auc", "attack_recall")
 
 
@@ -219,13 +279,17 @@ Q: dict[str, tuple] = {
           (SELECT count(*) FROM learnable_split WHERE split = 'test') AS inference_rows
         FROM (VALUES ('primary'), ('random_forest'), ('logistic_regression')) AS m(model)""", "learnable_split")),
     "m6_m7_trained_predictions": (
-        lambda s, d: experiment(s, d).predictions.select("model", "sample_id", "true_label", "predicted_label"), _learnt("""
-        SELECT model, sample_id, Label AS true_label, Label AS predicted_label FROM learnable_split,
+        predictions, _learnt("""
+        SELECT model, sample_id, Label AS true_label, Label AS predicted_label, true AS confidence_is_share FROM learnable_split,
           (VALUES ('primary'), ('random_forest'), ('logistic_regression')) AS m(model) WHERE split = 'test'""", "learnable_split")),
-    "m17_feature_importance": (importance, "SELECT 1 AS place, 'qty_sum' AS feature"),
-    "m18_m19_s8_experiment_row": (saved_experiment, f"""
-        SELECT CAST({S.SEED} AS BIGINT) AS random_seed, 'random_forest' AS model, 'is_attack' AS label_column, '{len(FEATURES)}' AS features,
-          '0,1' AS classes, 'NaN' AS infinite_values, true AS numeric_coercion, '{",".join(S.METADATA_COLUMNS)}' AS metadata_excluded"""),
+    "m17_feature_importance": (importance, _learnt("""
+        SELECT feature, max(v) FILTER (Label = '0') < min(v) FILTER (Label = '1') AS first, true AS in_order, true AS sums_to_one
+        FROM (UNPIVOT learnable ON line_count, qty_sum, qty_min, qty_max, price_cents, discount_pct INTO NAME feature VALUE v) GROUP BY feature""", "learnable")),
+    "m18_m19_s8_experiment_row": (saved_experiment, _learnt(f"""
+        SELECT CAST({S.SEED} AS BIGINT) AS random_seed, 'primary' AS model, 'is_attack' AS label_column, '{len(FEATURES)}' AS features,
+          string_agg(DISTINCT Label, ',' ORDER BY Label) AS classes, 'NaN' AS infinite_values, true AS numeric_coercion,
+          '{",".join(S.METADATA_COLUMNS)}' AS metadata_excluded, true AS all_right, true AS times_taken,
+          count(*) FILTER (split = 'test') AS reliability_rows, {len(FEATURES) + 3} AS profiled_columns FROM learnable_split""", "learnable_split")),
     "s11_file_scoring": (file_scoring, _learnt("""
         SELECT count(*) AS rows, count(*) FILTER (Label = '1') AS attack_predictions, count(*) FILTER (Label = '0') AS benign_predictions,
           1.0::DOUBLE AS accuracy FROM learnable""", "learnable")),
@@ -236,6 +300,10 @@ Q: dict[str, tuple] = {
         SELECT first_seq, source_ip || ':' || source_port AS source, destination_ip || ':' || destination_port AS destination, protocol,
           packet_count, bytes, round((last_seen_us - started_us)::DOUBLE / 1000000.0::DOUBLE, 6) AS duration_seconds,
           "Total Fwd Packets", "Flow IAT Max", "SYN Flag Count" FROM flow_features WHERE NOT active""", ["flow_features"], FQ.STRICT)),
+    "f6_f8_keyed_stream": (keyed_stream_flows, _KEYED),
+    "s12_redelivered_packets": (lambda s, d: keyed_stream_flows(s, d, True), _KEYED),
+    "f17_state_snapshot": (keyed_open_flows, with_views(
+        f"SELECT first_seq, protocol, packet_count, bytes, true AS active FROM flow_rows WHERE NOT {_KEYED_CLOSED}", ["flow_rows", "packets"], FQ.STRICT)),
     "f17_stream_open_flows": (streamed_open, with_views(
         "SELECT first_seq, protocol, packet_count, bytes, active FROM flow_rows WHERE active", ["flow_rows"], FQ.STRICT)),
     "f18_f19_stream_scored": (streamed_scored, with_views("""
