@@ -28,7 +28,7 @@ from .common import parts, small, staged, text_or_empty
 
 BEST = 10  # documents of an item
 BLOCK_DOCS = 1 << 12
-BLOCK_CELLS = 1 << 20  # a block closes at so many cells, after a whole document
+BLOCK_CELLS = 1 << 18  # a block closes at so many cells, after a whole document: a few megabytes
 AT_ONCE = 128  # ranges that are halved at once
 ITEMS_AT_ONCE = 10_000  # items of one pass over the index
 BROADCAST_ROWS = 1_000_000
