@@ -12,8 +12,10 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +26,28 @@ from .common import text_or_empty
 
 # HTML's elements that do not break a line of text, that have no end tag, and whose
 # content is not text of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-                   "time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong "
+                   "sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title select option svg math iframe object canvas audio video head".split())
+RAW = frozenset("script style template textarea title select option head".split())
+LONG_ONLY = frozenset("script style textarea title template".split())  # text up to the end tag, whatever it holds
+FOREIGN = frozenset("math svg".split())  # every element inside them is part of a line
 #: Elements whose end an opening tag of the same kind implies.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements beyond which no end is implied.
+BARS = frozenset("ul ol dl table tbody thead div section article".split())
 #: Blocks that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+MISQUOTED = 20  # tags of a page whose quotes hide every ">" after them, until quotes mean nothing in its tags
+
+_NEXT = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?])")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _FINISH = re.compile(r"[.!?…。！？][\"'”’)»]*$")
-LONG_ONLY = ("script", "style", "textarea", "title", "noscript", "template")  # text up to the end tag, whatever it holds
+_ZEROS, _HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 
 
 @dataclass
@@ -48,6 +57,15 @@ class Block:
     label: int = 0
 
 
+class Open(NamedTuple):
+    """An open element with what it hands down: features of it and its ancestors, training label, nearest block's tag."""
+
+    name: str
+    found: frozenset[str]
+    label: str
+    own: str
+
+
 def opened(name: str, attributes: str) -> tuple[list[str], str | None]:
     """The features that an element gives its blocks, and its training label."""
     found, label = [f"in:{name}"], None
@@ -63,106 +81,149 @@ def opened(name: str, attributes: str) -> tuple[list[str], str | None]:
     return found, label
 
 
-def blocks(page: str) -> list[Block]:
+def tokens(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """The page as (text, then a tag's name or none, whether it is an end tag, its attributes), in linear time.
+
+    Comments and declarations are skipped, and so are elements with no markup inside, up to their
+    end tag. A tag that no ">" follows is cut off and ends the page. Where quotes would hide every
+    ">" that follows, the tag ends at the first; after ``MISQUOTED`` such tags quotes mean nothing.
+    """
+    at, end, misquoted = 0, len(page), 0
+    last, last_data = page.rfind(">"), page.rfind("]]>")
+    while at < end:
+        token = _NEXT.search(page, at)
+        if not token:
+            yield page[at:].removesuffix("</").removesuffix("<"), None, False, ""
+            return
+        text, start, at = page[at:token.start()], token.start(), token.end()
+        if token[2] is None:
+            if page.startswith("<!--", start):
+                over = page.find("-->", start + 4)
+                at = over + 3 if over >= 0 else end
+            elif page.startswith("<![CDATA[", start) and start < last_data:
+                at = page.find("]]>", start) + 3
+            else:
+                over = page.find(">", at)
+                at = over + 1 if over >= 0 else end
+            yield text, None, False, ""
+            continue
+        if at > last:
+            yield text, None, False, ""
+            return
+        over = _QUOTED.match(page, at) if misquoted < MISQUOTED else None
+        misquoted += over is None
+        stop = over.end() if over else page.find(">", at) + 1
+        attributes, at, name = page[at:stop - 1], stop, token[2].lower()
+        yield text, name, bool(token[1]), attributes
+        if name in LONG_ONLY and not token[1]:
+            over = re.compile(rf"</{name}(?![-\w])", re.I).search(page, at)
+            if over:
+                at = page.find(">", over.end()) + 1 or end
+            elif not attributes.endswith("/"):
+                at = end
+
+
+def decoded(text: str) -> str:
+    """Character references as characters; a number that is no character is U+FFFD."""
+    if "&" not in text:
+        return text
+    if "&#" in text:  # numbers of any length
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     """The leaf blocks with text, in page order.
 
     White space is one blank, character references are decoded. Broken markup is read as browsers
-    do where that matters for blocks: missing end tags, a tag cut off at the page's end.
+    do where that matters for blocks: missing end tags, a tag cut off at the page's end. Of the
+    ancestors' features only ``known`` ones are kept (none given: all), so that time is linear in
+    the page however deep it nests.
     """
     done: list[Block] = []
-    stack: list[tuple[str, list[str], str | None]] = []
+    root = Open("", frozenset(), "0", "none")
+    stack: list[Open] = []
+    shape: list[int] = []  # places in the stack of elements that imply an end or bar it
+    count: Counter[str] = Counter()  # open elements by name
     words: list[str] = []
     linked = 0
-    raw = 0  # open elements whose content is no text
+    raw = foreign = 0  # open elements whose content is no text, or is part of a line
 
     def flush() -> None:
         nonlocal linked
         if words:
-            source = "".join(words)
-            text = _SPACE.sub(" ", html.unescape(source) if "&" in source else source).strip()
+            text = _SPACE.sub(" ", decoded("".join(words))).strip()
             if text:
-                label = next((x for _, _, x in reversed(stack) if x is not None), "0")
-                done.append(Block(text, describe(text, linked, stack), int(label)))
+                top = stack[-1] if stack else root
+                done.append(Block(text, describe(text, linked, top), int(top.label)))
             words.clear()
         linked = 0
 
+    def cut(place: int) -> None:
+        nonlocal raw, foreign
+        if not foreign and stack[place].name not in INLINE:
+            flush()
+        for gone in stack[place:]:
+            count[gone.name] -= 1
+            raw -= gone.name in RAW
+            foreign -= gone.name in FOREIGN
+        del stack[place:]
+        while shape and shape[-1] >= place:
+            shape.pop()
+
     def close(name: str) -> None:
-        nonlocal raw
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                if name not in INLINE:
-                    flush()
-                raw -= sum(n in RAW for n, _, _ in stack[i:])
-                del stack[i:]
-                return
-
-    at, end = 0, len(page)
-    while at < end:
-        token = _TOKEN.search(page, at)
-        text = page[at:token.start() if token else end]
-        if not token:
-            cut = re.search(r"<(?:[a-zA-Z/!?][^>]*)?$", text)  # a tag that the page's end cuts off
-            text = text[:cut.start()] if cut else text
+        if count[name]:
+            cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
+
+    for text, name, ending, attributes in tokens(page):
         if text and not raw:
             words.append(text)
-            if any(n == "a" for n, _, _ in stack):
+            if count["a"]:
                 linked += len(text)
-        if not token:
-            break
-        at = token.end()
-        name = token[2]
         if name is None:
             continue
-        name = name.lower()
-        if token[1]:
-            if name == "p" and not any(n == "p" for n, _, _ in stack) and not raw:
+        if ending:
+            if name == "p" and not count["p"] and not raw:
                 flush()
             close(name)
             continue
-        if raw and (name == "body" or name in ENDS_P) and any(n == "head" for n, _, _ in stack):
+        if raw and (name == "body" or name in ENDS_P) and count["head"]:
             close("head")  # its end tag is missing
-        if not raw:
+        if not raw and not foreign:
             if name not in INLINE:
                 flush()
                 if name in ENDS_P:
-                    inner = {n for n, _, _ in stack}
-                    if "p" in inner:
-                        close("p")
+                    close("p")
                 if name in IMPLIED:
-                    for i in range(len(stack) - 1, -1, -1):
-                        n = stack[i][0]
-                        if n in IMPLIED[name]:
-                            close(n)
+                    for i in reversed(shape):
+                        if stack[i].name in IMPLIED[name]:
+                            cut(i)
                             break
-                        if n in ("ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article"):
+                        if stack[i].name in BARS:
                             break
             elif name == "br":
                 words.append(" ")
-        if name in VOID or token[3].rstrip().endswith("/") and name not in ("a", "p", "div"):
-            continue
-        if name in LONG_ONLY:
-            if not raw:
-                flush()
-            over = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = over.end() if over else end
+        if name in VOID or attributes.rstrip().endswith("/") and name not in ("a", "p", "div") or name in LONG_ONLY:
             continue
-        features, label = opened(name, token[3])
-        stack.append((name, features, label))
+        found, label = opened(name, attributes)
+        above = stack[-1] if stack else root
+        new = {f for f in found if (known is None or f in known) and f not in above.found}
+        if name in IMPLIED or name in BARS:
+            shape.append(len(stack))
+        inside = foreign or name in INLINE
+        stack.append(Open(name, above.found | new if new else above.found, above.label if label is None else label, above.own if inside else name))
+        count[name] += 1
         raw += name in RAW
+        foreign += name in FOREIGN
     flush()
     return done
 
 
-def describe(text: str, linked: int, stack: list[tuple[str, list[str], str | None]]) -> list[str]:
+def describe(text: str, linked: int, element: Open) -> list[str]:
     """The features of a block: those of its ancestors, its own tag, and shapes of its text."""
-    found = {"bias"}
-    own = "none"
-    for name, features, _ in stack:
-        found.update(features)
-        if name not in INLINE:
-            own = name
+    found = {"bias", *element.found}
     n = text.count(" ") + 1
-    found.add(f"tag:{own}")
+    found.add(f"tag:{element.own}")
     found.add(f"words:{min(n.bit_length(), 7)}")
     found.add(f"links:{min(4, 4 * linked // max(1, len(text)))}")
     found.add("ends" if _FINISH.search(text) else "open")
@@ -350,7 +411,7 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 7) -> Chain:
 
 
 def main_text(page: str, chain: Chain) -> str:
-    own = blocks(page)
+    own = blocks(page, chain.weights)
     return "\n\n".join([b.text for b, on in zip(own, chain.decode(own), strict=True) if on])
 
 

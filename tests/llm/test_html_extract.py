@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from flowlens.llm import html_extract as H
@@ -36,12 +37,34 @@ def test_viterbi_is_the_best_labelling(chain):
     ("<script>var x='</p>';</script><p>t", ["t"]), ("<p>a &amp;amp; b &eacute; &#x41;</p>", ["a &amp; b é A"]),
     ("<!-- <p>no</p> --><p>yes", ["yes"]), ("<head><title>t</title><body><p>x", ["x"]), ("<p>cut <a hre", ["cut"]),
     ("<div>one<div>two</div>three</div>", ["one", "two", "three"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
+    ("<p>it <math><mi>e</mi><mo>=</mo>2.7</math> holds, <svg><text>so</text></svg> all.</p>", ["it e=2.7 holds, so all."]),
+    ("<noscript><p>Figure</p></noscript><object>fallback</object>x", ["Figure", "fallback", "x"]), ("<svg><title>no</title></svg>x", ["x"]),
+    ("<p title='5\">a</p><p>b</p>", ["a", "b"]), ("<script src='x' />no</script>x", ["x"]), ("<p>&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;", ["\ufffdA"]),
+    ("I </3 you", ["I </3 you"]), ("<script>no</script x", []), ("<ul><li>a<div><p>b<li>c", ["a", "b", "c"]), ("<select><option>no</select>x", ["x"]),
     ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ("<style>p{}</style><textarea>no</textarea>x", ["x"]), ("<p title='a>b'>t</p>", ["t"]),
 ])
 def test_blocks(page, texts):
     assert [b.text for b in H.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", '<a "', "<a '>'", "<![CDATA[", "<!-", "<span>x</b>", "<a b='", "</script", "<p class=a" + "b" * 9, "<li><b>x"])
+def test_long_malformed_pages(chain, unit):
+    """A megabyte of any kind takes time in proportion."""
+    for page in (unit * (1_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + ">", "<ul><li>" + unit * (1_000_000 // len(unit)) + "</ul>"):
+        at = time.process_time()
+        H.main_text(page, chain)
+        assert time.process_time() - at < 6
+
+
+def test_layouts_the_training_does_not_know(chain):
+    """Other class names and nestings than those of the training pages."""
+    said = "A sentence of the story goes on for a good many words before it ends."
+    page = f"""<body><div class=wrap><div role=navigation><a href=/>Home</a> <a href=/x>World</a> <a href=/y>Sport</a></div>
+        <div class=c-8f1><article itemprop=articleBody><h1>A headline</h1><figure><img><figcaption>{said}</figcaption></figure><p>{said}<p>{said}
+        <noscript><p>{said}</p></noscript></article></div><footer><small>&copy; 2020 Somebody</small> <a href=/z>Terms</a></footer></div></body>"""
+    assert H.main_text(page, chain) == "\n\n".join(["A headline", said, said, said, said])
+
+
 def test_pages(spark, sf_dir, chain):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = {r["page_id"]: r for r in H.extracted(pages, chain).collect()}
