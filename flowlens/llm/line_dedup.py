@@ -1,99 +1,134 @@
 """Line deduplication by content-defined chunks.
 
-A text's lines are hashed, the lows of a rolling hash of the last lines are where chunks end, and so equal
-runs of lines are cut alike wherever they stand in a text. Chunks of several lines that occur at
-more than one place of the corpus are compared byte by byte; the first place keeps its copy and the
-others lose theirs. Only hashes are shuffled for all chunks; the texts of those whose hash repeats
-are compared by grouping, which combines copies before they are sent. Built-in functions only.
+A text's lines are cut into clauses, so that long lines have several units as well. The units are
+hashed, the lows of a rolling hash of the last units are where chunks end, and so equal runs of
+units are cut alike wherever they stand in a text. Chunks of several units that occur at more than
+one place of the corpus are compared byte by byte, and each is extended, unit by unit, into those
+before and after it that are equal at both places. The first place keeps its copy, and the others
+lose theirs where the run is long enough. Only hashes are shuffled for all chunks; the texts of those
+whose hash repeats are compared by grouping, which combines copies before they are sent. Built-in
+functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import once, small, staged, text_or_empty
 
-ROLL = 2  # lines in the rolling hash
-LEAST_LINES = 2
+ROLL = 2  # units in the rolling hash
+LEAST_UNITS = 2  # of a chunk
+LEAST_WORDS = 30  # of a run that goes, or
+LEAST_ENDS = 2  # so many line ends in it
 BROADCAST_ROWS = 1_000_000  # hashes of 8 bytes
+#: A unit ends behind a line end, a mark with a blank, or a mark of scripts without blanks.
+UNIT_END = r"(?<=\n)|(?<=[.!?,;:] )|(?<=[。！？，；：])"
+
+
+def units(text: Column) -> Column:
+    """The units of a text in order; put together they are the text."""
+    return F.split(text, UNIT_END)
 
 
 def rolling(hashes: Column, roll: int = ROLL) -> Column:
-    """The hash of each line's hash and those of the ``roll`` - 1 lines before it."""
+    """The hash of each unit's hash and those of the ``roll`` - 1 units before it."""
     return F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i - k) for k in range(1, roll)]))
 
 
 def chunk_ends(rolled: Column) -> Column:
-    """The places of the last lines of the chunks: where the rolling hash is lower than its neighbours, and the end.
+    """The places of the last units of the chunks: where the rolling hash is lower than its neighbours, and the end.
 
-    Two ends have a line between them, so only a text's last chunk can be a single line, and
-    where an end lies depends on the few lines around it alone.
+    Two ends have a unit between them, so only a text's last chunk can be a single unit, and
+    where an end lies depends on the few units around it alone.
     """
     last = F.size(rolled) - 1
     lowest = lambda i: (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) <= F.get(rolled, i + 1))
     return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.coalesce(lowest(i), F.lit(False)))
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """A row per chunk: doc_id, text_hash, chunk (from 0), first (line), lines, chunk_hash, chunk_text."""
+def chunked(docs: DataFrame, least_units: int = LEAST_UNITS) -> DataFrame:
+    """A row per chunk of so many units: doc_id, text_hash, chunk (from 0), first (unit), size, chunk_hash, units, before, after.
+
+    ``units`` are without white space at their ends; ``before`` (last first) and ``after`` are the
+    neighbouring chunks' units. Chunks without a visible character are left out.
+    """
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
-    rows = once(rows, text_hash=F.xxhash64("text"), split=F.split("text", "\n"))
-    rows = once(rows.drop("text"), hashes=F.transform("split", lambda x: F.xxhash64(x)))
+    rows = once(rows, text_hash=F.xxhash64("text"), split=F.transform(units(F.col("text")), lambda u: F.rtrim(u, F.lit(" \n"))))
+    rows = once(rows.drop("text"), hashes=F.transform("split", lambda u: F.xxhash64(u)))
     rows = once(rows, rolled=rolling(F.col("hashes")))
     rows = once(rows, ends=chunk_ends(F.col("rolled")))
     each = rows.select("doc_id", "text_hash", "split", "ends", F.posexplode("ends").alias("chunk", "end"))
-    first = F.when(F.col("chunk") == 0, 0).otherwise(F.get("ends", F.col("chunk") - 1) + 1)
-    each = each.select("doc_id", "text_hash", "chunk", first.alias("first"), (F.col("end") - first + 1).alias("lines"),
-                       F.array_join(F.slice("split", first + 1, F.col("end") - first + 1), "\n").alias("chunk_text"))
-    return each.withColumn("chunk_hash", F.xxhash64("chunk_text"))
+    start = lambda back: F.coalesce(F.get("ends", F.col("chunk") - back) + 1, F.lit(0))
+    first, earlier = start(1), start(2)
+    later = F.coalesce(F.get("ends", F.col("chunk") + 1), F.col("end"))
+    each = each.withColumn("first", first).withColumn("size", F.col("end") - F.col("first") + 1).where(F.col("size") >= least_units)
+    each = each.select("doc_id", "text_hash", "chunk", "first", "size", F.slice("split", F.col("first") + 1, F.col("size")).alias("units"),
+                       F.reverse(F.slice("split", earlier + 1, F.col("first") - earlier)).alias("before"),
+                       F.slice("split", F.col("end") + 2, later - F.col("end")).alias("after"))
+    return each.where(F.exists("units", lambda u: u.rlike(r"\S"))).withColumn("chunk_hash", F.xxhash64("units"))
 
 
-def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """The chunks that go: (doc_id, text_hash, chunk, first, lines).
+def alike(a: Column, b: Column) -> Column:
+    """How many first elements two lists share."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
-    Of equal chunks the one in the smallest doc_id (null first), and there the first, stays.
-    """
-    def many(df: DataFrame) -> DataFrame:
-        return df.where((F.col("lines") >= least_lines) & F.col("chunk_text").rlike(r"\S"))
-
-    place = F.struct("doc_id", "text_hash", "chunk")
-    slim = staged(many(chunked(docs)).select("doc_id", "text_hash", "chunk", "first", "lines", "chunk_hash", F.sha2("chunk_text", 256).alias("sha")), "chunks")
-    often = staged(slim.groupBy("chunk_hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("chunk_hash"), "often")
-    texts = many(chunked(docs)).join(small(often, BROADCAST_ROWS), "chunk_hash", "left_semi")
-    groups = texts.groupBy("chunk_hash", "chunk_text").agg(F.min(place).alias("keep"), F.max(place).alias("b")).where("keep <> b")
-    groups = staged(groups.select("chunk_hash", F.sha2("chunk_text", 256).alias("sha"), "keep"), "repeats")
-    return slim.join(groups, ["chunk_hash", "sha"]).where(F.struct("doc_id", "text_hash", "chunk") != F.col("keep")).select(
-        "doc_id", "text_hash", "chunk", "first", "lines")
 
+def repeated_spans(docs: DataFrame, least_units: int = LEAST_UNITS) -> DataFrame:
+    """The runs of units found at an earlier place: (doc_id, text_hash, start, stop), overlapping ones as one.
 
-def deduplicated(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
+    Of equal chunks the one in the smallest doc_id (null first), and there the first, is the
+    earlier place. So every unit of a run equals one of a smaller place, and the smallest stays.
+    """
+    place = F.struct("doc_id", "text_hash", "chunk")
+    chunks, at = chunked(docs, least_units), F.xxhash64("doc_id", "text_hash", "chunk")
+    often = chunks.groupBy("chunk_hash").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("chunk_hash")
+    found = staged(chunks.join(small(staged(often, "often"), BROADCAST_ROWS), "chunk_hash", "left_semi"), "chunks")
+    groups = found.groupBy("chunk_hash", "units").agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("keep"), F.max(place).alias("last"))
+    groups = staged(groups.where(F.col("keep.place") != F.col("last")).drop("last"), "repeats")
+    pairs = found.join(groups, ["chunk_hash", "units"]).where(place != F.col("keep.place"))
+    spans = pairs.select("doc_id", "text_hash", (F.col("first") - alike(F.col("before"), F.col("keep.before"))).alias("start"),
+                         (F.col("first") + F.col("size") + alike(F.col("after"), F.col("keep.after"))).alias("stop")).distinct()
+    # spans of a document that meet or overlap are one
+    own = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
+    reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    spans = spans.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return spans.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
+def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least_ends: int = LEAST_ENDS) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with the text that stays.
 
-    Returns doc_id, n_lines, removed_lines, removed_spans (first line, lines) and clean_text. A
-    null text is one empty line. Rows that repeat a doc_id and a text are one place: they lose the
-    same chunks. Chunks without a visible character stay. Other columns are not read.
+    Repeated runs of at least ``least_words`` words or ``least_ends`` line ends go. Returns doc_id,
+    n_units, removed_units, removed_spans (start and stop, in units) and clean_text. A null text is
+    one empty unit. Rows that repeat a doc_id and a text are one place: they lose the same runs.
+    Chunks without a visible character stay. Other columns are not read.
     """
-    gone = repeated_chunks(docs, least_lines).groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("first", "lines"))).alias("spans"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "spans")
-    gone = small(staged(gone, "gone"), BROADCAST_ROWS // 10)
+    gone = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    gone = staged(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "spans"), "gone")
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["text_hash"] == gone["gone_hash"]), "left")
-    none = F.array().cast("array<struct<first:int,lines:int>>")
-    rows = once(rows.select("doc_id", "text", F.coalesce("spans", none).alias("removed_spans")), lines=F.split("text", "\n"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    rows = once(rows.select("doc_id", "text", F.coalesce("spans", none).alias("spans")), split=units(F.col("text")))
+    piece = lambda start, stop: F.array_join(F.slice("split", start + 1, stop - start), "")
+    told = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), piece(s["start"], s["stop"]).alias("text")))
+    long = lambda s: (F.regexp_count(s["text"], F.lit(r"\S+")) >= least_words) | (F.regexp_count(s["text"], F.lit("\n")) >= least_ends)
+    rows = once(rows, told=told)
+    rows = once(rows.withColumn("told", F.filter("told", long)),
+                removed_spans=F.transform("told", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))).drop("told")
     # what stands between the removed spans
-    starts = F.concat(F.array(F.lit(0)), F.transform("removed_spans", lambda s: s["first"] + s["lines"]))
-    ends = F.concat(F.transform("removed_spans", lambda s: s["first"]), F.array(F.size("lines")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("removed_spans", lambda s: s["stop"]))
+    ends = F.concat(F.transform("removed_spans", lambda s: s["start"]), F.array(F.size("split")))
     rows = once(rows, between=F.arrays_zip(starts.alias("s"), ends.alias("e")))
-    stays = F.filter(F.transform("between", lambda b: F.when(b["e"] > b["s"], F.array_join(F.slice("lines", b["s"] + 1, b["e"] - b["s"]), "\n"))), lambda x: x.isNotNull())
-    removed = F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["lines"])
-    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("removed_lines"), "removed_spans",
-                       F.array_join(stays, "\n").alias("clean_text"))
+    removed = F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
+    return rows.select("doc_id", F.size("split").cast("long").alias("n_units"), removed.cast("long").alias("removed_units"), "removed_spans",
+                       F.array_join(F.transform("between", lambda b: piece(b["s"], b["e"])), "").alias("clean_text"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_lines, removed_lines, clean_chars and the digest of the text that stays."""
-    return deduplicated(docs).select("doc_id", "n_lines", "removed_lines", F.length("clean_text").cast("long").alias("clean_chars"),
+    """A row per document: doc_id, n_units, removed_units, clean_chars and the digest of the text that stays."""
+    return deduplicated(docs).select("doc_id", "n_units", "removed_units", F.length("clean_text").cast("long").alias("clean_chars"),
                                      F.sha2("clean_text", 256).alias("clean_sha256"))
