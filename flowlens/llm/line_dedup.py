@@ -4,7 +4,7 @@ A text's lines are cut into clauses, so that long lines have several units as we
 hashed, the lows of a rolling hash of the last units are where chunks end, and so equal runs of
 units are cut alike wherever they stand in a text. Chunks of several units that occur at more than
 one place of the corpus are compared byte by byte, and each is extended, unit by unit, into those
-before and after it that are equal at both places. The first place keeps its copy, and the others
+before and after it that are equal at both places (64-bit hashes of the units). The first place keeps its copy, and the others
 lose theirs where the run is long enough. Only hashes are shuffled for all chunks; the texts of those
 whose hash repeats are compared by grouping, which combines copies before they are sent. Built-in
 functions only.
@@ -24,6 +24,7 @@ LEAST_ENDS = 2  # so many line ends in it
 BROADCAST_ROWS = 1_000_000  # hashes of 8 bytes
 #: A unit ends behind a line end, a mark with a blank, or a mark of scripts without blanks.
 UNIT_END = r"(?<=\n)|(?<=[.!?,;:] )|(?<=[。！？，；：])"
+BETWEEN = r"\n|(?<=[.!?,;:]) |(?<=[。！？，；：])"  # cuts alike and leaves out the line end or blank
 
 
 def units(text: Column) -> Column:
@@ -47,26 +48,41 @@ def chunk_ends(rolled: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.coalesce(lowest(i), F.lit(False)))
 
 
-def chunked(docs: DataFrame, least_units: int = LEAST_UNITS) -> DataFrame:
-    """A row per chunk of so many units: doc_id, text_hash, chunk (from 0), first (unit), size, chunk_hash, units, before, after.
-
-    ``units`` are without white space at their ends; ``before`` (last first) and ``after`` are the
-    neighbouring chunks' units. Chunks without a visible character are left out.
-    """
+def cut(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` its doc_id, text_hash, units (without what separates them), their hashes, and the chunks' ends."""
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
-    rows = once(rows, text_hash=F.xxhash64("text"), split=F.transform(units(F.col("text")), lambda u: F.rtrim(u, F.lit(" \n"))))
+    rows = once(rows, text_hash=F.xxhash64("text"), split=F.split("text", BETWEEN))
     rows = once(rows.drop("text"), hashes=F.transform("split", lambda u: F.xxhash64(u)))
     rows = once(rows, rolled=rolling(F.col("hashes")))
-    rows = once(rows, ends=chunk_ends(F.col("rolled")))
-    each = rows.select("doc_id", "text_hash", "split", "ends", F.posexplode("ends").alias("chunk", "end"))
-    start = lambda back: F.coalesce(F.get("ends", F.col("chunk") - back) + 1, F.lit(0))
-    first, earlier = start(1), start(2)
-    later = F.coalesce(F.get("ends", F.col("chunk") + 1), F.col("end"))
-    each = each.withColumn("first", first).withColumn("size", F.col("end") - F.col("first") + 1).where(F.col("size") >= least_units)
-    each = each.select("doc_id", "text_hash", "chunk", "first", "size", F.slice("split", F.col("first") + 1, F.col("size")).alias("units"),
-                       F.reverse(F.slice("split", earlier + 1, F.col("first") - earlier)).alias("before"),
-                       F.slice("split", F.col("end") + 2, later - F.col("end")).alias("after"))
-    return each.where(F.exists("units", lambda u: u.rlike(r"\S"))).withColumn("chunk_hash", F.xxhash64("units"))
+    return once(rows, ends=chunk_ends(F.col("rolled"))).drop("rolled")
+
+
+def each_chunk(rows: DataFrame, least_units: int, **cols: Column) -> DataFrame:
+    """A row per chunk of so many units: doc_id, text_hash, chunk (from 0), first (unit), size, chunk_hash and ``cols``.
+
+    ``cols`` are expressions of ``rows``, the chunk's number, and the first units of the chunk before, itself and the next.
+    Only what is asked for is in the exploded rows, not the whole text.
+    """
+    end = lambda c: F.coalesce(F.get("ends", c) + 1, F.lit(0))
+    def made(e: Column, c: Column) -> Column:
+        first = end(c - 1)
+        size = e + 1 - first
+        after = F.coalesce(F.get("ends", c + 1) + 1, e + 1)
+        known = [f(end(c - 2), first, size, after).alias(n) for n, f in cols.items()]
+        hashed = F.xxhash64(F.slice("hashes", first + 1, size))
+        return F.when(size >= least_units, F.struct(c.alias("chunk"), first.alias("first"), size.alias("size"), hashed.alias("chunk_hash"), *known))
+
+    listed = F.filter(F.transform("ends", made), lambda x: x.isNotNull())
+    return rows.select("doc_id", "text_hash", F.inline(listed))
+
+
+def chunked(docs: DataFrame, least_units: int = LEAST_UNITS) -> DataFrame:
+    """The chunks with their ``units`` and the hashes of the units ``before`` (last first) and ``after`` in the neighbouring chunks."""
+    return each_chunk(
+        cut(docs), least_units,
+        units=lambda earlier, first, size, later: F.slice("split", first + 1, size),
+        before=lambda earlier, first, size, later: F.reverse(F.slice("hashes", earlier + 1, first - earlier)),
+        after=lambda earlier, first, size, later: F.slice("hashes", first + size + 1, later - first - size))
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -82,14 +98,16 @@ def repeated_spans(docs: DataFrame, least_units: int = LEAST_UNITS) -> DataFrame
     earlier place. So every unit of a run equals one of a smaller place, and the smallest stays.
     """
     place = F.struct("doc_id", "text_hash", "chunk")
-    chunks, at = chunked(docs, least_units), F.xxhash64("doc_id", "text_hash", "chunk")
-    often = chunks.groupBy("chunk_hash").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("chunk_hash")
-    found = staged(chunks.join(small(staged(often, "often"), BROADCAST_ROWS), "chunk_hash", "left_semi"), "chunks")
-    groups = found.groupBy("chunk_hash", "units").agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("keep"), F.max(place).alias("last"))
-    groups = staged(groups.where(F.col("keep.place") != F.col("last")).drop("last"), "repeats")
-    pairs = found.join(groups, ["chunk_hash", "units"]).where(place != F.col("keep.place"))
+    slim, at = each_chunk(cut(docs), least_units), F.xxhash64("doc_id", "text_hash", "chunk")
+    often = slim.groupBy("chunk_hash").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("chunk_hash")
+    found = chunked(docs, least_units).join(small(staged(often, "often"), BROADCAST_ROWS), "chunk_hash", "left_semi")
+    found = found.where(F.exists("units", lambda u: u.rlike(r"\S"))).withColumn("sha", F.unhex(F.sha2(F.array_join("units", "\n"), 256)))
+    found = staged(found, "chunks")
+    groups = found.groupBy("chunk_hash", "sha", "units").agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("keep"), F.max(place).alias("last"))
+    groups = staged(groups.where(F.col("keep.place") != F.col("last")).drop("last", "units"), "repeats")
+    pairs = found.drop("units").join(groups, ["chunk_hash", "sha"]).where(place != F.col("keep.place"))
     spans = pairs.select("doc_id", "text_hash", (F.col("first") - alike(F.col("before"), F.col("keep.before"))).alias("start"),
-                         (F.col("first") + F.col("size") + alike(F.col("after"), F.col("keep.after"))).alias("stop")).distinct()
+                         (F.col("first") + F.col("size") + alike(F.col("after"), F.col("keep.after"))).alias("stop"))
     # spans of a document that meet or overlap are one
     own = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
     reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))

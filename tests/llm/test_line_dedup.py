@@ -5,6 +5,7 @@ import xxhash
 from flowlens.llm import line_dedup as L
 from pyspark.sql import functions as F
 
+BETWEEN = re.compile(r"\n|(?<=[.!?,;:]) |(?<=[。！？，；：])")
 CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:] )|(?<=[。！？，；：])")
 
 
@@ -31,7 +32,8 @@ def chunks(own):
 def brute(rows):
     order = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda x: x[:2])
     raw = {k: CUT.split(k[2]) for k in order}
-    own = {k: [u.rstrip(" \n") for u in raw[k]] for k in order}
+    own = {k: BETWEEN.split(k[2]) for k in order}
+    assert all(len(own[k]) == len(raw[k]) for k in order)
     cut = {k: chunks(own[k]) for k in order}
     first, gone = {}, {k: set() for k in order}
     for k in order:
