@@ -12,6 +12,8 @@ functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +24,21 @@ LEAST_UNITS = 2  # of a chunk
 LEAST_WORDS = 30  # of a run that goes, or
 LEAST_ENDS = 2  # so many line ends in it
 BROADCAST_ROWS = 1_000_000  # hashes of 8 bytes
-#: A unit ends behind a line end, a mark with a blank, or a mark of scripts without blanks.
-UNIT_END = r"(?<=\n)|(?<=[.!?,;:] )|(?<=[。！？，；：])"
-BETWEEN = r"\n|(?<=[.!?,;:]) |(?<=[。！？，；：])"  # cuts alike and leaves out the line end or blank
+MARKS = "。！？，；："  # of scripts without blanks
+#: A unit ends behind a line end, a mark with a blank, or one of ``MARKS``; the second form leaves out the line end or blank.
+UNIT_END = r"(?<=\n)|(?<=[.!?,;:] )"
+BETWEEN = r"\n| (?<=[.!?,;:] )"
+
+
+def split_at(text: Column, pattern: str) -> Column:
+    """The text cut at ``pattern`` and behind ``MARKS``, for which only texts that have some are searched."""
+    has_marks = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in MARKS])
+    return F.when(has_marks, F.split(text, rf"{pattern}|(?<=[{MARKS}])(?!\n)")).otherwise(F.split(text, pattern))
 
 
 def units(text: Column) -> Column:
     """The units of a text in order; put together they are the text."""
-    return F.split(text, UNIT_END)
+    return split_at(text, UNIT_END)
 
 
 def rolling(hashes: Column, roll: int = ROLL) -> Column:
@@ -51,7 +60,7 @@ def chunk_ends(rolled: Column) -> Column:
 def cut(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` its doc_id, text_hash, units (without what separates them), their hashes, and the chunks' ends."""
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
-    rows = once(rows, text_hash=F.xxhash64("text"), split=F.split("text", BETWEEN))
+    rows = once(rows, text_hash=F.xxhash64("text"), split=split_at(F.col("text"), BETWEEN))
     rows = once(rows.drop("text"), hashes=F.transform("split", lambda u: F.xxhash64(u)))
     rows = once(rows, rolled=rolling(F.col("hashes")))
     return once(rows, ends=chunk_ends(F.col("rolled"))).drop("rolled")
@@ -120,7 +129,7 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least_ends: in
     """Every row of ``docs`` (doc_id, text) with the text that stays.
 
     Repeated runs of at least ``least_words`` words or ``least_ends`` line ends go. Returns doc_id,
-    n_units, removed_units, removed_spans (start and stop, in units) and clean_text. A null text is
+    n_lines, removed_units, removed_spans (start and stop, in units) and clean_text. A null text is
     one empty unit. Rows that repeat a doc_id and a text are one place: they lose the same runs.
     Chunks without a visible character stay. Other columns are not read.
     """
@@ -130,7 +139,8 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least_ends: in
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["text_hash"] == gone["gone_hash"]), "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    rows = once(rows.select("doc_id", "text", F.coalesce("spans", none).alias("spans")), split=units(F.col("text")))
+    rows = once(rows.select("doc_id", "text", F.coalesce("spans", none).alias("spans")), split=F.when(F.size("spans") > 0, units(F.col("text"))).otherwise(F.array("text")),
+                n_lines=F.size(F.split("text", "\n")).cast("long"))
     piece = lambda start, stop: F.array_join(F.slice("split", start + 1, stop - start), "")
     told = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), piece(s["start"], s["stop"]).alias("text")))
     long = lambda s: (F.regexp_count(s["text"], F.lit(r"\S+")) >= least_words) | (F.regexp_count(s["text"], F.lit("\n")) >= least_ends)
@@ -142,11 +152,11 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least_ends: in
     ends = F.concat(F.transform("removed_spans", lambda s: s["start"]), F.array(F.size("split")))
     rows = once(rows, between=F.arrays_zip(starts.alias("s"), ends.alias("e")))
     removed = F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
-    return rows.select("doc_id", F.size("split").cast("long").alias("n_units"), removed.cast("long").alias("removed_units"), "removed_spans",
+    return rows.select("doc_id", "n_lines", removed.cast("long").alias("removed_units"), "removed_spans",
                        F.array_join(F.transform("between", lambda b: piece(b["s"], b["e"])), "").alias("clean_text"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_units, removed_units, clean_chars and the digest of the text that stays."""
-    return deduplicated(docs).select("doc_id", "n_units", "removed_units", F.length("clean_text").cast("long").alias("clean_chars"),
+    """A row per document: doc_id, n_lines, removed_units, clean_chars and the digest of the text that stays."""
+    return deduplicated(docs).select("doc_id", "n_lines", "removed_units", F.length("clean_text").cast("long").alias("clean_chars"),
                                      F.sha2("clean_text", 256).alias("clean_sha256"))

@@ -5,8 +5,8 @@ import xxhash
 from flowlens.llm import line_dedup as L
 from pyspark.sql import functions as F
 
-BETWEEN = re.compile(r"\n|(?<=[.!?,;:]) |(?<=[。！？，；：])")
-CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:] )|(?<=[。！？，；：])")
+BETWEEN = re.compile(r"\n|(?<=[.!?,;:]) |(?<=[。！？，；：])(?!\n)")
+CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:] )|(?<=[。！？，；：])(?!\n)")
 
 
 def spark_hash(values):
@@ -68,12 +68,12 @@ def brute(rows):
             else:
                 text += said
             text, run = text + u, []
-        out.append((i, len(raw[k]), lost, text))
+        out.append((i, k[2].count("\n") + 1, lost, text))
     return sorted(out, key=str)
 
 
 def got(df):
-    return sorted(((r["doc_id"], r["n_units"], r["removed_units"], r["clean_text"]) for r in L.deduplicated(df).collect()), key=str)
+    return sorted(((r["doc_id"], r["n_lines"], r["removed_units"], r["clean_text"]) for r in L.deduplicated(df).collect()), key=str)
 
 
 def test_documents(docs, texts):
@@ -135,6 +135,15 @@ def test_every_unit_stays_somewhere(spark):
     assert sum(n for _, _, n, _ in out) > 100
 
 
+def test_scripts_without_blanks(spark):
+    rng = random.Random(8)
+    said = lambda: "".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(8)) + rng.choice("。，！") for _ in range(9))
+    shared = said() + "\n" + said() + "\n"
+    rows = [(d, said() + shared + said()) for d in range(20)]
+    out = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out == brute(rows) and sum(n for _, _, n, _ in out) >= 19 * 16
+
+
 def test_few_words_stay(spark):
     df = spark.createDataFrame([(1, "one, two, three, four, and own"), (2, "one, two, three, four, or other"), (3, "x\ny")], "doc_id long, text string").withColumn("spans", F.lit(1))
     assert {r["clean_text"] for r in L.deduplicated(df).collect()} == {r["text"] for r in df.collect()}
