@@ -19,7 +19,12 @@ from ..workspace import staged
 
 def literal_path(path: str) -> str:
     """A file's URI as a reader's path that names this file alone."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+    return literal_name(unquote(path))
+
+
+def literal_name(path: str) -> str:
+    """The same for a path that is not percent-encoded, as a file listing has it."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def file_offsets(spark: SparkSession, path: str | list[str]) -> DataFrame:

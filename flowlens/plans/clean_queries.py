@@ -17,6 +17,7 @@ from ..workspace import run_folder
 from .views import DIRTY_FEATURES, FEATURES, dirty_lines, labelled_flows, table, with_views
 
 _COLS = ", ".join(f'"{c}"' for c in DIRTY_FEATURES)
+BLOCK_BYTES = 4096  # of the fingerprints over blocks
 
 
 def _num(col: str, to: str = "FLOAT") -> str:
@@ -112,13 +113,25 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of text files written from a table, one file per market segment."""
+def _segment_files(spark: SparkSession, sf_dir: str) -> str:
+    """Text files written from a table, one per market segment."""
     path = run_folder(spark, "segments")
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.concat_ws(" ", "c_name", F.col("c_custkey").cast("string")).alias("line"))
     rows.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("c_mktsegment", "line").write.partitionBy(
         "c_mktsegment").text(path)
-    return FF.fingerprint(spark, path, "*.txt").select("length", "sha256")
+    return path
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the segments' files."""
+    return FF.fingerprint(spark, _segment_files(spark, sf_dir), "*.txt").select("length", "sha256")
+
+
+def large_file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as if they were above the limit of Spark's reader of whole files, and their roots over blocks."""
+    path = _segment_files(spark, sf_dir)
+    pieces = FF.fingerprint(spark, path, "*.txt", whole_limit=0).select("length", F.lit(None).cast("bigint").alias("blocks"), "sha256")
+    return pieces.union(FF.block_fingerprint(spark, path, "*.txt", BLOCK_BYTES).select("length", "blocks", "root"))
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +248,14 @@ Q: dict[str, tuple] = {
     "s9_fingerprint": (fingerprints, """
         SELECT CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM (
           SELECT string_agg(c_name || ' ' || c_custkey, chr(10) ORDER BY c_custkey) || chr(10) AS body FROM customer GROUP BY c_mktsegment)"""),
+    "s9_large_files": (large_file_fingerprints, f"""
+        WITH files AS (
+          SELECT string_agg(c_name || ' ' || c_custkey, chr(10) ORDER BY c_custkey) || chr(10) AS body FROM customer GROUP BY c_mktsegment),
+        digests AS (
+          SELECT body, [sha256(substr(body, i * {BLOCK_BYTES} + 1, {BLOCK_BYTES}))
+            FOR i IN range(0, (strlen(body) + {BLOCK_BYTES - 1}) // {BLOCK_BYTES})] AS list FROM files)
+        SELECT CAST(strlen(body) AS BIGINT) AS length, CAST(NULL AS BIGINT) AS blocks, sha256(body) AS sha256 FROM files
+        UNION ALL SELECT CAST(strlen(body) AS BIGINT), CAST(len(list) AS BIGINT), sha256(unhex(array_to_string(list, ''))) FROM digests"""),
     "s10_p11_records": (records, _sql("""
         SELECT sample_id, qty_max::DOUBLE AS qty_max, line_count::DOUBLE AS line_count, NULL::DOUBLE AS "Flow Duration",
           NULL::DOUBLE AS extra, qty_sum::DOUBLE AS qty_sum FROM labelled_flows""", "labelled_flows")),

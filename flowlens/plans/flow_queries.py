@@ -298,13 +298,16 @@ def _window_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _window_sql() -> str:
-    ctes = dict(STRICT)
+def since_start() -> dict:
+    """The views of strict flows over the packets since ``EARLY_US``."""
     from .views import CTES
 
-    ctes["packets"] = (("raw_packets",), CTES["packets"][1] + f" AND ts_us >= {EARLY_US}")
+    return STRICT | {"packets": (("raw_packets",), CTES["packets"][1] + f" AND ts_us >= {EARLY_US}")}
+
+
+def _window_sql() -> str:
     return with_views("SELECT CAST(sum(packet_count) AS BIGINT) AS packets, count(*) AS flows, "
-                      "count(*) FILTER (active) AS active_flows FROM flow_rows", ["flow_rows"], ctes)
+                      "count(*) FILTER (active) AS active_flows FROM flow_rows", ["flow_rows"], since_start())
 
 
 def _record(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from .views import CAP, FEATURES, IDLE_US, labelled_flows, raw_packets_from, tab
 _HOLES = ["line_count", "qty_sum", "qty_min", "qty_max", "price_cents", "half"]
 STREAM_FILES = 5
 DELAY_US = 0
+RESET_DELAY_US = 60_000_000  # packets wait at the reset
 LARGE = 120  # a summed quantity above this is an attack
 GAP = 10_000  # what the feature of attacks is raised by, so that the label is separable
 
@@ -132,23 +133,41 @@ def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flow_id", "source", "destination", "packet_count", "prediction.prediction", "error")
 
 
-def _stored_events(spark: SparkSession, sf_dir: str) -> str:
+def _stored_events(events: DataFrame, path: str, parts: int) -> str:
     """The events by time in several folders of files written one after the other: a stream takes a batch of each."""
-    path = run_folder(spark, "events")
-    events = table(spark, sf_dir, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    events = events.withColumn("_at", _at())
     first, last = events.agg(F.min("_at"), F.max("_at")).first()
-    part = F.least(F.floor((F.col("_at") - first) * STREAM_FILES / (last - first + 1)), F.lit(STREAM_FILES - 1))
-    for i in range(STREAM_FILES):
+    part = F.least(F.floor((F.col("_at") - first) * parts / (last - first + 1)), F.lit(parts - 1))
+    for i in range(parts):
         events.filter(part == i).drop("_at").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    layout = table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(layout)
+def _at() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def _packet_stream(spark: SparkSession, sf_dir: str, path: str, files_per_batch: int | None) -> DataFrame:
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return FL.normalise_packets(raw_packets_from(reader.parquet(_stored_events(spark, sf_dir))))
+    return FL.normalise_packets(raw_packets_from(reader.parquet(path)))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    path = _stored_events(table(spark, sf_dir, "events"), run_folder(spark, "events"), STREAM_FILES)
+    return _packet_stream(spark, sf_dir, path, files_per_batch)
+
+
+def stream_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of a stream whose window is reset between two batches, with flows open and packets waiting at the reset."""
+    events, folder, path = table(configure(spark), sf_dir, "events"), run_folder(spark, "stream"), run_folder(spark, "events")
+    for part, parts in ((_at() < FQ.EARLY_US, 1), (_at() >= FQ.EARLY_US, 2)):
+        _stored_events(events.filter(part), path, parts)
+        FS.stream_flows(_packet_stream(spark, sf_dir, path, 1), folder, RESET_DELAY_US, IDLE_US, CAP).awaitTermination()
+        if parts == 1:
+            FS.reset_window(spark, folder, FQ.EARLY_US)
+    return FS.live_state(spark, folder, IDLE_US, CAP).select(F.col("flow_id").alias("first_seq"), "protocol", "packet_count", "bytes")
 
 
 def streamed(spark: SparkSession, sf_dir: str, scorer=None) -> str:
@@ -306,6 +325,8 @@ Q: dict[str, tuple] = {
         f"SELECT first_seq, protocol, packet_count, bytes, true AS active FROM flow_rows WHERE NOT {_KEYED_CLOSED}", ["flow_rows", "packets"], FQ.STRICT)),
     "f17_stream_open_flows": (streamed_open, with_views(
         "SELECT first_seq, protocol, packet_count, bytes, active FROM flow_rows WHERE active", ["flow_rows"], FQ.STRICT)),
+    "f32_stream_reset": (stream_after_reset, with_views(
+        "SELECT first_seq, protocol, packet_count, bytes FROM flow_rows", ["flow_rows"], FQ.since_start())),
     "f18_f19_stream_scored": (streamed_scored, with_views("""
         SELECT CAST(sum(packet_count) AS BIGINT) AS packets_captured, count(*) AS flows_detected, count(*) FILTER (NOT active) AS flows_analyzed,
           count(*) FILTER (NOT active AND rst > 0) AS suspicious_flows, count(*) FILTER (NOT active) AS predictions_used

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +14,12 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..errors import FlowLensError
-from ..operators.sample import block_sample, literal_path, row_positions
+from ..operators.sample import block_sample, literal_name, row_positions
+from .byte_ranges import BLOCK, block_digests, first_lines, whole_digests
 
 LATIN1 = "ISO-8859-1"
+FILES_A_TASK = 1_000  # whose header lines a task reads
+READER_LIMIT = (1 << 31) - 1 - (1 << 20)  # bytes that the reader of whole files takes as one value
 
 
 def normalised_names(header: Sequence[str | None]) -> list[str]:
@@ -35,7 +40,7 @@ def normalised_names(header: Sequence[str | None]) -> list[str]:
     return numbered([n.strip() for n in numbered(cells)])
 
 
-def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     """``path`` and ``length`` of every matching file below ``path``; contents are not read."""
     return (
         spark.read.format("binaryFile")
@@ -46,6 +51,18 @@ def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     )
 
 
+def empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """``path`` and ``length`` of the files without a byte: Spark's file sources give no row for them.
+
+    Their names come from the source's file index, which the driver holds anyway.
+    """
+    listed = list_files(spark, path, glob)
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    names = source.inputFiles()
+    rows = [(re.sub("^file:///", "file:/", unquote(n)), 0) for n in names] if len(names) > listed.count() else []
+    return spark.createDataFrame(rows, "path string, length bigint").join(listed, "path", "left_anti")
+
+
 def _csv(spark: SparkSession):
     return spark.read.option("encoding", LATIN1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
 
@@ -53,22 +70,30 @@ def _csv(spark: SparkSession):
 def csv_layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
     """The files of each layout: column names from the header line to paths in order.
 
-    The first line of a file stands where its first block starts; files reach the driver as
-    names only.
+    Of a file only its first line is read; files reach the driver as names only.
     """
-    lines = _csv(spark).option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
-    first = lines.filter("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), "line")
-    headers = first.groupBy("path").agg(F.min_by("line", "place").alias("line")).orderBy("path").collect()
-    if not headers:
+    files = list_files(spark, path, "*.csv")
+    count = files.count()
+    if not count:
         raise FlowLensError(f"No CSV files found below {path}.")
+    lines = first_lines(files, -(-count // FILES_A_TASK)).collect()
+    headers = {r["path"]: bytes(r["line"]).decode("latin-1") for r in lines if r["line"] is not None}
+    closed = [literal_name(r["path"]) for r in lines if r["line"] is None]
     out: dict[tuple[str, ...], list[str]] = {}
-    for row in headers:
-        cells = next(csv.reader([row["line"] or ""]), [])
-        out.setdefault(tuple(normalised_names(cells)), []).append(row["path"])
+    for name, line in sorted((headers | (_scanned_headers(spark, closed) if closed else {})).items()):
+        cells = next(csv.reader([line]), [])
+        out.setdefault(tuple(normalised_names(cells)), []).append(name)
     return out
 
 
+def _scanned_headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The header lines of files that only the JVM can open, by a scan: the first line of a file stands where its first block starts."""
+    lines = _csv(spark).option("sep", "\u0001").option("quote", "").schema("line string").csv(paths)
+    first = lines.filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), "line")
+    return {unquote(r["path"]): r["line"] or "" for r in first.groupBy("path").agg(F.min_by("line", "place").alias("line")).collect()}
+
+
 def _rows_of_layout(spark: SparkSession, names: tuple[str, ...], paths: str | list[str]) -> DataFrame:
     layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return _csv(spark).option("header", "true").schema(layout).csv(paths).select(
@@ -85,7 +110,7 @@ def _capture_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     layouts = csv_layouts(spark, path)
     if len(layouts) == 1:
         return _rows_of_layout(spark, next(iter(layouts)), path)
-    frames = [_rows_of_layout(spark, names, [literal_path(p) for p in paths]) for names, paths in layouts.items()]
+    frames = [_rows_of_layout(spark, names, [literal_name(p) for p in paths]) for names, paths in layouts.items()]
     rows = concat_by_name(frames)
     own = ["file", "file_path", "file_columns", "_block", "_place"]
     return rows.select(*[f"`{c}`" for c in rows.columns if c not in own], *own)
@@ -123,7 +148,7 @@ def _first_files(spark: SparkSession, path: str, glob: str, rows: int, count: Ca
     """The first files below ``path``, in path order, that hold ``rows`` rows together (or all)."""
     files, wanted = list_files(spark, path, glob), 1
     while True:
-        paths = [literal_path(r["path"]) for r in files.orderBy("path").limit(wanted).collect()]
+        paths = [literal_name(r["path"]) for r in files.orderBy("path").limit(wanted).collect()]
         if not paths:
             raise FlowLensError(f"No files found below {path}.")
         if len(paths) < wanted or count(paths) >= rows:
@@ -221,10 +246,25 @@ def _parquet_head(spark: SparkSession, path: str, max_rows: int) -> DataFrame:
     return rows.filter(F.col("_position") < max_rows).drop("_position")
 
 
-def fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file below ``path``, read through Spark, one row per file.
+def fingerprint(spark: SparkSession, path: str, glob: str = "*", whole_limit: int = READER_LIMIT) -> DataFrame:
+    """SHA-256 of every file below ``path``, of any size, one row per file.
 
-    A file above the reader's limit for one value (2 GB) fails the job.
+    Files of up to ``whole_limit`` bytes are read by Spark's reader of whole files, larger ones piece by piece.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    hashed = files.filter(F.col("length") <= whole_limit).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = list_files(spark, path, glob).filter(F.col("length") > whole_limit)
+    if not large.isEmpty():
+        hashed = hashed.unionByName(whole_digests(large).select("path", "length", F.lower(F.hex("digest")).alias("sha256")))
+    hashed = hashed.unionByName(empty_files(spark, path, glob).withColumn("sha256", F.sha2(F.lit(b""), 256)))
+    return hashed.select(_file_name(), "length", "sha256")
+
+
+def block_fingerprint(spark: SparkSession, path: str, glob: str = "*", block_bytes: int = BLOCK) -> DataFrame:
+    """``root`` over the SHA-256 of every file's blocks, which are hashed in parallel: (file, length, blocks, root)."""
+    files = list_files(spark, path, glob).unionByName(empty_files(spark, path, glob))
+    return block_digests(files, block_bytes).select(_file_name(), "length", "blocks", "root")
+
+
+def _file_name() -> Column:
+    return F.element_at(F.split("path", "/"), -1).alias("file")

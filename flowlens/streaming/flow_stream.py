@@ -95,14 +95,46 @@ def read_packets(spark: SparkSession, path: str, glob: str = "*", files_per_batc
     return reader.parquet(path)
 
 
-def _clock(spark: SparkSession, folder: str, batch_id: int) -> int | None:
-    """Watermark after the previous batch."""
+CLOCK = "batch_id bigint, watermark_us bigint, late_packets bigint, generation bigint"
+WINDOW = "generation bigint, window_start_us bigint"
+
+
+def _clock(spark: SparkSession, folder: str, batch_id: int) -> tuple[int | None, int]:
+    """Watermark and window generation after the previous batch."""
     if batch_id == 0:
-        return None
-    row = spark.read.parquet(f"{folder}/clock/slot={(batch_id - 1) % 2}").first()
+        return None, 0
+    row = spark.read.schema(CLOCK).parquet(f"{folder}/clock/slot={(batch_id - 1) % 2}").first()
     if row is None or row["batch_id"] != batch_id - 1:
         raise FlowLensError(f"The carried state in {folder} does not belong to batch {batch_id - 1}.")
-    return row["watermark_us"]
+    return row["watermark_us"], row["generation"] or 0
+
+
+def current_window(spark: SparkSession, folder: str) -> tuple[int, int | None]:
+    """Generation and start of a stream's window; generation 0 has no start."""
+    from ..sources.sinks import read_or_empty
+
+    row = read_or_empty(spark, f"{folder}/windows", WINDOW).orderBy(F.desc("generation"), F.desc("window_start_us")).first()
+    return (row["generation"], row["window_start_us"]) if row else (0, None)
+
+
+def reset_window(spark: SparkSession, folder: str, window_start_us: int) -> int:
+    """Begin a new window of a stream, running or not, and return its generation.
+
+    From now on the register and its counters are empty, and the next batch discards what older generations left:
+    open flows whole, and waiting and new packets from before ``window_start_us``. A start must not lie before the
+    last one. A batch that is run again discards the same state again, as it starts from the same tables, and its
+    flows go to the folder of its generation, so no flow of an older one comes back. Resets are one caller's at a time.
+    """
+    generation, start = current_window(spark, folder)
+    if start is not None and window_start_us < start:
+        raise FlowLensError(f"The window starts at {start} already.")
+    spark.range(1).select(F.lit(generation + 1).cast("bigint").alias("generation"), F.lit(window_start_us).cast("bigint").alias(
+        "window_start_us")).coalesce(1).write.mode("append").parquet(f"{folder}/windows")
+    return generation + 1
+
+
+def _of_window(folder: str, name: str, generation: int) -> str:
+    return f"{folder}/{name}" if generation == 0 else f"{folder}/{name}-{generation}"
 
 
 def state_columns(idle_us: int, cap: int) -> list[Column]:
@@ -124,6 +156,11 @@ def _carried(spark: SparkSession, folder: str, batch_id: int, idle_us: int, cap:
     return spark.read.schema(schema).parquet(f"{folder}/state/{slot}"), spark.read.schema(PACKET_SCHEMA).parquet(f"{folder}/ahead/{slot}")
 
 
+def _in_window(state: DataFrame, ahead: DataFrame, generation: int, window: tuple[int, int | None]) -> tuple[DataFrame, DataFrame]:
+    """What a batch of ``generation`` carried, as far as it belongs to ``window`` (generation, start)."""
+    return (state, ahead) if generation == window[0] else (state.limit(0), FL.since(ahead, window[1]))
+
+
 def _folded(state: DataFrame, packets: DataFrame, idle_us: int, cap: int, slot_us: int | None) -> DataFrame:
     """Sums per flow of open flows and packets that come after them."""
     members = FL.segment(packets, idle_us, cap, "strict", slot_us, state.select(*FL.KEY, "packet_count", "last_seen_us"))
@@ -146,16 +183,18 @@ def stream_flows(
     go to ``<folder>/late/batch=N`` unchanged, and the clock row has their count. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
     replaced as a whole when a batch is run again, so each flow is written once. The two
     ``slot`` folders of the carried tables alternate: a batch that is run again still finds
-    the state it started from. Without ``interval`` the stream takes what is there and ends.
+    the state it started from. Without ``interval`` the stream takes what is there and ends. A batch belongs to the
+    window that is current when it begins (``reset_window``); later windows' folders carry their generation's number.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _clock(spark, folder, batch_id)
-        fresh = batch.select(*PACKET)
+        before, old = _clock(spark, folder, batch_id)
+        generation, start = current_window(spark, folder)
+        fresh = FL.since(batch.select(*PACKET), start)
         late_rows = 0
         if before is not None:
-            late = f"{folder}/late/batch={batch_id}"
+            late = f"{_of_window(folder, 'late', generation)}/batch={batch_id}"
             fresh.filter(F.col("ts_us") < before).write.mode("overwrite").parquet(late)
             late_rows = spark.read.schema(fresh.schema).parquet(late).count()
             fresh = fresh.filter(F.col("ts_us") >= before)
@@ -163,7 +202,7 @@ def stream_flows(
         marks = [m for m in (before, None if newest is None else newest - delay_us) if m is not None]
         watermark = max(marks) if marks else None
         here = f"slot={batch_id % 2}"
-        state, ahead = _carried(spark, folder, batch_id - 1, idle_us, cap)
+        state, ahead = _in_window(*_carried(spark, folder, batch_id - 1, idle_us, cap), old, (generation, start))
         waiting = fresh.unionByName(ahead)
         if watermark is not None:
             due = waiting.filter(F.col("ts_us") <= watermark).persist()
@@ -171,7 +210,8 @@ def stream_flows(
             closed = (F.col("packet_count") >= cap) | (F.lit(watermark) - F.col("last_seen_us") >= idle_us)
             done = FL.oriented(sums.filter(closed)).withColumn("flow_id", F.col("first_seq")).withColumn(
                 "active", F.lit(False))
-            live_records(done, scorer).write.mode("overwrite").parquet(f"{folder}/flows/batch={batch_id}")
+            live_records(done, scorer).write.mode("overwrite").parquet(
+                f"{_of_window(folder, 'flows', generation)}/batch={batch_id}")
             state = sums.filter(~closed).withColumns({
                 "flow_start": F.lit(1).cast("bigint"), "first_position": F.lit(1).cast("bigint"), "last_position": F.col("packet_count")})
             state.select(*state_columns(idle_us, cap)).write.mode("overwrite").parquet(f"{folder}/state/{here}")
@@ -183,7 +223,7 @@ def stream_flows(
             waiting.write.mode("overwrite").parquet(f"{folder}/ahead/{here}")
         spark.range(1).select(
             F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(watermark).cast("bigint").alias("watermark_us"),
-            F.lit(late_rows).cast("bigint").alias("late_packets"),
+            F.lit(late_rows).cast("bigint").alias("late_packets"), F.lit(generation).cast("bigint").alias("generation"),
         ).write.mode("overwrite").parquet(f"{folder}/clock/{here}")
 
     writer = packets.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
@@ -192,10 +232,10 @@ def stream_flows(
 
 
 def closed_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """The register written so far; empty before the first batch."""
+    """The register written so far in the current window; empty before its first batch."""
     from ..sources.sinks import read_live_state
 
-    return read_live_state(spark, f"{folder}/flows").select(*S.LIVE_FLOW_SCHEMA.names)
+    return read_live_state(spark, _of_window(folder, "flows", current_window(spark, folder)[0])).select(*S.LIVE_FLOW_SCHEMA.names)
 
 
 def open_flows(
@@ -205,8 +245,9 @@ def open_flows(
 
     Packets newer than the watermark are folded in, so a flow that they close shows as not active.
     """
-    clock = spark.read.parquet(f"{folder}/clock").orderBy(F.desc("batch_id")).first()
-    state, ahead = _carried(spark, folder, clock["batch_id"], idle_us, cap)
+    clock = spark.read.schema(CLOCK).parquet(f"{folder}/clock").orderBy(F.desc("batch_id")).first()
+    carried = _carried(spark, folder, clock["batch_id"], idle_us, cap)
+    state, ahead = _in_window(*carried, clock["generation"] or 0, current_window(spark, folder))
     sums = _folded(state, ahead, idle_us, cap, None)
     newest = ahead.agg(F.max("ts_us")).first()[0]
     horizon = max(x for x in (clock["watermark_us"], newest, 0) if x is not None)
@@ -215,10 +256,10 @@ def open_flows(
 
 
 def late_packets(spark: SparkSession, folder: str) -> DataFrame:
-    """The packets that came after the watermark had passed them; empty before the second batch."""
+    """The current window's packets that came after the watermark had passed them; empty before the second batch."""
     from ..sources.sinks import read_or_empty
 
-    return read_or_empty(spark, f"{folder}/late", PACKET_SCHEMA).select(*PACKET)
+    return read_or_empty(spark, _of_window(folder, "late", current_window(spark, folder)[0]), PACKET_SCHEMA).select(*PACKET)
 
 
 def live_state(

@@ -72,6 +72,32 @@ def test_restart_continues(spark, tmp_path):
         FL.flow_records(batch(spark, rows)).filter("NOT active"))
 
 
+def test_window_reset(spark, tmp_path):
+    """A reset between batches discards open flows, waiting packets and the register; a batch run again does it again."""
+    rows, folder = raw_rows(), str(tmp_path / "out")
+    start = rows[200][1]
+    write_files(spark, rows[:200], tmp_path / "in", 2)
+    run(spark, tmp_path / "in", folder, delay=20 * SECOND)
+    assert FS.live_state(spark, folder, IDLE, CAP).count() and FS.current_window(spark, folder) == (0, None)
+    assert FS.reset_window(spark, folder, start) == 1
+    assert FS.live_state(spark, folder, IDLE, CAP).count() == 0
+    late = [(1000 + i, rows[100 + i][1], *rows[i][2:]) for i in range(5)]  # of the old window: gone, not late
+    write_files(spark, late + rows[200:], tmp_path / "in", 2)
+    run(spark, tmp_path / "in", folder, delay=20 * SECOND)
+    want = as_set(FL.flow_records(batch(spark, rows[200:])))
+    assert as_set(FS.live_state(spark, folder, IDLE, CAP)) == want
+    assert as_set(FL.flow_records(FL.flow_table(FL.since(FL.normalise_packets(
+        spark.createDataFrame(rows + late, S.RAW_PACKET_SCHEMA)), start), IDLE, CAP).withColumn("flow_id", F.col("first_seq")))) == want
+    assert FS.late_packets(spark, folder).count() == 0
+    last = max((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.rename(tmp_path / "commit")  # the batch runs again
+    last.with_name(f".{last.name}.crc").rename(tmp_path / "crc")
+    run(spark, tmp_path / "in", folder, delay=20 * SECOND)
+    assert as_set(FS.live_state(spark, folder, IDLE, CAP)) == want
+    with pytest.raises(FlowLensError):
+        FS.reset_window(spark, folder, start - 1)
+
+
 def test_late_packets(spark, tmp_path):
     rows = raw_rows(300)
     # neighbours swapped across file borders, all within the delay
