@@ -58,3 +58,49 @@ def test_documents(spark, sf_dir, docs, empty, edge, clash):
     assert not T.fitted(empty, labels).weights and not T.fitted(docs, labels.limit(0)).weights
     doubled = labels.unionByName(labels)
     assert T.fitted(docs, doubled).weights == model.weights
+
+
+def test_fit_matches_the_dense_likelihood():
+    """The fit reaches the optimum of the penalised likelihood, found by Newton steps with numeric derivatives on a dense table."""
+    rng = np.random.default_rng(3)
+    table = rng.random((900, 5)) < (0.3, 0.4, 0.25, 0.35, 0.5)
+    score = table @ np.array([2.0, -1.8, 2.4, 1.6, -2.0])
+    chance = 1 / (1 + np.exp(-(score[:, None] - np.array([0.8, 2.2]))))
+    grades = (rng.random(900)[:, None] < chance).sum(axis=1)
+    rows, cols = np.nonzero(table)
+    model = T.fit(rows, cols, grades)
+    assert sorted(model.weights) == [0, 1, 2, 3, 4]
+
+    def loss(x):
+        total = 0.0
+        for own, grade in zip(table, grades, strict=True):
+            s = sum(w for w, has in zip(x[:5], own, strict=True) if has)
+            reach = [1.0, *(1 / (1 + np.exp(t - s)) for t in x[5:]), 0.0]
+            total -= np.log(reach[grade] - reach[grade + 1])
+        return total / len(grades) + T.PENALTY * np.abs(x[:5]).sum()
+
+    found = np.array([*(model.weights[i] for i in range(5)), *model.thresholds])
+    step, eye = 1e-3, np.eye(7)
+    best = found.copy()
+    for _ in range(4):
+        slope = np.array([(loss(best + step * e) - loss(best - step * e)) / (2 * step) for e in eye])
+        bend = np.array([[(loss(best + step * (a + b)) - loss(best + step * (a - b)) - loss(best - step * (a - b)) + loss(best - step * (a + b)))
+                          / (4 * step * step) for a in eye] for b in eye])
+        best = best - np.linalg.solve(bend, slope)
+    assert np.abs(slope).max() < 1e-5
+    assert loss(found) - loss(best) < 1e-4 and np.abs(found - best).max() < 0.05
+
+
+def test_held_out_accuracy_of_each_grade():
+    model = T.fit(*arrays(corpus(1500, 0)[0]), corpus(1500, 0)[1])
+    texts, want = corpus(2000, 5)
+    got = (model.at_least(np.array([model.score(t) for t in texts])) > 0.5).sum(axis=1)
+    for grade in range(3):
+        assert (got[want == grade] == grade).mean() > 0.95, grade
+
+
+def test_labels_that_repeat_or_are_null(spark):
+    """The gravest label of a document counts; rows without an id or a toxic label are left out."""
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 1, 1), (2, 0, 0), (3, None, 1), (None, 1, 0), (4, 1, None), (5, 0, None)],
+                                   "doc_id long, toxic int, quality int")
+    assert {(r["doc_id"], r["grade"]) for r in T.graded(labels).collect()} == {(1, 2), (2, 1), (4, 2), (5, 0)}
