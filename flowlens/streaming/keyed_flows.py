@@ -1,7 +1,7 @@
 """Packets to flows with keyed state and timers.
 
 The state of a flow key is one value, the sums of its open flow, and one list, the packets that the
-watermark has not passed yet. Packets are folded into the flow in order of time when the watermark
+watermark has not passed yet, one entry of columns per batch. Packets are folded into the flow in order of time when the watermark
 passes them, so files may come in any order within the delay, and a timer closes a flow that stays
 silent: no later packet of its key is needed. The open flows of a running or ended stream are read
 from its checkpoint, as of any batch that is still kept.
@@ -15,8 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -25,7 +24,9 @@ from ..operators import flows as FL
 from .flow_stream import Scorer, live_records
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-AHEAD = "seq bigint, ts_us bigint, length bigint, flags string, from_a boolean"
+PACKET = ["seq", "ts_us", "length", "flags", "from_a"]
+#: The packets of a key that one batch brought, column by column.
+AHEAD = "seq array<bigint>, ts_us array<bigint>, length array<bigint>, flags array<string>, from_a array<boolean>"
 _SIDE = "{s}_n bigint, {s}_bytes bigint, {s}_sq bigint, {s}_min bigint, {s}_max bigint"
 #: The sums of an open flow. Squares of gaps are a text, as they may need 38 digits.
 FLOW = (
@@ -82,19 +83,19 @@ class FlowProcessor(StatefulProcessor):
         self.flow = handle.getValueState("flow", FLOW)
         self.ahead = handle.getListState("ahead", AHEAD)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        packets = [p for batch in rows for p in zip(*(batch[c].tolist() for c in ("seq", "ts_us", "length", "flags", "from_a")), strict=True)]
-        if packets:
-            self.ahead.appendList(packets)
-            self.handle.registerTimer(milliseconds(min(p[1] for p in packets)))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        columns = [list(c) for c in zip(*((r.seq, r.ts_us, r.length, r.flags, r.from_a) for r in rows), strict=True)]
+        if columns:
+            self.ahead.appendValue(tuple(columns))
+            self.handle.registerTimer(milliseconds(min(columns[1])))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(p) for p in self.ahead.get()] if self.ahead.exists() else []
+        waiting = [p for columns in self.ahead.get() for p in zip(*columns, strict=True)]
         due = sorted((p for p in waiting if milliseconds(p[1]) <= watermark), key=lambda p: (p[1], p[0]))
         rest = [p for p in waiting if milliseconds(p[1]) > watermark]
-        held = self.flow.get() if self.flow.exists() else None
+        held = self.flow.get()
         flow, closed = dict(zip(FLOW_FIELDS, held, strict=True)) if held else None, []
         for packet in due:
             if flow is not None and packet[1] - flow["last_seen_us"] >= self.idle_us:
@@ -109,7 +110,7 @@ class FlowProcessor(StatefulProcessor):
             closed.append(flow)
             flow = None
         if due and rest:
-            self.ahead.put(rest)
+            self.ahead.put([tuple(list(c) for c in zip(*rest, strict=True))])
         elif due:
             self.ahead.clear()
         if rest:
@@ -121,12 +122,7 @@ class FlowProcessor(StatefulProcessor):
         elif held:
             self.flow.clear()
         if closed:
-            frame = pd.DataFrame(closed, columns=FLOW_FIELDS)
-            whole = [c for c in FLOW_FIELDS if c not in ("opener_a", "iat_sq")]
-            frame[whole] = frame[whole].astype("Int64")
-            for name, value in reversed([*zip(FL.KEY, key, strict=True)]):
-                frame.insert(0, name, value)
-            yield frame
+            yield Row(flows=[dict(zip(FL.KEY, key, strict=True)) | f for f in closed])
 
     def close(self) -> None:
         pass
@@ -144,9 +140,9 @@ def keyed_flows(packets: DataFrame, delay: str = "10 seconds", idle_us: int = S.
     timed = FL.with_flow_key(packets).withColumn("at", F.timestamp_millis(F.ceil(F.col("ts_us") / 1000))).withWatermark("at", delay)
     if redelivered:
         timed = timed.dropDuplicatesWithinWatermark(["seq"])
-    closed = timed.select(*FL.KEY, "seq", "ts_us", "length", "flags", "from_a", "at").groupBy(*FL.KEY).transformWithStateInPandas(
-        FlowProcessor(idle_us, cap), f"{KEY_TYPES}, {FLOW}", "Append", "EventTime")
-    return in_layout(closed).withColumn("active", F.lit(False))
+    closed = timed.select(*FL.KEY, "seq", "ts_us", "length", "flags", "from_a", "at").groupBy(*FL.KEY).transformWithState(
+        FlowProcessor(idle_us, cap), f"flows array<struct<{KEY_TYPES}, {FLOW}>>", "Append", "EventTime")
+    return in_layout(closed.select(F.inline("flows"))).withColumn("active", F.lit(False))
 
 
 def in_layout(sums: DataFrame) -> DataFrame:
@@ -172,7 +168,8 @@ def open_flows(spark: SparkSession, folder: str, batch_id: int | None = None, op
 
 def waiting_packets(spark: SparkSession, folder: str, batch_id: int | None = None, operator: int = 0) -> DataFrame:
     """The packets ahead of the watermark, with their flow key."""
-    return _state(spark, folder, "ahead", batch_id, operator).select("key.*", "list_element.*")
+    held = _state(spark, folder, "ahead", batch_id, operator)
+    return held.select("key.*", F.inline(F.arrays_zip(*[F.col(f"list_element.{c}").alias(c) for c in PACKET])))
 
 
 def _state(spark: SparkSession, folder: str, name: str, batch_id: int | None, operator: int) -> DataFrame:

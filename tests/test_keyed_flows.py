@@ -66,3 +66,32 @@ def test_hot_key(spark, tmp_path):
     run(spark, tmp_path / "in", tmp_path / "out")
     assert as_set(closed(spark, tmp_path / "out")) == as_set(FL.flow_records(want(spark, rows, False)))
     assert time.time() - start < 120
+
+
+def test_waiting_packets_are_columns(spark, tmp_path):
+    """Behind a long delay all packets wait, an entry per key and batch, not one per packet."""
+    rows = raw_rows(120)
+    write_files(spark, rows, tmp_path / "in", 2)
+    run(spark, tmp_path / "in", tmp_path / "out", "1000 days")
+    waiting = KF.waiting_packets(spark, str(tmp_path / "out"))
+    packets = FL.with_flow_key(FL.normalise_packets(spark.createDataFrame(rows, S.RAW_PACKET_SCHEMA)))
+    assert {tuple(r) for r in waiting.collect()} == {tuple(r) for r in packets.select(*FL.KEY, *KF.PACKET).collect()}
+    entries = KF._state(spark, str(tmp_path / "out"), "ahead", None, 0).count()
+    assert entries <= 2 * packets.select(*FL.KEY).distinct().count() < len(rows)
+
+
+def test_stored_parts_are_batches(spark, sf_dir, tmp_path, monkeypatch):
+    """Every part is as many files as a stream takes at a time, later parts in later files, no millisecond in two parts."""
+    from flowlens.plans import ml_queries as MQ
+
+    monkeypatch.setattr(MQ, "ROWS_A_FILE", 40)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path, files = MQ._stored_events(events, str(tmp_path / "events"), 3)
+    stored = sorted((tmp_path / "events").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert files > 1 and len(stored) == 3 * files
+    ends = []
+    for i in range(3):
+        part = spark.read.parquet(*[str(p) for p in stored[i * files:(i + 1) * files]]).select(F.ceil(MQ._at() / 1000).alias("ms"))
+        ends.append(part.agg(F.min("ms"), F.max("ms")).first())
+    assert ends[0][1] < ends[1][0] and ends[1][1] < ends[2][0]
+    assert spark.read.parquet(path).count() == events.count()
