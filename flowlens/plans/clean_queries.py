@@ -80,8 +80,8 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_csv(spark: SparkSession, sf_dir: str) -> str:
-    """One Latin-1 CSV file per capture day, with padded headers; Friday's columns are in another
-    order with one more, Monday's lack one."""
+    """Latin-1 CSV files of every capture day, with padded headers; Friday's columns are in another
+    order with one more, Monday's lack one. A day has a file per task, each in a folder of its own."""
     path = run_folder(spark, "captures")
     rows = dirty_lines(spark, sf_dir)
     files = spark._jvm.org.apache.hadoop.fs
@@ -95,13 +95,13 @@ def _written_csv(spark: SparkSession, sf_dir: str) -> str:
             cols.remove("Bwd URG Flags")
         own = rows.filter(F.col("file") == name).withColumn("Extra", F.lit("7"))
         (
-            own.select(*[C.quoted(c).alias(f" {c}") for c in cols]).coalesce(1)
+            own.select(*[C.quoted(c).alias(f" {c}") for c in cols])
             .write.option("header", "true").option("encoding", FF.LATIN1)
             .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{path}-{day}")
         )
-        part = store.globStatus(files.Path(f"{path}-{day}/part-*"))[0].getPath()
-        store.mkdirs(files.Path(path))
-        store.rename(part, files.Path(f"{path}/{name}"))
+        for i, part in enumerate(store.globStatus(files.Path(f"{path}-{day}/part-*"))):
+            store.mkdirs(files.Path(f"{path}/{i}"))
+            store.rename(part.getPath(), files.Path(f"{path}/{i}/{name}"))
     return path
 
 
