@@ -143,3 +143,31 @@ def test_scorer_on_records(spark, run):
     assert set(rows[0]["prediction"]["model_agreement"]) == {"random_forest"}
     assert rows[0]["prediction"]["evidence"][0] == "5 feature values were missing and median-imputed."
     assert sum(rows[0]["prediction"]["probabilities"].values()) == pytest.approx(1.0)
+
+
+def test_experiment_computes_its_rows_once(spark, monkeypatch):
+    """The split reads stored rows, and the fits read stored training rows, whatever the input costs."""
+    from flowlens.plans import training as TN
+
+    seen, split = {}, TN.SM.with_split
+
+    class Stop(Exception):
+        pass
+
+    def watched(df, *rest):
+        seen["labelled"] = df.inputFiles()
+        return split(df, *rest)
+
+    def stop(df, features):
+        seen["fitted"] = df.inputFiles()
+        raise Stop
+
+    monkeypatch.setattr(TN.SM, "with_split", watched)
+    monkeypatch.setattr(TN.TR, "exact_medians", stop)
+    rows = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(200)], "sample_id long, x double, is_attack int")
+    try:
+        TN.run_experiment(rows, "is_attack", max_fit_rows=100)
+    except Stop:
+        pass
+    for name in ("labelled", "fitted"):
+        assert seen[name] and all(f"/{name}-" in f for f in seen[name])
