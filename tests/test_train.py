@@ -171,3 +171,19 @@ def test_experiment_computes_its_rows_once(spark, monkeypatch):
         pass
     for name in ("labelled", "fitted"):
         assert seen[name] and all(f"/{name}-" in f for f in seen[name])
+
+
+def test_flow_model_is_fitted_and_asked_with_the_gap(spark, monkeypatch):
+    """One reset is as far from none as three are, in the training rows and in scoring; records keep their counts."""
+    from flowlens.operators import flows as FL
+    from flowlens.plans import ml_queries as M
+
+    packets = [(10 * f + i, (10 * f + i) * 1_000_000, "TCP", f"10.0.0.{f}", 1000, "9.0.0.1", 443, 40, "RA" if i < f else "S") for f in range(4) for i in range(3)]
+    rows = FL.flow_table(spark.createDataFrame(packets, M.FS.PACKET_SCHEMA), 5_000_000, 3).withColumn("flow_id", F.col("first_seq"))
+    monkeypatch.setattr(M, "run_experiment", lambda rows, *_, **__: rows)
+    monkeypatch.setattr(M.FS, "model_scorer", lambda model: lambda r: r.withColumn("seen", F.col(f"`{M.RESETS}`")))
+    want = {0: (0, 0), 10: (1, 1), 20: (1, 2), 30: (1, 3)}
+    fitted = M.flow_experiment(rows).collect()
+    assert {r["flow_id"]: (r["is_attack"], r[M.RESETS] - M.GAP * r["is_attack"]) for r in fitted} == want
+    asked = M.flow_scorer(None)(FL.flow_records(rows)).collect()
+    assert {r["flow_id"]: (int(r["seen"] > M.GAP), r[M.RESETS]) for r in asked} == want
