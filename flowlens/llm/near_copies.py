@@ -1,6 +1,9 @@
 """Near copies by the Jaccard similarity of their five-word shingles.
 
-Texts are met by MinHash: a text has ``BANDS`` keys of ``ROWS`` minima each, and two texts with a
+Texts are first met by SimHash and segment popcounts (method 9): the texts of a component of fingerprints are
+compared with one of them, and those found similar are linked. A similarity of 0.8 is about 10 differing
+bits of 64, which a grid reaches only with cells so coarse that candidates grow with the square of the table. So
+the texts beyond the fingerprints' distance are met by MinHash: a text has ``BANDS`` keys of ``ROWS`` minima each, and two texts with a
 similarity of 0.8 differ in every key with a probability of 7 in 10,000. The texts of a key are not
 compared with each other but with one of them, its pivot, at first the one that shares the most
 keys. Texts found similar are one component; keys that still hold several components elect a
@@ -19,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import nested, small, staged, text_or_empty
-from .simhash import SEED, components, shingles
+from .simhash import MAX_DISTANCE, SEED, components, shingles, simhash
+from .simhash import links as fingerprint_links
 
 WIDTH = 5  # words of a shingle
 PERCENT = 80  # of the shingles of both texts together that near copies share, at least
@@ -70,18 +74,19 @@ def digest() -> Column:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every row as doc_id, digest, n (distinct shingles), keys and bits."""
-    names = ["doc_id", "digest", "n", "keys", "bits"]
+    """Every row as doc_id, digest, n (distinct shingles), fingerprint (of these), keys and bits."""
+    names = ["doc_id", "digest", "n", "fingerprint", "keys", "bits"]
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             drawn = [sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array(np.array([simhash(s) for s in sets], np.uint64).view(np.int64)),
                                               lists([k for k, _ in drawn]), lists([b for _, b in drawn])], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), digest().alias("digest"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, digest binary, n long, keys array<long>, bits array<long>")
+    return rows.mapInArrow(compute, "doc_id long, digest binary, n long, fingerprint long, keys array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, digests: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -128,6 +133,23 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
+def fingerprint_pairs(rows: DataFrame, percent: int = PERCENT, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b): the texts of each component of fingerprints and the one of them that they are compared with."""
+    texts = staged(rows.where("n > 0").select("fingerprint", "digest", "n").distinct(), "prints")
+    roots = components(fingerprint_links(staged(texts.select("fingerprint").distinct(), "points"), distance))
+    rooted = staged(texts.join(roots, texts["fingerprint"] == roots["node"], "left").select(
+        F.coalesce("root", "fingerprint").alias("root"), "digest", "n"), "rooted")
+    groups = rooted.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("pivot"), F.max("digest").alias("last"))
+    several = staged(groups.where("pivot.digest <> last").select("root", "pivot"), "groups")
+    b = F.col("pivot")
+    near = (F.col("digest") != b["digest"]) & (100 * F.least("n", b["n"]) >= percent * F.greatest("n", b["n"]))
+    return rooted.join(small(several, BROADCAST_ROWS), "root").where(near).select(F.col("digest").alias("a"), b["digest"].alias("b"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def links(rows: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b): as many pairs of near copies as join their components; ``rows``: the stored sketches of ``docs``."""
     text = F.struct("digest", "n", "bits")
@@ -138,32 +160,34 @@ def links(rows: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = P
     fame = members.groupBy("text.digest").agg(F.sum("crowd").alias("fame"))
     members = staged(members.join(fame, F.col("text.digest") == F.col("digest")).select("key", "text", "fame", "digest"), "famed")
 
-    tried = found = roots = None
-    turn = 0
+    pairs = staged(fingerprint_pairs(rows, percent), "pairs")
+    tried, found = both_ways(pairs), staged(similar(pairs, docs, width, percent), "similar")
+    turn, new, roots = 0, found, None
     while True:
+        if not new.isEmpty():
+            roots = small(staged(components(found), "roots"), BROADCAST_ROWS)
+        elif turn > 1:
+            return found
         turn += 1
-        if roots is None:
-            now, lead = members.withColumn("root", F.col("digest")), None
-        else:
+        now = members.withColumn("root", F.col("digest"))
+        if roots is not None:
             now = members.join(roots, members["digest"] == roots["node"], "left").select("key", "text", "fame", "digest", F.coalesce("root", "digest").alias("root"))
+        if turn == 1:
+            first = F.struct("fame", "digest")
+        else:
             heads = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.struct("fame", "digest")).alias("lead"))
             lead = heads.where("low <> high").select("key", "lead")
             now = staged(now.join(small(staged(lead, "open"), BROADCAST_ROWS), "key"), "open_members")
-        first = F.struct("fame", "digest") if lead is None else F.struct(F.col("root") != F.col("lead"), F.xxhash64("digest", F.lit(turn)), "digest")
+            first = F.struct(F.col("root") != F.col("lead"), F.xxhash64("digest", F.lit(turn)), "digest")
         pivots = staged(now.groupBy("key").agg(F.max_by(F.struct("text", "root"), first).alias("pivot")), "pivots")
         a, b = F.col("text"), F.col("pivot.text")
         differ = sum(F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64))
         near = (F.col("root") != F.col("pivot.root")) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (differ <= MAX_BITS)
         pairs = now.join(small(pivots, BROADCAST_ROWS // 4), "key").where(near).select(a["digest"].alias("a"), b["digest"].alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(both_ways(pairs))
         new = staged(similar(pairs, docs, width, percent), "similar")
-        if new.isEmpty():
-            return found if found is not None else new
-        found = new if found is None else found.union(new)
-        roots = small(staged(components(found), "roots"), BROADCAST_ROWS)
+        found = found.union(new)
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

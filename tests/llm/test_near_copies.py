@@ -4,6 +4,7 @@ from itertools import combinations
 import corpus_pipeline as C
 from flowlens.llm import near_copies as N
 from flowlens.llm import simhash as S
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,3 +102,18 @@ def test_recall(spark, docs, texts):
     near = [(i, j) for (i, a), (j, b) in combinations(sets, 2) if len(a & b) >= 0.8 * len(a | b)]
     met = [of[i] == of[j] or roots.get(of[i], of[i]) == roots.get(of[j], of[j]) for i, j in near]
     assert len(near) > 5 and sum(met) >= 0.99 * len(met)
+
+
+def test_fingerprints_link_texts(spark):
+    """Method (9) is a step of its own: without MinHash keys it links the texts within its distance, after the exact check."""
+    rows = [(1, edited(900, ())), (2, edited(900, {899})), (3, edited(900, {0})), (4, edited(900, (), "far")), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = N.staged(N.sketches(docs).withColumn("keys", F.array().cast("array<long>")), "sketches")
+    of = {bytes(r["digest"]): r["doc_id"] for r in sketched.collect()}
+    points = N.staged(sketched.where("n > 0").select("fingerprint").distinct(), "points")
+    assert points.count() == 4 and S.links(points).count() > 0
+
+    def linked(percent):
+        return sorted({of[bytes(d)] for r in N.links(sketched, docs, percent=percent).collect() for d in r})
+
+    assert linked(80) == [1, 2, 3] and linked(100) == []
