@@ -4,12 +4,16 @@ Skew: a flow key may hold a third of all packets, so nothing is windowed by key
 Packets are windowed per (key, time slot), slots holding equal shares of the capture; one
 summary row per (key, slot) carries the previous timestamp, the row offset and the open
 session's start into the next slot.
+Where no key has more than ``KEY_ROWS`` packets (counts combine on the map side), windows by key
+alone are bounded as well, and packets are dealt and ordered once.
 After that a flow is identified by (key, position of its first packet) and holds at most
 ``cap`` packets, and all statistics are one partially aggregated ``groupBy``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from ..functions.columns import iso_utc
 from ..functions.prefix import ordered_lag, ordered_prefix, with_buckets
 
 KEY = ["protocol", "a_ip", "a_port", "b_ip", "b_port"]
+KEY_ROWS = 100_000  # packets of a key that one task may order
 FLAG_LETTERS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U"}
 
 
@@ -83,6 +88,24 @@ def _in_slot() -> Window:
     return Window.partitionBy(*KEY, "slot").orderBy("ts_us", "seq")
 
 
+def _segment_by_key(keyed: DataFrame, idle_us: int, cap: int, carried: DataFrame | None) -> DataFrame:
+    """``segment`` in strict mode for keys with few packets: one window over each key."""
+    if carried is None:
+        before = keyed.withColumns({"_n": F.lit(0).cast("bigint"), "_last": F.lit(None).cast("bigint")})
+    else:
+        opened = carried.select(*KEY, F.col("packet_count").alias("_n"), F.col("last_seen_us").alias("_last"))
+        before = keyed.join(opened, KEY, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    here = Window.partitionBy(*KEY).orderBy("ts_us", "seq")
+    first = F.col("rn") == 1
+    rows = before.withColumn("rn", F.row_number().over(here)).withColumn("prev", F.lag("ts_us").over(here))
+    rows = rows.withColumn("prev", F.when(first, F.col("_last")).otherwise(F.col("prev"))).withColumn("position", F.col("_n") + F.col("rn"))
+    splits = F.coalesce(F.col("ts_us") - F.col("prev") >= idle_us, F.lit(False)) | (first & F.col("prev").isNull())
+    start = F.max(F.when(splits, F.col("position"))).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    # without a split so far the carried flow goes on, whose first position is 1
+    rows = rows.withColumn("session_start", F.coalesce(start, F.lit(1)))
+    return rows.withColumn("flow_start", F.col("position") - F.pmod(F.col("position") - F.col("session_start"), F.lit(cap)))
+
+
 def _with_parity_breaks(keyed: DataFrame, idle_us: int) -> DataFrame:
     """Add ``brk``: idle is only noticed when some packet of any flow arrives late enough.
 
@@ -132,7 +155,15 @@ def segment(
         raise FlowLensError("mode must be strict or parity.")
     if idle_us <= 0 or cap < 1:
         raise FlowLensError("idle and cap must be positive.")
-    keyed = _slots(with_flow_key(packets), slot_us)
+    keyed = with_flow_key(packets)
+    if mode == "strict" and slot_us is None:
+        most = keyed.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= KEY_ROWS:
+            rows = _segment_by_key(keyed, idle_us, cap, carried)
+            gap = F.when(F.col("position") > F.col("flow_start"), F.col("ts_us") - F.col("prev"))
+            return rows.withColumn("iat_us", gap).select(
+                *packets.columns, *[c for c in KEY if c not in packets.columns], "from_a", "position", "flow_start", "iat_us")
+    keyed = _slots(keyed, slot_us)
     if mode == "parity":
         keyed = _with_parity_breaks(keyed, idle_us)
 
@@ -386,8 +417,8 @@ def flow_features(flows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return flows.select(*(keep or []), *feature_columns().values())
 
 
-def flow_records(flows: DataFrame) -> DataFrame:
-    """Endpoint text, ISO UTC times and rounded duration of each flow, with its features."""
+def flow_records(flows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Endpoint text, ISO UTC times and rounded duration of each flow, with its features and the ``extra`` columns."""
     keep = ["flow_id", "source_ip", "source_port", "destination_ip", "destination_port", "protocol",
             "packet_count", "bytes", "first_seq", "last_seq", "active"]
     return flows.select(
@@ -400,4 +431,5 @@ def flow_records(flows: DataFrame) -> DataFrame:
         "started_us",
         "last_seen_us",
         *feature_columns().values(),
+        *extra,
     )
