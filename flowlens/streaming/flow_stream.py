@@ -83,10 +83,33 @@ def live_records(flows: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     else:
         records = records.withColumn("prediction", F.lit(None).cast(S.PREDICTION_TYPE)).withColumn(
             "error", F.lit(S.NOT_ANALYZED))
+    return _in_layout(records)
+
+
+def _in_layout(records: DataFrame) -> DataFrame:
     return records.withColumn("features", C.feature_map(S.FLOW_FEATURES)).withColumn("simulation", F.lit(False)).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.LIVE_FLOW_SCHEMA.fields])
 
 
+def _closed_schema() -> T.StructType:
+    """What a stream stores of a closed flow: its exact sums, of which the 78 features are a function, and its score."""
+    sums = FL.oriented(SparkSession.active().createDataFrame([], _state_schema(S.IDLE_SECONDS * 1_000_000, S.PACKET_CAP))).schema
+    wide = T.DecimalType(38, 0)  # as wide as any idle time and cap need
+    fields = [T.StructField(f.name, wide if f.name == "iat_sq" else f.dataType) for f in sums.fields]
+    return T.StructType([*fields, T.StructField("flow_id", T.LongType()), T.StructField("active", T.BooleanType()),
+                         T.StructField("prediction", S.PREDICTION_TYPE), T.StructField("error", T.StringType())])
+
+
+def _with_score(flows: DataFrame, scorer: Scorer | None) -> DataFrame:
+    """Closed flows as they are stored."""
+    if scorer is None:
+        rows = flows.withColumn("prediction", F.lit(None)).withColumn("error", F.lit(S.NOT_ANALYZED))
+    else:
+        named = FL.flow_records(flows).columns
+        rows = scorer(FL.flow_records(flows, [c for c in flows.columns if c not in named]))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _closed_schema().fields])
+
+
 def read_packets(spark: SparkSession, path: str, glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
     """A stream of raw packet rows from Parquet files as they arrive."""
     reader = spark.readStream.schema(S.RAW_PACKET_SCHEMA).option("pathGlobFilter", glob)
@@ -180,8 +203,8 @@ def stream_flows(
     """Cut a stream of normalised packets into flows and write the closed ones.
 
     Packets may be late by up to ``delay_us`` of event time; those older than the watermark
-    go to ``<folder>/late/batch=N`` unchanged, and the clock row has their count. ``<folder>/flows/batch=N`` holds the flows closed by batch N and is
-    replaced as a whole when a batch is run again, so each flow is written once. The two
+    go to ``<folder>/late/batch=N`` unchanged, and the clock row has their count. ``<folder>/flows/batch=N`` holds the flows closed by batch N (sums and
+    scores, ``closed_flows`` reads them as the register) and is replaced as a whole when a batch is run again, so each flow is written once. The two
     ``slot`` folders of the carried tables alternate: a batch that is run again still finds
     the state it started from. Without ``interval`` the stream takes what is there and ends. A batch belongs to the
     window that is current when it begins (``reset_window``); later windows' folders carry their generation's number.
@@ -210,7 +233,7 @@ def stream_flows(
             closed = (F.col("packet_count") >= cap) | (F.lit(watermark) - F.col("last_seen_us") >= idle_us)
             done = FL.oriented(sums.filter(closed)).withColumn("flow_id", F.col("first_seq")).withColumn(
                 "active", F.lit(False))
-            live_records(done, scorer).write.mode("overwrite").parquet(
+            _with_score(done, scorer).write.mode("overwrite").parquet(
                 f"{_of_window(folder, 'flows', generation)}/batch={batch_id}")
             state = sums.filter(~closed).withColumns({
                 "flow_start": F.lit(1).cast("bigint"), "first_position": F.lit(1).cast("bigint"), "last_position": F.col("packet_count")})
@@ -232,10 +255,11 @@ def stream_flows(
 
 
 def closed_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """The register written so far in the current window; empty before its first batch."""
-    from ..sources.sinks import read_live_state
+    """The register written so far in the current window, its features derived from the stored sums; empty before its first batch."""
+    from ..sources.sinks import read_or_empty
 
-    return read_live_state(spark, _of_window(folder, "flows", current_window(spark, folder)[0])).select(*S.LIVE_FLOW_SCHEMA.names)
+    stored = read_or_empty(spark, _of_window(folder, "flows", current_window(spark, folder)[0]), _closed_schema())
+    return _in_layout(FL.flow_records(stored, ["prediction", "error"]))
 
 
 def open_flows(

@@ -156,3 +156,33 @@ def test_native_sessions_split_at_idle(spark):
     packets = FL.normalise_packets(spark.createDataFrame(rows, S.RAW_PACKET_SCHEMA))
     got = sorted((r["first_seq"], r["packet_count"]) for r in FS.session_flows(packets, IDLE).collect())
     assert got == [(0, 2), (2, 1), (3, 1)]
+
+
+def test_few_packets_a_key_are_ordered_once(spark, monkeypatch):
+    """Where no key has many packets no slots are made, and flows are those of the slots, with flows carried or not."""
+    packets = FL.normalise_packets(spark.createDataFrame(raw_rows(300), S.RAW_PACKET_SCHEMA)).cache()
+    keyed = FL.with_flow_key(packets)
+    newest = packets.agg(F.min("ts_us")).first()[0]
+    carried = keyed.filter("src_port = 1000").select(*FL.KEY).distinct().limit(2).withColumns({
+        "packet_count": F.lit(CAP - 1).cast("bigint"), "last_seen_us": F.lit(newest - SECOND)})
+    rows = ["seq", "position", "flow_start", "iat_us", "from_a"]
+
+    def cut(held):
+        return {tuple(r) for r in FL.segment(packets, IDLE, CAP, carried=held).select(*rows).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(FL, "KEY_ROWS", 0)
+        want = [cut(None), cut(carried)]
+    monkeypatch.setattr(FL, "_slots", None)
+    assert [cut(None), cut(carried)] == want and want[0] != want[1] and len(want[0]) == 300
+
+
+def test_stored_flows_are_sums(spark, tmp_path):
+    """A batch stores sums and scores; the register's features are derived where they are read."""
+    write_files(spark, raw_rows(60), tmp_path / "in", 1)
+    run(spark, tmp_path / "in", tmp_path / "out")
+    stored = spark.read.parquet(str(tmp_path / "out" / "flows"))
+    assert "features" not in stored.columns and {"len_sq", "iat_sq", "prediction", "error"} <= set(stored.columns)
+    got = FS.closed_flows(spark, str(tmp_path / "out"))
+    assert got.dtypes == spark.createDataFrame([], S.LIVE_FLOW_SCHEMA).dtypes and {r["error"] for r in got.collect()} == {S.NOT_ANALYZED}
+    assert all(set(r["features"]) == set(S.FLOW_FEATURES) for r in got.collect())
