@@ -187,3 +187,52 @@ def test_flow_model_is_fitted_and_asked_with_the_gap(spark, monkeypatch):
     assert {r["flow_id"]: (r["is_attack"], r[M.RESETS] - M.GAP * r["is_attack"]) for r in fitted} == want
     asked = M.flow_scorer(None)(FL.flow_records(rows)).collect()
     assert {r["flow_id"]: (int(r["seen"] > M.GAP), r[M.RESETS]) for r in asked} == want
+
+
+def test_every_training_row_is_fitted(spark, monkeypatch):
+    """Without a caller's own bound the models see all training rows, however many."""
+    from flowlens.plans import training as TN
+
+    class Stop(Exception):
+        pass
+
+    def stop(df, features):
+        raise Stop(df.count())
+
+    monkeypatch.setattr(TN.TR, "exact_medians", stop)
+    rows = spark.range(150_000).select(F.col("id").alias("sample_id"), (F.col("id") % 7).alias("x"), (F.col("id") % 2).alias("is_attack"))
+    with pytest.raises(Stop) as seen:
+        run_experiment(rows, "is_attack")
+    assert seen.value.args == (120_000,)
+
+
+def test_trees_split_where_all_rows_say(spark):
+    """The label's gap is a split of every tree, though some 10,000 drawn rows would put it a value beside; rare values count."""
+    x = F.pmod(F.xxhash64("id"), F.lit(400))
+    rows = spark.range(60_000).select(
+        (x + F.when(x > 260, 1000).otherwise(0)).alias("x"), F.when(F.col("id") < 3, F.col("id")).otherwise(5).alias("rare"), F.lit(None).cast("int").alias("none"),
+        F.lit(2.5).alias("same"), (x > 260).cast("int").alias("is_attack"))
+    points = TR.split_points(rows, "is_attack", {"x": 0.0, "rare": 5.0, "same": 2.5})
+    assert len(points["x"]) == TR.BINS - 1 and (260 + 1261) / 2 in points["x"]
+    assert points["rare"] == [0.5, 1.5, 3.5] and points["same"] == []
+    for seed in (1, 2):
+        model = TR.fit("random_forest", rows.withColumn("x", F.col("x") + seed), ["x", "none", "same"], "is_attack", 1, 2)
+        scored = TR.score(model, rows.withColumn("x", F.col("x") + seed))
+        assert scored.columns == [*rows.columns, "probability"]
+        assert scored.filter((F.col("probability")[1] > 0.5) != (F.col("is_attack") == 1)).count() == 0
+
+
+def test_split_points_are_quantiles_of_the_balanced_weight(spark):
+    rng = random.Random(7)
+    values = [(rng.choice([rng.random(), float(rng.randrange(5))]), int(rng.random() < 0.1)) for _ in range(3000)]
+    points = TR.split_points(spark.createDataFrame(values, "v double, is_attack int"), "is_attack", {"v": 0.0})["v"]
+    counts = {c: sum(1 for _, a in values if a == c) for c in (0, 1)}
+    distinct = sorted({v for v, _ in values})
+    before = {}
+    total = 0
+    for v in distinct:
+        before[v] = total
+        total += sum(1 / counts[a] for x, a in values if x == v)
+    cuts = {min(distinct[1:], key=lambda v: abs(before[v] - k * total / TR.BINS)) for k in range(1, TR.BINS)}
+    want = sorted((v + distinct[distinct.index(v) - 1]) / 2 for v in cuts)
+    assert points == pytest.approx(want)
