@@ -262,7 +262,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     has no rows. Other columns are not read.
     """
     documents, terms = corpus_sizes(docs)
-    blocks = staged(index(docs, documents, max(1, terms)), "index")
+    blocks = staged(index(docs, documents, max(1, terms)), "index", rows_a_group=1)
     asked = staged(weighted(staged(item_terms(items), "asked"), blocks, documents), "weighted")
     count = asked.select("item_id").distinct().count()
     slices, found = parts(count, ITEMS_AT_ONCE), None

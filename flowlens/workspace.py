@@ -27,12 +27,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows_a_group: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage: a lost executor re-reads files instead of re-running the job so far,
-    and several readers share one computation.
+    and several readers share one computation. ``rows_a_group`` is for rows of megabytes: writers and
+    readers hold a row group, whose size is otherwise looked at after the first hundred rows.
     """
     path = run_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.row.count.limit": rows_a_group} if rows_a_group else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

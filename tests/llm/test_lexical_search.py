@@ -1,8 +1,10 @@
 import math
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 from flowlens.llm import lexical_search as S
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +52,22 @@ def test_several_blocks_and_slices(spark, sf_dir, docs, texts, monkeypatch):
     assert got(docs.repartition(5), items) == brute(texts, [(r["item_id"], r["text"]) for r in items.collect()])
 
 
+def test_a_stored_block_is_a_row_group(spark, sf_dir, docs, texts, monkeypatch):
+    """Who writes or reads the index holds one block, however many a task has."""
+    stored, keep = {}, S.staged
+
+    def watched(df, name, *rest, **named):
+        stored[name] = keep(df, name, *rest, **named)
+        return stored[name]
+
+    monkeypatch.setattr(S, "staged", watched)
+    monkeypatch.setattr(S, "BLOCK_DOCS", 9)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert got(docs.coalesce(1), items) == brute(texts, [(r["item_id"], r["text"]) for r in items.collect()])
+    held = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in stored["index"].inputFiles()]
+    assert sum(m.num_rows for m in held) > 10 and all(m.num_row_groups == m.num_rows for m in held)
+
+
 def test_edges(spark, edge, clash, empty, edge_rows):
     asked = [(1, "One TWO é x the"), (1, "word"), (None, "text"), (3, None), (4, "..."), (5, "nothing-of-it stands there"), (6, "漢字 é")]
     items = spark.createDataFrame(asked, "item_id long, text string")
